@@ -5,13 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, truncation
+from . import leakage, mixing, neighbours, truncation
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _segments(spark: SparkSession, sf: str) -> DataFrame:
+    s = _table(spark, sf, "segments").filter("size(cloud) = 24 and size(normals) = 24")
+    return neighbours.usable_vectors(s, "segment_id", F.concat("cloud", "normals"), 48)
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of segments of which one is among the other's 5 nearest, at most 0.7 apart."""
+    pairs = neighbours.near_pairs(neighbours.neighbour_graph(_segments(spark, sf)), 5, 0.7)
+    return pairs.select(F.col("a").alias("segment_a"), F.col("b").alias("segment_b")).distinct()
+
+
+def p4_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Greedy graph search: the 5 nearest of all segments for every segment whose id is divisible by 20."""
+    v = _segments(spark, sf)
+    found = neighbours.search(neighbours.neighbour_graph(v), v, v.filter("id % 20 = 0"), k=6)
+    return found.filter("query_id <> id").select("query_id", F.col("id").alias("segment_id"), F.round("d", 6).alias("distance"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold a passage of a held-out item."""
     return leakage.leaked_items(_table(spark, sf, "documents"), _table(spark, sf, "eval_items")).select("doc_id", "item_id").distinct()
@@ -23,6 +41,16 @@ def p6_items(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("matched").alias("longest_passage"))
 
 
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents of the mix and how often each is used."""
+    return mixing.mix(_table(spark, sf, "documents"), _table(spark, sf, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares the mix reaches."""
+    return mixing.mix(_table(spark, sf, "documents"), _table(spark, sf, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents whose text was cut."""
     return truncation.judge_endings(_table(spark, sf, "documents")).filter("cut").select("doc_id").distinct()
@@ -33,5 +61,5 @@ def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.cut_rates(truncation.judge_endings(_table(spark, sf, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_items, p8_found, p8_rates)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_search, p6_found, p6_items, p7_mix, p7_shares, p8_found, p8_rates)}
 ORACLE: dict[str, str] = {}
