@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, mixing, neighbours, truncation
+from . import clusters, leakage, mixing, neighbours, truncation
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -30,6 +30,17 @@ def p4_search(spark: SparkSession, sf: str) -> DataFrame:
     return found.filter("query_id <> id").select("query_id", F.col("id").alias("segment_id"), F.round("d", 6).alias("distance"))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Corepoints in groups that are alike in series and place."""
+    return clusters.like_groups(_table(spark, sf, "distances"), _table(spark, sf, "corepoints")).select("cluster_id", "corepoint_id")
+
+
+def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Each group's size and most typical member."""
+    d = clusters.described(clusters.like_groups(_table(spark, sf, "distances"), _table(spark, sf, "corepoints")))
+    return d.select("cluster_id", "size", "typical", *[F.round(c, 3).alias(c) for c in ("x", "y", "z", "mean")])
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold a passage of a held-out item."""
     return leakage.leaked_items(_table(spark, sf, "documents"), _table(spark, sf, "eval_items")).select("doc_id", "item_id").distinct()
@@ -61,5 +72,5 @@ def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.cut_rates(truncation.judge_endings(_table(spark, sf, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_search, p6_found, p6_items, p7_mix, p7_shares, p8_found, p8_rates)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_search, p5_found, p5_groups, p6_found, p6_items, p7_mix, p7_shares, p8_found, p8_rates)}
 ORACLE: dict[str, str] = {}
