@@ -37,17 +37,17 @@ def inverse(m: list[Column], det: Column) -> list[Column]:
 def with_eigenvalues(df: DataFrame, p: str, clamp: bool = True) -> DataFrame:
     """Adds l1 >= l2 >= l3 of matrix p (at least 0 if clamp); null where the matrix is null."""
     xx, xy, xz, yy, yz, zz = parts(p)
-    df = df.withColumn("_q", (xx + yy + zz) / 3)
-    q = F.col("_q")
-    df = df.withColumn("_p", F.sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6))
-    s = F.when(F.col("_p") > 0, F.col("_p")).otherwise(1.0)
-    df = df.withColumn("_r", F.least(F.greatest(det3((xx - q) / s, xy / s, xz / s, (yy - q) / s, yz / s, (zz - q) / s) / 2, F.lit(-1.0)), F.lit(1.0)))
-    df = df.withColumn("_f", F.acos("_r") / 3)
-    df = df.withColumn("l1", q + 2 * F.col("_p") * F.cos("_f")).withColumn("l3", q + 2 * F.col("_p") * F.cos(F.col("_f") + F.lit(2 * math.pi / 3)))
+    df = df.withColumn("_eq", (xx + yy + zz) / 3)
+    q = F.col("_eq")
+    df = df.withColumn("_ep", F.sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6))
+    s = F.when(F.col("_ep") > 0, F.col("_ep")).otherwise(1.0)
+    df = df.withColumn("_er", F.least(F.greatest(det3((xx - q) / s, xy / s, xz / s, (yy - q) / s, yz / s, (zz - q) / s) / 2, F.lit(-1.0)), F.lit(1.0)))
+    df = df.withColumn("_ef", F.acos("_er") / 3)
+    df = df.withColumn("l1", q + 2 * F.col("_ep") * F.cos("_ef")).withColumn("l3", q + 2 * F.col("_ep") * F.cos(F.col("_ef") + F.lit(2 * math.pi / 3)))
     df = df.withColumn("l2", 3 * q - F.col("l1") - F.col("l3"))
     if clamp:
         df = df.withColumns({k: F.when(F.col(k).isNotNull(), F.greatest(F.col(k), F.lit(0.0))) for k in ("l1", "l2", "l3")})
-    return df.drop("_q", "_p", "_r", "_f")
+    return df.drop("_eq", "_ep", "_er", "_ef")
 
 
 def with_normal(df: DataFrame, p: str, eigenvalue: Column, orientation: tuple[float, float, float], out: tuple[str, str, str] = ("nx", "ny", "nz")) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import linalg
 from .spatial import AXES, clean, cylinder_join, radius_join
 
 #: What a distance callback must aggregate, per corepoint and side: value, spread, and the count n.
@@ -20,7 +21,8 @@ def directions(corepoints: DataFrame, cloud: DataFrame, radii: Sequence[float],
 
     For each radius the points strictly within it give a sample covariance; the radius of highest planarity
     (l2 - l3) / l1 > 0 wins, the smaller one on a tie, and the eigenvector of l3 is turned towards `orientation`. Null
-    where no radius has a planarity. One join at the largest radius serves all radii, by conditional moments about the
+    where no radius has a planarity. The eigenvectors come from LAPACK over Arrow batches of corepoints, which holds near
+    degenerate neighbourhoods too. One join at the largest radius serves all radii, by conditional moments about the
     corepoint. A fresh neighbourhood is taken per radius.
     """
     radii = sorted(float(r) for r in radii)
@@ -36,12 +38,28 @@ def directions(corepoints: DataFrame, cloud: DataFrame, radii: Sequence[float],
             f = F.var_samp if a == b else F.covar_samp
             aggs.append(f(*[F.when(near, F.col(f"d{c}")) for c in ([a] if a == b else [a, b])]).alias(f"c{k}_{a}{b}"))
     m = pairs.groupBy(*by, "_q").agg(*aggs)
-    scales = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r).alias("radius"), F.col(f"n{k}").alias("n"), *[F.col(f"c{k}_{p}").alias(f"c_{p}") for p in linalg.PARTS]) for k, r in enumerate(radii)])
-    s = m.select(*by, "_q", F.explode(scales).alias("s")).select(*by, "_q", "s.*").filter("n > 1")
-    s = linalg.with_eigenvalues(s, "c", clamp=False).withColumn("planarity", F.try_divide(F.col("l2") - F.col("l3"), F.col("l1")))
-    s = s.filter((F.col("planarity") > 1e-12))
-    best = s.groupBy(*by, "_q").agg(F.max_by(F.struct("radius", "l3", *[F.col(f"c_{p}") for p in linalg.PARTS]), F.struct("planarity", -F.col("k"))).alias("b")).select(*by, "_q", "b.*")
-    n = linalg.with_normal(best, "c", F.col("l3"), orientation).select(*by, F.col("_q").alias(corepoint_id), "nx", "ny", "nz", F.col("radius").alias("normal_radius"))
+    up = np.array(orientation, float)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = lambda c: b.column(b.schema.get_field_index(c)).cast("double").fill_null(float("nan")).to_numpy(zero_copy_only=False)
+            best, normal, radius = np.zeros(b.num_rows), np.full((b.num_rows, 3), np.nan), np.full(b.num_rows, np.nan)
+            for k, r in enumerate(radii):
+                m = np.stack([col(f"c{k}_{p}") for p in ("xx", "xy", "xz", "xy", "yy", "yz", "xz", "yz", "zz")], 1).reshape(-1, 3, 3)
+                ok = np.flatnonzero((col(f"n{k}") > 1) & np.isfinite(m).all((1, 2)))
+                if not len(ok):
+                    continue
+                value, vector = np.linalg.eigh(m[ok])
+                with np.errstate(all="ignore"):
+                    planar = np.nan_to_num((value[:, 1] - value[:, 0]) / value[:, 2])
+                won = planar > np.maximum(best[ok], 1e-12)
+                best[ok[won]], normal[ok[won]], radius[ok[won]] = planar[won], vector[won, :, 0], r
+            normal = np.where((normal @ up < 0)[:, None], -normal, normal)
+            none = np.isnan(radius)
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in (*by, "_q")], *[pa.array(normal[:, k], mask=none) for k in range(3)], pa.array(radius, mask=none)], names=[*by, corepoint_id, "nx", "ny", "nz", "normal_radius"])
+
+    keys = ", ".join(f"{n} {m.schema[c].dataType.simpleString()}" for c, n in zip((*by, "_q"), (*by, corepoint_id)))
+    n = m.mapInArrow(solve, f"{keys}, nx double, ny double, nz double, normal_radius double")
     own = clean(corepoints, corepoint_id, by).select(*by, corepoint_id)
     return own.join(n, [*by, corepoint_id], "left")
 

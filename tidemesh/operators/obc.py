@@ -16,20 +16,22 @@ from .timeseries import normalised_dtw
 THRESHOLDS = tuple(round(0.1 * k, 1) for k in range(1, 10))
 
 
-def grow(seed: int, start: int, end: int, series: dict[int, np.ndarray], near: dict[int, list[int]], threshold: float, least: int, most: int, distance: Callable = normalised_dtw) -> dict[int, float]:
-    """Members and their distances to the seed, grown over neighbours at one threshold.
+def grow(seed: int, start: int, end: int, series: dict[int, np.ndarray], near: dict[int, list[int]], threshold: float, least: int, most: int, distance: Callable = normalised_dtw, known: dict[int, float] | None = None) -> dict[int, float]:
+    """Members and their distances to the seed, grown over neighbours at one threshold; `known` keeps distances between calls.
 
     The nearest member is worked off first (ties: the smaller id), its neighbours in order of nearness. From `least`
     members on, only those below the 5 % largest of the distinct distances so far may spread further.
     """
     members, out, queue, distinct, gate = {seed: 0.0}, set(), [(0.0, seed)], [0.0], threshold
-    origin = series[seed]
+    origin, known = series[seed], {} if known is None else known
     while queue and len(members) < most:
         _, at = heapq.heappop(queue)
         for other in near.get(at, ()):
             if other in members or other in out or other not in series:
                 continue
-            d = distance(origin[start : end + 1], series[other][start : end + 1], origin[0], series[other][0])
+            if other not in known:
+                known[other] = distance(origin[start : end + 1], series[other][start : end + 1], origin[0], series[other][0])
+            d = known[other]
             if d < threshold:
                 members[other] = d
                 k = int(np.searchsorted(distinct, d))
@@ -89,7 +91,8 @@ def objects_by_change(seeds: DataFrame, series: DataFrame, corepoints: DataFrame
         for rank, k, a, b in todo:
             if any(a < y and x < b for x, y in held.get(k, ())):
                 continue
-            t, g = best_threshold([grow(k, a, b, values, links, t, least, limit) for t in steps], steps, least, limit)
+            known: dict[int, float] = {}
+            t, g = best_threshold([grow(k, a, b, values, links, t, least, limit, known=known) for t in steps], steps, least, limit)
             if not g:
                 continue
             d = np.array([v for v in g.values()])

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +70,21 @@ def cylinder_join(queries: DataFrame, points: DataFrame, radius: float, max_dist
     return c.filter((F.col("across2") <= r * r) & ends)
 
 
+def _first_cell(p: DataFrame, by: Sequence[str], n: int, k: int, extent: float, sample_rows: int = 20_000) -> float:
+    """An edge at which a point's cell holds some k + 1 points, as seen in a sample of at most sample_rows; it decides only where the search begins."""
+    share = min(1.0, sample_rows / n)
+    s = p.select(F.xxhash64(*by).alias("b") if by else F.lit(0).alias("b"), *AXES).sample(share, 1).limit(2 * sample_rows).toPandas().to_numpy(float)
+    if len(s) < 2:
+        return extent
+    cell = extent
+    while cell > extent / 2**24:
+        _, count = np.unique(np.c_[s[:, 0], np.floor(s[:, 1:] / cell)], axis=0, return_counts=True)
+        if ((count * count).sum() / len(s) - 1) / share + 1 <= 2 * (k + 1):
+            return cell
+        cell /= 2
+    return cell
+
+
 def knn(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_id: str, by: Sequence[str] = (), exclude_self: bool = False, first_cell: float | None = None) -> DataFrame:
     """(by, query_id, point_id, d2, rank): the k nearest points of every query, exactly; ties go to the smaller id.
 
@@ -78,18 +94,21 @@ def knn(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_id:
     rest look again with larger cells, so dense places are settled with small ones. Of points at one place only the k + 1
     with the smallest ids can be among the nearest, so hot places do not multiply.
     """
-    q = materialise(_queries(queries, query_id, by, []))
+    q = _queries(queries, query_id, by, [])
     p = clean(points, point_id, by).withColumnRenamed(point_id, "_p")
     alike = Window.partitionBy(*by, *AXES).orderBy("_p")
     p = materialise(p.withColumn("_n", F.row_number().over(alike)).filter(F.col("_n") <= k + 1).drop("_n"))
     n = p.count()
+    q = q if by else materialise(q)
     out_cols = [*by, F.col("_q").alias(query_id), F.col("_p").alias(point_id), "d2", "rank"]
     if not n:
         return q.join(p.select(*by, "_p"), list(by), "inner").withColumns({"d2": F.lit(0.0), "rank": F.lit(1)}).select(*out_cols) if by else q.crossJoin(p.select("_p")).withColumns({"d2": F.lit(0.0), "rank": F.lit(1)}).select(*out_cols)
-    box = p.unionByName(q.select(*by, F.lit(None).alias("_p").cast(p.schema["_p"].dataType), *[F.col(f"q_{a}").alias(a) for a in AXES])).agg(*[(F.max(a) - F.min(a)).alias(a) for a in AXES]).first()
-    extent = max([box[a] for a in AXES]) + 1e-9
-    spans = sorted((box[a] for a in AXES), reverse=True)
-    cell = first_cell or max(extent / 2**20, (max(spans[0], 1e-6) * max(spans[1], 1e-6) * (k + 1) / n) ** 0.5 / 4)
+    if by:
+        q = materialise(q.join(p.select(*by).distinct(), [*by], "left_semi"))  # others have nothing to find
+    both = p.select(*by, *AXES).unionByName(q.select(*by, *[F.col(f"q_{a}").alias(a) for a in AXES]))
+    box = both.groupBy(*by).agg(*[(F.max(a) - F.min(a)).alias(a) for a in AXES]).agg(*[F.max(a) for a in AXES]).first()
+    extent = max(box) + 1e-9
+    cell = first_cell or _first_cell(p, by, n, k, extent)
     w = Window.partitionBy(*by, "_q").orderBy("d2", "_p")
     done = []
     while True:
@@ -113,7 +132,7 @@ def knn(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_id:
         q = materialise(q.join(sure, [*by, "_q"], "left_anti"))
         if not q.limit(1).count():
             break
-        cell = min(cell * 3, extent) if cell * 3 < extent else extent
+        cell = min(cell * 6, extent)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -32,9 +32,15 @@ def center(size: float, origin: tuple[float, float, float] = (0.0, 0.0, 0.0)) ->
 
 
 def covariance(population: bool = True) -> list[Column]:
-    """Aggregates c_xx .. c_zz of x, y, z; the diagonal is at least 0."""
+    """Aggregates c_xx .. c_zz of ux, uy, uz; the diagonal is at least 0."""
     cov, var = (F.covar_pop, F.var_pop) if population else (F.covar_samp, F.var_samp)
-    return [(F.greatest(var(a), F.lit(0.0)) if a == b else cov(a, b)).alias(f"c_{a}{b}") for a, b in (("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z"))]
+    return [(F.greatest(var(f"u{a}"), F.lit(0.0)) if a == b else cov(f"u{a}", f"u{b}")).alias(f"c_{a}{b}") for a, b in (("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z"))]
+
+
+def _local(points: DataFrame, size: float, origin: tuple[float, float, float]) -> DataFrame:
+    """Adds ux, uy, uz, the place relative to the voxel's center: sums of it lose no digits, however far the frame's origin is."""
+    mid = center(size, origin)
+    return points.withColumns({f"u{a}": F.col(a) - mid[a] for a in AXES})
 
 
 def usable_points(points: DataFrame) -> DataFrame:
@@ -54,19 +60,19 @@ def features(points: DataFrame, size: float, names: Sequence[str], origin: tuple
     if unknown:
         raise ValueError(f"unknown features: {sorted(unknown)}")
     eigen = [n for n in names if n in EIGEN]
-    p = with_voxels(usable_points(points), size, origin)
+    p = _local(with_voxels(usable_points(points), size, origin), size, origin)
     keys = [*by, *VOXEL]
     mid = center(size, origin)
-    aggs = [F.count("*").alias("count"), *[F.avg(a).alias(a) for a in AXES]]
+    aggs = [F.count("*").alias("count"), *[F.avg(f"u{a}").alias(f"l{a}") for a in AXES]]
     if eigen or "covariance" in names:
         aggs += covariance()
     if "closest_to_center" in names:
-        d2 = sum((F.col(a) - mid[a]) * (F.col(a) - mid[a]) for a in AXES)
+        d2 = sum(F.col(f"u{a}") * F.col(f"u{a}") for a in AXES)
         aggs.append(F.min_by(F.struct(*AXES, point_id), F.struct(d2, point_id)).alias("near_center"))
     v = p.groupBy(*keys).agg(*aggs)
     if "closest_to_centroid" in names:
-        c = p.join(v.select(*keys, *[F.col(a).alias(f"_m{a}") for a in AXES]), keys)
-        d2 = sum((F.col(a) - F.col(f"_m{a}")) * (F.col(a) - F.col(f"_m{a}")) for a in AXES)
+        c = p.join(v.select(*keys, *[F.col(f"l{a}").alias(f"_m{a}") for a in AXES]), keys)
+        d2 = sum((F.col(f"u{a}") - F.col(f"_m{a}")) * (F.col(f"u{a}") - F.col(f"_m{a}")) for a in AXES)
         v = v.join(c.groupBy(*keys).agg(F.min_by(F.struct(*AXES, point_id), F.struct(d2, point_id)).alias("near_centroid")), keys)
     if eigen:
         v = eigen_features(linalg.with_eigenvalues(v, "c"))
@@ -77,11 +83,11 @@ def features(points: DataFrame, size: float, names: Sequence[str], origin: tuple
         elif n == "density":
             out.append((F.col("count") / float(size) ** 3).alias("density"))
         elif n == "centroid":
-            out += [F.col(a) for a in AXES]
+            out += [(mid[a] + F.col(f"l{a}")).alias(a) for a in AXES]
         elif n == "voxel_center":
             out += [mid[a].alias(f"center_{a}") for a in AXES]
         elif n == "local_centroid":
-            out += [(F.col(a) - mid[a]).alias(f"local_{a}") for a in AXES]
+            out += [F.col(f"l{a}").alias(f"local_{a}") for a in AXES]
         elif n == "covariance":
             out += linalg.parts("c")
         elif n == "eigenvalues":
@@ -115,10 +121,10 @@ def reduce(points: DataFrame, size: float, mode: str, origin: tuple[float, float
         return v.join(points.select(*by, point_id, *averaged).dropDuplicates([*by, point_id]), [*by, point_id]) if averaged else v
     if mode not in ("voxel_center", "centroid"):
         raise ValueError(f"unknown mode: {mode}")
-    p = with_voxels(usable_points(points), size, origin)
-    at = {a: (F.avg(a) if mode == "centroid" else None) for a in AXES}
-    v = p.groupBy(*by, *VOXEL).agg(*[c.alias(a) for a, c in at.items() if c is not None], *[F.avg(c).alias(c) for c in averaged], F.count("*").alias("count"))
-    return v if mode == "centroid" else v.withColumns(center(size, origin))
+    p = _local(with_voxels(usable_points(points), size, origin), size, origin)
+    v = p.groupBy(*by, *VOXEL).agg(*[F.avg(f"u{a}").alias(f"l{a}") for a in AXES], *[F.avg(c).alias(c) for c in averaged], F.count("*").alias("count"))
+    mid = center(size, origin)
+    return v.withColumns({a: mid[a] + F.col(f"l{a}") if mode == "centroid" else mid[a] for a in AXES}).drop(*[f"l{a}" for a in AXES])
 
 
 def select_by_mask(points: DataFrame, mask: DataFrame, size: float, inside: bool = True, origin: tuple[float, float, float] = (0.0, 0.0, 0.0), by: Sequence[str] = ()) -> DataFrame:
@@ -149,7 +155,7 @@ def mahalanobis(first: DataFrame, second: DataFrame, size: float, origin: tuple[
     """
     keys = [*by, *VOXEL]
     both = with_voxels(usable_points(first), size, origin).select(*keys, *AXES, F.lit(1).alias("t")).unionByName(with_voxels(usable_points(second), size, origin).select(*keys, *AXES, F.lit(2).alias("t")))
-    side = both.groupBy(*keys, "t").agg(F.count("*").alias("n"), *[F.avg(a).alias(a) for a in AXES], *covariance())
+    side = _local(both, size, origin).groupBy(*keys, "t").agg(F.count("*").alias("n"), *[F.avg(f"u{a}").alias(a) for a in AXES], *covariance())
     ridge = (F.col("c_xx") + F.col("c_yy") + F.col("c_zz") + 1e-6) * 1e-6
     side = side.withColumn("_r", ridge).withColumns({f"c_{k}": F.col(f"c_{k}") + F.col("_r") for k in ("xx", "yy", "zz")}).withColumn("det", linalg.det3(*linalg.parts("c"))).drop("_r")
     row = F.struct(*[c for c in side.columns if c not in keys and c != "t"])

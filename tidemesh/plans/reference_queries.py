@@ -23,13 +23,23 @@ def query(sql: str | None = None):
     return add
 
 
+#: Means of numbers in thousandths often end in a 5; moved by this much, both engines round them the same way.
+_NUDGE = 1e-7
+
+
 def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), digits) + F.lit(0.0) for c in names})
 
 
+def nudged(df: DataFrame, digits: int, *names: str) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c) + F.lit(_NUDGE), digits) + F.lit(0.0) for c in names})
+
+
 BY = ["analysis_id"]
 SIZE = 2.0
 _VOX = "floor(x / 2e0)::bigint vx, floor(y / 2e0)::bigint vy, floor(z / 2e0)::bigint vz"
+_LOCAL = f"loc as (select *, x - (vx * 2e0 + 1) ux, y - (vy * 2e0 + 1) uy, z - (vz * 2e0 + 1) uz from (select *, {_VOX} from cloud))"
+_MID = {a: f"(v{a} * 2e0 + 1)" for a in "xyz"}
 
 # --- points ------------------------------------------------------------------------------------------------------
 
@@ -91,21 +101,21 @@ def corepoint_grid(spark: SparkSession, sf: str) -> DataFrame:
 # --- voxels ------------------------------------------------------------------------------------------------------
 
 
-@query(f"""with {POINTS}, v as (select analysis_id, {_VOX}, count(*) "count", avg(x) mx, avg(y) my, avg(z) mz from cloud group by all)
-select analysis_id, vx, vy, vz, "count", "count" / 8e0 density, round(mx, 4) x, round(my, 4) y, round(mz, 4) z, vx * 2e0 + 1 center_x, vy * 2e0 + 1 center_y, vz * 2e0 + 1 center_z,
-round(mx - (vx * 2e0 + 1), 4) local_x, round(my - (vy * 2e0 + 1), 4) local_y, round(mz - (vz * 2e0 + 1), 4) local_z from v""")
+@query(f"""with {POINTS}, {_LOCAL}, v as (select analysis_id, vx, vy, vz, count(*) "count", avg(ux) mx, avg(uy) my, avg(uz) mz from loc group by 1, 2, 3, 4)
+select analysis_id, vx, vy, vz, "count", "count" / 8e0 density, round({_MID["x"]} + mx + 1e-7, 4) x, round({_MID["y"]} + my + 1e-7, 4) y, round({_MID["z"]} + mz + 1e-7, 4) z, {_MID["x"]} center_x, {_MID["y"]} center_y, {_MID["z"]} center_z,
+round(mx + 1e-7, 4) + 0e0 local_x, round(my + 1e-7, 4) + 0e0 local_y, round(mz + 1e-7, 4) + 0e0 local_z from v""")
 def voxel_moments(spark: SparkSession, sf: str) -> DataFrame:
     v = voxel.features(cloud(spark, sf), SIZE, ["count", "density", "centroid", "voxel_center", "local_centroid"], by=BY)
-    return rounded(v, 4, "x", "y", "z", "local_x", "local_y", "local_z")
+    return nudged(v, 4, "x", "y", "z", "local_x", "local_y", "local_z")
 
 
-@query(f"with {POINTS} select analysis_id, {_VOX}, count(*) \"count\", " + ", ".join(f"round({'var_pop(' + a + ')' if a == b else 'covar_pop(' + a + ', ' + b + ')'}, 5) + 0e0 c_{a}{b}" for a, b in (("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z"))) + " from cloud group by 1, 2, 3, 4")
+@query(f'with {POINTS}, {_LOCAL} select analysis_id, vx, vy, vz, count(*) "count", ' + ", ".join(f"round({f'var_pop(u{a})' if a == b else f'covar_pop(u{a}, u{b})'}, 5) + 0e0 c_{a}{b}" for a, b in (("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z"))) + " from loc group by 1, 2, 3, 4")
 def voxel_covariance(spark: SparkSession, sf: str) -> DataFrame:
     v = voxel.features(cloud(spark, sf), SIZE, ["count", "covariance"], by=BY)
     return rounded(v, 5, *[c for c in v.columns if c.startswith("c_")])
 
 
-_EIG = f"""m as (select analysis_id, {_VOX}, count(*) n, var_pop(x) xx, covar_pop(x, y) xy, covar_pop(x, z) xz, var_pop(y) yy, covar_pop(y, z) yz, var_pop(z) zz from cloud group by 1, 2, 3, 4 having count(*) >= 4),
+_EIG = f"""{_LOCAL}, m as (select analysis_id, vx, vy, vz, count(*) n, var_pop(ux) xx, covar_pop(ux, uy) xy, covar_pop(ux, uz) xz, var_pop(uy) yy, covar_pop(uy, uz) yz, var_pop(uz) zz from loc group by 1, 2, 3, 4 having count(*) >= 4),
 q as (select *, (xx + yy + zz) / 3 q from m), p as (select *, sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) p from q),
 d as (select *, case when p > 0 then p else 1 end s from p), f as (select *, acos(least(greatest(((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (s * s * s) / 2, -1), 1)) / 3 f from d),
 e as (select *, q + 2 * p * cos(f) a, q + 2 * p * cos(f + 2 * pi() / 3) c from f), l as (select analysis_id, vx, vy, vz, n, greatest(a, 0) l1, greatest(3 * q - a - c, 0) l2, greatest(c, 0) l3 from e)"""
@@ -126,26 +136,26 @@ def voxel_entropy(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(v, 4, "l1", "l2", "l3", "omnivariance", "eigenentropy")
 
 
-def _argmin(centre: str) -> str:
-    at = {"center": "(vx * 2e0 + 1, vy * 2e0 + 1, vz * 2e0 + 1)", "centroid": "(mx, my, mz)"}[centre][1:-1].split(", ")
-    d = " + ".join(f"({a} - ({c})) * ({a} - ({c}))" for a, c in zip("xyz", at))
-    return f"""with {POINTS}, g as (select analysis_id, {_VOX}, point_id, x, y, z from cloud), h as (select *, avg(x) over w mx, avg(y) over w my, avg(z) over w mz from g window w as (partition by analysis_id, vx, vy, vz)),
-r as (select *, row_number() over (partition by analysis_id, vx, vy, vz order by round({d}, 9), point_id) k from h) select analysis_id, vx, vy, vz, point_id from r where k = 1"""
+def _argmin(at: str) -> str:
+    d = " + ".join(f"(u{a} - {c}) * (u{a} - {c})" for a, c in zip("xyz", at.split()))
+    return f"""with {POINTS}, {_LOCAL}, h as (select *, avg(ux) over w mx, avg(uy) over w my, avg(uz) over w mz from loc window w as (partition by analysis_id, vx, vy, vz)),
+r as (select *, row_number() over (partition by analysis_id, vx, vy, vz order by {d}, point_id) k from h) select analysis_id, vx, vy, vz, point_id from r where k = 1"""
 
 
-@query(_argmin("center"))
+@query(_argmin("0 0 0"))
 def voxel_closest_to_center(spark: SparkSession, sf: str) -> DataFrame:
     return voxel.reduce(cloud(spark, sf), SIZE, "closest_to_center", by=BY).select("analysis_id", "vx", "vy", "vz", "point_id")
 
 
-@query(_argmin("centroid"))
+@query(_argmin("mx my mz"))
 def voxel_closest_to_centroid(spark: SparkSession, sf: str) -> DataFrame:
     return voxel.reduce(cloud(spark, sf), SIZE, "closest_to_centroid", by=BY).select("analysis_id", "vx", "vy", "vz", "point_id")
 
 
-@query(f"with {POINTS} select analysis_id, {_VOX}, round(avg(x), 4) x, round(avg(y), 4) y, round(avg(z), 4) z, round(avg(intensity), 4) intensity, count(*) \"count\" from cloud group by 1, 2, 3, 4")
+@query(f'with {POINTS}, {_LOCAL} select analysis_id, vx, vy, vz, round({_MID["x"]} + avg(ux) + 1e-7, 4) x, round({_MID["y"]} + avg(uy) + 1e-7, 4) y, round({_MID["z"]} + avg(uz) + 1e-7, 4) z, round(avg(intensity), 6) intensity, count(*) "count" from loc group by 1, 2, 3, 4')
 def voxel_mean_points(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(voxel.reduce(cloud(spark, sf), SIZE, "centroid", averaged=["intensity"], by=BY), 4, "x", "y", "z", "intensity")
+    v = voxel.reduce(cloud(spark, sf), SIZE, "centroid", averaged=["intensity"], by=BY)
+    return rounded(nudged(v, 4, "x", "y", "z"), 6, "intensity")
 
 
 _TWO = f"""{POINTS}, a as (select distinct analysis_id, {_VOX} from cloud where side = 1), b as (select distinct analysis_id, {_VOX} from cloud where side = 2)"""
@@ -185,12 +195,12 @@ def _inverse_quad(s: str) -> str:
     return f"greatest((dx * dx * ({yy} * {zz} - {yz} * {yz}) + dy * dy * ({xx} * {zz} - {xz} * {xz}) + dz * dz * ({xx} * {yy} - {xy} * {xy}) + 2 * (dx * dy * ({xz} * {yz} - {xy} * {zz}) + dx * dz * ({xy} * {yz} - {xz} * {yy}) + dy * dz * ({xy} * {xz} - {xx} * {yz}))) / {det}, 0)"
 
 
-_SIDE = f"select analysis_id, {_VOX}, count(*) n, avg(x) mx, avg(y) my, avg(z) mz, var_pop(x) xx, covar_pop(x, y) xy, covar_pop(x, z) xz, var_pop(y) yy, covar_pop(y, z) yz, var_pop(z) zz from cloud where side = %d group by 1, 2, 3, 4"
-_MAHA = f"""with {POINTS}, a0 as ({_SIDE % 1}), b0 as ({_SIDE % 2}),
+_SIDE = "select analysis_id, vx, vy, vz, 1 k, count(*) n, avg(ux) mx, avg(uy) my, avg(uz) mz, var_pop(ux) xx, covar_pop(ux, uy) xy, covar_pop(ux, uz) xz, var_pop(uy) yy, covar_pop(uy, uz) yz, var_pop(uz) zz from loc where side = %d group by 1, 2, 3, 4"
+_MAHA = f"""with {POINTS}, {_LOCAL}, a0 as ({_SIDE % 1}), b0 as ({_SIDE % 2}),
 a as (select * replace (xx + (xx + yy + zz + 1e-6) * 1e-6 as xx, yy + (xx + yy + zz + 1e-6) * 1e-6 as yy, zz + (xx + yy + zz + 1e-6) * 1e-6 as zz) from a0),
 b as (select * replace (xx + (xx + yy + zz + 1e-6) * 1e-6 as xx, yy + (xx + yy + zz + 1e-6) * 1e-6 as yy, zz + (xx + yy + zz + 1e-6) * 1e-6 as zz) from b0),
 j as (select analysis_id, vx, vy, vz, a, b, a.mx - b.mx dx, a.my - b.my dy, a.mz - b.mz dz from a full join b using (analysis_id, vx, vy, vz)),
-m as (select analysis_id, vx, vy, vz, case when b is null then 1 when a is null then 2 else 3 end::tinyint change_type, coalesce(a.n, 0) na, coalesce(b.n, 0) nb, case when a is not null and b is not null then greatest({_inverse_quad("a")}, {_inverse_quad("b")}) end d from j)
+m as (select analysis_id, vx, vy, vz, case when b.k is null then 1 when a.k is null then 2 else 3 end::tinyint change_type, coalesce(a.n, 0) na, coalesce(b.n, 0) nb, case when a.k is not null and b.k is not null then greatest({_inverse_quad("a")}, {_inverse_quad("b")}) end d from j)
 select analysis_id, vx, vy, vz, change_type, (d > 0.024297585815692576)::int significance, (change_type <> 3 or na < 4 or nb < 4 or coalesce(d > 0.024297585815692576, false))::int changed from m"""
 
 
@@ -371,10 +381,10 @@ def _segmented(spark: SparkSession, sf: str) -> DataFrame:
 _SEG = f"{POINTS}, seg as (select *, floor(x / 4e0)::bigint * 10000000 + floor(y / 4e0)::bigint segment_id from cloud), m as (select analysis_id, side, segment_id, count(*) n, avg(x) x, avg(y) y, avg(z) z from seg group by 1, 2, 3 having count(*) >= 3)"
 
 
-@query(f"with {_SEG} select analysis_id, side, segment_id, n num_points, round(x, 4) x, round(y, 4) y, round(z, 4) z from m")
+@query(f"with {_SEG} select analysis_id, side, segment_id, n num_points, round(x + 1e-7, 4) x, round(y + 1e-7, 4) y, round(z + 1e-7, 4) z from m")
 def segment_centres(spark: SparkSession, sf: str) -> DataFrame:
     m = planes.segment_metrics(_segmented(spark, sf), by=["analysis_id", "side"])
-    return rounded(m.select("analysis_id", "side", "segment_id", "num_points", "x", "y", "z"), 4, "x", "y", "z")
+    return nudged(m.select("analysis_id", "side", "segment_id", "num_points", "x", "y", "z"), 4, "x", "y", "z")
 
 
 @query()
