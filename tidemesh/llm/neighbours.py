@@ -86,21 +86,24 @@ def _merged(parts: DataFrame, k: int) -> DataFrame:
     return parts.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
 
 
+def fitted(vectors: DataFrame, n: int, trees: int, leaf: int, sample_rows: int, seed: int) -> Trees:
+    """Trees of a sample of at most sample_rows of the n vectors, deep enough for leaves of about `leaf` where the sample allows."""
+    share = min(1.0, 1.2 * sample_rows / n)
+    sample = (vectors.select("v").sample(share, seed).limit(sample_rows) if n > sample_rows else vectors.select("v")).toPandas()["v"]
+    depth = max(0, min(int(np.ceil(np.log2(n / leaf))), int(np.log2(max(len(sample), 2))) - 3))
+    return Trees(np.stack(sample).astype(np.float32), trees, depth, seed)
+
+
 def leaf_graph(vectors: DataFrame, k: int, trees: int, leaf: int, sample_rows: int, seed: int) -> DataFrame:
-    """A first graph (id, near): the k nearest within the leaves of some random-plane trees.
+    """A first graph (id, near): the k nearest within the leaves of some random-plane trees and of one random division.
 
-    The planes are fitted to at most sample_rows rows; every row is placed. A leaf of more than 2 * leaf rows is cut at
+    The division gives every row a full list, wherever the trees put it. The planes are fitted to at most sample_rows rows; every row is placed. A leaf of more than 2 * leaf rows is cut at
     random into parts of about `leaf`: it loses neighbours for the descent to find again, never rows.
     """
     n = vectors.count()
     if n < 2:
         return vectors.select("id", F.expr("cast(array() as array<struct<d: double, id: long>>)").alias("near"))
-    share = min(1.0, 1.2 * sample_rows / n)
-    sample = vectors.select("v").sample(share, seed).limit(sample_rows).toPandas()["v"] if n > sample_rows else vectors.select("v").toPandas()["v"]
-    depth = max(0, min(int(np.ceil(np.log2(n / leaf))), int(np.log2(max(len(sample), 2))) - 3))
-    forest = Trees(np.stack(sample).astype(np.float32), trees, depth, seed)
-    each = -(-n // 2**depth)
-    parts = max(1, -(-each // (2 * leaf)))
+    forest = fitted(vectors, n, trees, leaf, sample_rows, seed)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -108,6 +111,7 @@ def leaf_graph(vectors: DataFrame, k: int, trees: int, leaf: int, sample_rows: i
                 leaves = forest.leaves(_matrix(b.column(1)).astype(np.float32))
                 for t in range(trees):
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.full(b.num_rows, t, np.int32)), pa.array(leaves[:, t])], names=["id", "v", "tree", "leaf"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.full(b.num_rows, trees, np.int32)), pa.array(np.zeros(b.num_rows, np.int64))], names=["id", "v", "tree", "leaf"])
 
     def link(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by("id")
@@ -120,7 +124,7 @@ def leaf_graph(vectors: DataFrame, k: int, trees: int, leaf: int, sample_rows: i
     placed = vectors.mapInArrow(place, "id long, v array<double>, tree int, leaf long")
     counts = placed.groupBy("tree", "leaf").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * leaf)
     big = counts.select("tree", "leaf", F.ceil(F.col("n") / leaf).alias("parts"))
-    placed = placed.join(big, ["tree", "leaf"], "left").withColumn("part", F.pmod(F.xxhash64("id", "tree"), F.coalesce("parts", F.lit(parts))))
+    placed = placed.join(big, ["tree", "leaf"], "left").withColumn("part", F.pmod(F.xxhash64("id", "tree"), F.coalesce("parts", F.lit(1))))
     return _merged(placed.select("tree", "leaf", "part", "id", "v").groupBy("tree", "leaf", "part").applyInArrow(link, _GRAPH), k)
 
 
@@ -172,7 +176,7 @@ def descend(vectors: DataFrame, graph: DataFrame, k: int, most: int) -> DataFram
     return _merged(graph.unionByName(better), k)
 
 
-def neighbour_graph(vectors: DataFrame, k: int = 10, trees: int = 4, leaf: int = 256, sample_rows: int = 40_000, rounds: int = 4, settled: float = 0.002, seed: int = 5) -> DataFrame:
+def neighbour_graph(vectors: DataFrame, k: int = 14, trees: int = 4, leaf: int = 256, sample_rows: int = 40_000, rounds: int = 4, settled: float = 0.0005, seed: int = 5) -> DataFrame:
     """(id, near): about the k nearest of every vector by Euclidean distance, nearest first, by NN-descent.
 
     vectors: (id, v) as usable_vectors gives. Ties go to the smaller id. Rounds end after `rounds`, or when fewer than
@@ -190,20 +194,52 @@ def neighbour_graph(vectors: DataFrame, k: int = 10, trees: int = 4, leaf: int =
     return graph
 
 
-def search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5, beam: int = 16, starts: int = 24, rounds: int = 12, seed: int = 5) -> DataFrame:
+def _entries(vectors: DataFrame, queries: DataFrame, beam: int, leaf: int, sample_rows: int, seed: int) -> DataFrame:
+    """(query_id, best): for each query the `beam` nearest vectors of its leaf in one tree, and of one random group; a large leaf is parted at random, and a query looks into one part."""
+    n = vectors.count()
+    forest = fitted(vectors, n, 1, leaf, sample_rows, seed + 1)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                at = forest.leaves(_matrix(b.column(1)).astype(np.float32))[:, 0]
+                for t, l in ((0, at), (1, at * 0)):
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, t, np.int32)), pa.array(l)], names=["id", "v", "asks", "tree", "leaf"])
+
+    both = vectors.select("id", "v", F.lit(False).alias("asks")).unionByName(queries.select("id", "v", F.lit(True).alias("asks")))
+    placed = both.mapInArrow(place, "id long, v array<double>, asks boolean, tree int, leaf long")
+    big = placed.filter("not asks").groupBy("tree", "leaf").agg(F.ceil(F.count("*") / leaf).alias("parts"))
+    placed = placed.join(big, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id", "asks"), F.col("parts")))
+
+    def meet(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by("id")
+        asks, ids, v = group["asks"].to_numpy(), group["id"].to_numpy(), _matrix(group["v"].combine_chunks())
+        q, p = np.flatnonzero(asks), np.flatnonzero(~asks)
+        k = min(beam, len(p))
+        if not k or not len(q):
+            return pa.table({"id": pa.array([], pa.int64()), "near": _lists(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0)})
+        d = (v[q] ** 2).sum(1)[:, None] + (v[p] ** 2).sum(1)[None] - 2 * v[q] @ v[p].T
+        at = np.argpartition(d, k - 1, axis=1)[:, :k]
+        row, at = np.repeat(np.arange(len(q)), k), p[at.ravel()]
+        return pa.table({"id": ids[q], "near": _lists(row, ids[at], np.sqrt(((v[q][row] - v[at]) ** 2).sum(1)), len(q))})
+
+    found = _merged(placed.select("tree", "leaf", "part", "id", "v", "asks").groupBy("tree", "leaf", "part").applyInArrow(meet, _GRAPH), beam)
+    return found.select(F.col("id").alias("query_id"), F.transform("near", lambda e: F.struct(e["d"].alias("d"), e["id"].alias("id"), F.lit(False).alias("done"))).alias("best"))
+
+
+def search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5, beam: int = 16, leaf: int = 256, sample_rows: int = 40_000, rounds: int = 12, seed: int = 5) -> DataFrame:
     """(query_id, id, d, rank): greedy search of a neighbour graph for each query (id, v), by joins.
 
-    Every query starts from the same `starts` vectors; in each round it looks at the neighbours of its `beam` best nodes
-    not yet expanded, until none is nearer. A query that is itself in the collection finds itself too. Ties go to the
-    smaller id; an empty side gives an empty result.
+    A query starts from the nearest vectors of a leaf of one random-plane tree; in each round it looks at the neighbours of
+    its `beam` best nodes not yet expanded, until none is nearer. A query that is itself in the collection finds itself
+    too. Ties go to the smaller id; an empty side gives an empty result.
     """
     graph, vectors = materialise(graph.select("id", F.transform("near", lambda e: e["id"]).alias("near"))), materialise(vectors)
     q = materialise(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")))
-    entry = vectors.orderBy(F.xxhash64("id", F.lit(seed))).limit(starts).select("id")
+    if not vectors.limit(1).count() or not q.limit(1).count():
+        return q.select("query_id", F.col("query_id").alias("id"), F.lit(0.0).alias("d"), F.lit(1).alias("rank")).limit(0)
     far = F.sqrt(F.expr("aggregate(zip_with(q, v, (a, b) -> (a - b) * (a - b)), 0e0, (s, x) -> s + x)"))
-    seen = q.crossJoin(F.broadcast(entry)).join(vectors, "id").select("query_id", "id", far.alias("d"), F.lit(False).alias("done"))
-    best = seen.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id", "done"))), 1, beam).alias("best"))
-    best = materialise(best)
+    best = materialise(_entries(vectors, queries, beam, leaf, sample_rows, seed))
     for _ in range(rounds):
         ahead = best.select("query_id", F.explode("best").alias("b")).filter("not b.done").join(graph, F.col("b.id") == graph["id"]).select("query_id", F.explode("near").alias("id")).distinct()
         known = best.select("query_id", F.explode("best.id").alias("id"))
