@@ -13,7 +13,9 @@ from ..functions.segments import list_parts, medians, tail_cutoffs
 from .series import BLOCK, longest_position, pack, readings
 
 FIELDS = ("distance", "lodetection", "spread2", "num_samples2")
-HALO = 4
+#: Readings of the neighbouring blocks that a block of a very long series looks at; no run of impossible or stuck values at
+#: its border should be longer.
+HALO = 64
 FLAGS = "corepoint_id long, epoch_idx int, spike boolean, returned boolean, stuck boolean, impossible boolean, height double, cutoff double"
 
 
@@ -74,27 +76,28 @@ def judge(row: np.ndarray, fields: list[np.ndarray], n: int, season: int, times:
     return out
 
 
-def _packed(distances: DataFrame) -> tuple[DataFrame, bool]:
+def _packed(distances: DataFrame, furthest: float) -> DataFrame:
     longest = longest_position(distances)
-    one = longest < BLOCK
     p = pack(readings(distances, FIELDS), ["corepoint_id"], F.col("epoch_idx"), "epoch_idx", list(FIELDS), HALO, longest)
-    if one:
-        return p.withColumn("scale", F.expr("cast(null as array<double>)")), True
+    if longest < BLOCK:
+        return p.withColumn("scale", F.expr("cast(null as array<double>)"))
     # Only series of several blocks need their median changes from all of them: exact percentiles of exploded changes.
     long = p.filter("size(before) > 0 or size(after) > 0")
     scale = None
     for name in ("distance", "lodetection", "spread2"):
-        c = long.select("corepoint_id", F.explode(F.expr(_changes(name))).alias("c"))
+        c = long.select("corepoint_id", F.explode(F.expr(_changes(name, furthest))).alias("c"))
         m = c.groupBy("corepoint_id").agg(F.expr("percentile(c, 0.5)").alias(name))
         scale = m if scale is None else scale.join(m, "corepoint_id", "full")
     scale = scale.select("corepoint_id", F.array("distance", "lodetection", "spread2").alias("scale"))
-    return p.join(scale, "corepoint_id", "left"), False
+    return p.join(scale, "corepoint_id", "left")
 
 
-def _changes(name: str) -> str:
-    ok = "abs(i.distance) <= 25" if name == "distance" else f"i.{name} >= 0 and i.{name} < double('inf')"
-    vals = f"transform(filter(concat(slice(before, greatest(size(before), 1), 1), items), i -> {ok} and not isnan(i.{name})), i -> i.{name})"
-    return f"transform(slice(arrays_zip({vals} as a, slice({vals}, 2, {BLOCK + 1}) as b), 1, greatest(size({vals}) - 1, 0)), p -> abs(p.b - p.a))"
+def _changes(name: str, furthest: float) -> str:
+    """Absolute changes between successive possible values of a block, and into it from the one before."""
+    ok = f"i -> not isnan(i.{name}) and " + (f"abs(i.distance) <= {furthest}" if name == "distance" else f"i.{name} >= 0 and i.{name} < double('inf')")
+    last = f"slice(filter(before, {ok}), greatest(size(filter(before, {ok})), 1), 1)"
+    vals = f"transform(concat({last}, filter(items, {ok})), i -> i.{name})"
+    return f"zip_with(slice({vals}, 1, greatest(size({vals}) - 1, 0)), slice({vals}, 2, greatest(size({vals}) - 1, 0)), (a, b) -> abs(b - a))"
 
 
 def _batches(batches: Iterator[pa.RecordBatch], season: int, times: float, risk: float, stuck: int, furthest: float):
@@ -130,7 +133,7 @@ def flag_readings(distances: DataFrame, times: float = 10.0, risk: float = 1e-3,
     Null or NaN distances are no readings; other missing fields are skipped in their own series. Repeated and superseded
     rows: see held_rows. Empty tables give an empty result; further columns are ignored.
     """
-    p, _ = _packed(distances)
+    p = _packed(distances, furthest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, row, fields, own, f in _batches(batches, season, times, risk, stuck, furthest):
@@ -146,7 +149,7 @@ def flag_readings(distances: DataFrame, times: float = 10.0, risk: float = 1e-3,
 
 def trusted_series(distances: DataFrame, times: float = 10.0, risk: float = 1e-3, stuck: int = 5, furthest: float = 25.0, season: int = 1) -> DataFrame:
     """Packed series without the readings that are returned spikes, stuck or impossible: (corepoint_id, block, epochs array<int>, distances array<double>)."""
-    p, _ = _packed(distances)
+    p = _packed(distances, furthest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, row, fields, own, f in _batches(batches, season, times, risk, stuck, furthest):
