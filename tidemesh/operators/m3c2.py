@@ -120,7 +120,8 @@ def m3c2_series(corepoints: DataFrame, cloud: DataFrame, epoch: str, reference:
 
     Rows come for every corepoint and epoch in which its cylinder holds points.
     """
-    pairs = cylinder_join(corepoints, cloud, radius, max_distance, corepoint_id, point_id, [*by], [epoch])
+    cloud = cloud.withColumn("_pid", F.struct(epoch, point_id)).drop(point_id)  # ids may recur from epoch to epoch
+    pairs = cylinder_join(corepoints, cloud, radius, max_distance, corepoint_id, "_pid", [*by], [epoch])
     g = pairs.groupBy(*by, "_q", epoch).agg(*mean_spread(F.col("along")), F.count("*").alias("n"))
     ref = g.filter(F.col(epoch) == reference).select(*by, "_q", *[F.col(c).alias(f"{c}1") for c in ("value", "spread", "n")])
     both = g.select(*by, "_q", epoch, *[F.col(c).alias(f"{c}2") for c in ("value", "spread", "n")]).join(ref, [*by, "_q"], "left")

@@ -37,14 +37,14 @@ class Folder:
         df.write.mode(mode).options(**options).parquet(f"{self.path}/{name}")
 
     def note(self, value: dict) -> None:
-        out = self._fs.create(self._at("_meta.json"), True)
+        out = self._fs.create(self._at("meta.json"), True)
         out.write(bytearray(json.dumps(value).encode()))
         out.close()
 
     def notes(self) -> dict | None:
-        if not self.has("_meta.json"):
+        if not self.has("meta.json"):
             return None
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/_meta.json").collect()))
+        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/meta.json").collect()))
 
 
 def save_epoch(cloud: DataFrame, path: str, when=None, transformations: list | None = None) -> None:
