@@ -123,6 +123,8 @@ def like_groups(distances: DataFrame, corepoints: DataFrame, reach: float = 40.0
     (how many are like it, the first of them and two hashes of them), never pairs. Members with equal closed
     neighbourhoods as many as their size are a group.
 
+    A corepoint's series is one row here: it has at most as many readings as its analysis has scans.
+
     Corepoints with a null, NaN or infinite coordinate, without analysis or without trusted readings are in no group;
     repeated rows count once; empty tables give an empty result; further columns are ignored.
     """
