@@ -62,7 +62,7 @@ def best_threshold(grown: list[dict[int, float]], thresholds: Sequence[float], l
     return thresholds[-1], grown[-1]
 
 
-def objects_by_change(seeds: DataFrame, series: DataFrame, corepoints: DataFrame, radius: float = 1.0, thresholds: Sequence[float] = THRESHOLDS, least: int = 20, most: int | None = None, by: Sequence[str] = ("analysis_id",), key: str = "corepoint_id", first_rank: int = 1, last_rank: int | None = None, variation: float | None = 0.8) -> DataFrame:
+def objects_by_change(seeds: DataFrame, series: DataFrame, corepoints: DataFrame, radius: float = 1.0, thresholds: Sequence[float] = THRESHOLDS, least: int = 20, most: int | None = None, by: Sequence[str] = ("analysis_id",), key: str = "corepoint_id", first_rank: int = 1, last_rank: int | None = None, variation: float | None = 0.8, distance: Callable = normalised_dtw) -> DataFrame:
     """(by, object_id, seed_rank, corepoint_id, dtw, start_epoch, end_epoch, threshold) of the accepted objects.
 
     seeds: (by, key, start_epoch, end_epoch, seed_rank); series: (by, key, values), filled. Analyses are worked off side by
@@ -92,7 +92,7 @@ def objects_by_change(seeds: DataFrame, series: DataFrame, corepoints: DataFrame
             if any(a < y and x < b for x, y in held.get(k, ())):
                 continue
             known: dict[int, float] = {}
-            t, g = best_threshold([grow(k, a, b, values, links, t, least, limit, known=known) for t in steps], steps, least, limit)
+            t, g = best_threshold([grow(k, a, b, values, links, t, least, limit, distance, known) for t in steps], steps, least, limit)
             if not g:
                 continue
             d = np.array([v for v in g.values()])

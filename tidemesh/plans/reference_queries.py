@@ -566,3 +566,27 @@ def icp_recovers(spark: SparkSession, sf: str) -> DataFrame:
     moved = registration.transform(core, registration.Transformation.of([[1, 0, 0, 0.04], [0, 1, 0, -0.03], [0, 0, 1, 0.05]], tuple(r)))
     t = registration.icp(core, moved, 10, 1e-6, tuple(r))
     return spark.createDataFrame([(i, *[round(v, 3) + 0.0 for v in row]) for i, row in enumerate(t.matrix)], "row int, a double, b double, c double, t double")
+
+
+@query(f"with {_OCT}, full_cells as (select zkey >> 12 cell from keys group by 1 having count(*) >= 100) select point_id, zkey >> 12 cell from keys where zkey >> 12 in (select cell from full_cells)")
+def octree_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Points of the cells of level 6 that hold at least 100."""
+    p = cloud_all(spark, sf)
+    key = octree.morton(octree.bounding_box(p))
+    return octree.in_cells(p, key, octree.cells(p, key, 6).filter("points >= 100"), 6).select("point_id", "cell")
+
+
+_ENDS = ", ".join(f"{f}(struct_pack(k := {a}, p := point_id)).p {n}_{a}" for a in "xyz" for n, f in (("max", "max"), ("min", "min")))
+
+
+@query(f"with {_SEG}, p as (select analysis_id * 1000000000000000 + segment_id supervoxel_id, point_id, x, y, z from seg where side = 1) select supervoxel_id, count(*) points, {_ENDS} from p group by 1 having count(*) >= 5")
+def patch_extremes(spark: SparkSession, sf: str) -> DataFrame:
+    """The six extreme points of every segment of the first side."""
+    s = side(_segmented(spark, sf), 1).select((F.col("analysis_id") * 1_000_000_000_000_000 + F.col("segment_id")).alias("supervoxel_id"), "point_id", "x", "y", "z")
+    ends = [f("point_id", F.struct(a, "point_id")).alias(f"{n}_{a}") for a in "xyz" for n, f in (("max", F.max_by), ("min", F.min_by))]
+    return s.groupBy("supervoxel_id").agg(F.count("*").alias("points"), *ends).filter("points >= 5")
+
+
+@query(f"with {POINTS} select count(*)::bigint supervoxels from (select distinct floor((x - x0) / 4e0), floor((y - y0) / 4e0), floor((z - z0) / 4e0) from pts, (select min(x) x0, min(y) y0, min(z) z0 from pts))")
+def supervoxel_count(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(registration.supervoxel_count(cloud_all(spark, sf), 4.0),)], "supervoxels long")
