@@ -247,7 +247,7 @@ def test_transform_there_and_back_turns_normals(spark):
         registration.Transformation.of(np.eye(3))
 
 
-def _wave(rng, n=400):
+def _wave(rng, n=300):
     xy = rng.uniform(0, 10, (n, 2))
     z = np.sin(xy[:, 0]) + 0.5 * np.cos(1.3 * xy[:, 1])
     nrm = np.c_[-np.cos(xy[:, 0]), 0.65 * np.sin(1.3 * xy[:, 1]), np.ones(n)]
@@ -262,21 +262,21 @@ def test_icp_recovers_a_small_motion(spark, planes_):
     x0 = (5.0, 5.0, 0.0)
     q = (p - x0) @ rot.T + [0.03, -0.02, 0.02] + x0
     ref = cloud(spark, p, nx=n[:, 0].tolist(), ny=n[:, 1].tolist(), nz=n[:, 2].tolist())
-    t = (registration.plane_icp if planes_ else registration.icp)(ref, cloud(spark, q), 8, 1e-6, x0)
+    t = (registration.plane_icp if planes_ else registration.icp)(ref, cloud(spark, q), 5, 1e-6, x0)
     back = (q - x0) @ t.array()[:3, :3].T + t.array()[:3, 3] + x0
-    assert np.abs(back - p).max() < 5e-3
+    assert np.abs(back - p).max() < 1e-2
 
 
 def test_supervoxels_cover_every_point_once_and_stable_icp_moves_back(spark):
-    p, n = _wave(np.random.default_rng(8), 300)
+    p, n = _wave(np.random.default_rng(8), 200)
     more = dict(nx=n[:, 0].tolist(), ny=n[:, 1].tolist(), nz=n[:, 2].tolist())
     ref = cloud(spark, p, **more)
     s = rows(registration.supervoxels(ref, 3.0, 15), "point_id", "supervoxel_id")
-    assert [r[0] for r in s] == list(range(300)) and 5 < len({r[1] for r in s}) < 60
-    t = registration.stable_icp(ref, cloud(spark, p + [0.02, 0.01, 0.03], **more), 1.0, 0.1, 3.0, 3.0, min_points=4, k=15, max_rounds=3)
+    assert [r[0] for r in s] == list(range(200)) and 5 < len({r[1] for r in s}) < 60
+    t = registration.stable_icp(ref, cloud(spark, p + [0.02, 0.01, 0.03], **more), 1.0, 0.1, 3.0, 3.0, min_points=4, k=15, max_rounds=1, fit_iterations=4)
     assert t.array()[:3, 3] == pytest.approx([-0.02, -0.01, -0.03], abs=0.02)
     with pytest.raises(ValueError):
-        registration.stable_icp(ref, cloud(spark, p + [0, 0, 50], **more), 0.1, 0.05, 3.0, 3.0, min_points=4, k=15, max_rounds=1)
+        registration.stable_icp(ref, cloud(spark, p + [0, 0, 50], **more), 0.1, 0.05, 3.0, 3.0, min_points=4, k=15, max_rounds=1, fit_iterations=2)
 
 
 def test_octree_keys_round_trip_and_statistics(spark):

@@ -259,7 +259,7 @@ def plane_gap(queries: DataFrame, query_id: str, targets: DataFrame, target_id:
     return p.select(query_id, F.coalesce(along, F.sqrt("d2")).alias("gap"), F.sqrt("d2").alias("distance"))
 
 
-def stable_icp(reference: DataFrame, points: DataFrame, initial_threshold: float, level_of_detection: float, reference_resolution: float, resolution: float, min_points: int = 10, k: int = 50, reduction_point=(0.0, 0.0, 0.0), max_rounds: int = 20, point_id: str = "point_id") -> Transformation:
+def stable_icp(reference: DataFrame, points: DataFrame, initial_threshold: float, level_of_detection: float, reference_resolution: float, resolution: float, min_points: int = 10, k: int = 50, reduction_point=(0.0, 0.0, 0.0), max_rounds: int = 20, fit_iterations: int = 50, point_id: str = "point_id") -> Transformation:
     """Registration on the areas that did not change.
 
     Both clouds (with normals) are cut into supervoxels. A patch of `points` is stable if its centre and six extreme
@@ -289,7 +289,7 @@ def stable_icp(reference: DataFrame, points: DataFrame, initial_threshold: float
         part = materialise(moved.join(stable, "supervoxel_id", "left_semi").select(point_id, *AXES))
         if not part.limit(1).count():
             raise ValueError("no stable supervoxels; use a larger threshold")
-        step = plane_icp(ref, part, 50, 1e-5, reduction_point, point_id)
+        step = plane_icp(ref, part, fit_iterations, 1e-5, reduction_point, point_id)
         change = corner_change(low, high, step)
         now = now.then(step)
         if not shrinking and change < 2 * level_of_detection:
