@@ -34,7 +34,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 def p3_grid(spark: SparkSession, sf: str) -> DataFrame:
     """The regular series: readings, time-weighted mean and coverage per slot."""
     g = regular.regularise(_table(spark, sf, "distances"), _table(spark, sf, "epochs"), _table(spark, sf, "analyses"))
-    return g.select("corepoint_id", "slot", "n_readings", F.round("value", 6).alias("value"), F.round("coverage", 6).alias("coverage"), "missing")
+    return g.select("corepoint_id", "slot", "n_readings", F.round(F.col("value") + F.lit(1e-9), 6).alias("value"), F.round("coverage", 6).alias("coverage"), "missing")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,6 +98,6 @@ span as (select corepoint_id, any_value(step) step, unnest(range(min(slot), max(
 n as (select corepoint_id, slot, count(*) n from r group by 1, 2),
 parts as (select corepoint_id, unnest(range(slot, (greatest(until, us + 1) - 1) // step + 1)) slot, us, until, step, distance from r),
 cover as (select corepoint_id, slot, sum((least(until, (slot + 1) * step) - greatest(us, slot * step)) / step::double) c, sum(distance * (least(until, (slot + 1) * step) - greatest(us, slot * step)) / step::double) a from parts group by 1, 2)
-select corepoint_id, slot, coalesce(n, 0)::int n_readings, round(case when c > 0 then a / c end, 6) "value", round(coalesce(c, 0), 6) coverage, n is null missing
+select corepoint_id, slot, coalesce(n, 0)::int n_readings, round(case when c > 0 then a / c + 1e-9 end, 6) "value", round(coalesce(c, 0), 6) coverage, n is null missing
 from span left join n using (corepoint_id, slot) left join cover using (corepoint_id, slot)""",
 }
