@@ -44,6 +44,14 @@ def test_leaks_of_nothing_and_blocks_of_items(spark):
     assert rows(leakage.leaked_items(d, it.limit(0))) == [] and rows(leakage.leaked_items(d.limit(0), it)) == []
 
 
+def test_passages_that_many_items_share(spark):
+    form = item(50, 30)
+    it = spark.createDataFrame([(k, item(0)) for k in range(20)] + [(100 + k, f"{form} {item(200 + k, 10)}") for k in range(20)], "item_id long, text string")
+    d = docs(spark, item(0), "x " + form + " y", " ".join(form.split()[:23]))
+    want = [(0, k) for k in range(20)] + [(1, 100 + k) for k in range(20)]
+    assert rows(leakage.leaked_items(d, it), "doc_id", "item_id") == want == rows(leakage.leaked_items(d, it, block=7), "doc_id", "item_id")
+
+
 def test_alignment_score_and_path():
     a, b = np.array([1, 2, 3, 4, 5]), np.array([9, 1, 2, 4, 5, 8])
     score, path = leakage.align(a, b)

@@ -1,9 +1,8 @@
-"""Passages of held-out items inside training texts: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Passages of held-out items inside training texts: n-gram seeds, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +22,13 @@ def words(text: str | None) -> list[str]:
 
 
 class Seeds:
-    """The items' words as numbers and their SEED-grams as sorted codes; a bounded block of items."""
+    """The items' words as numbers and their SEED-grams as sorted codes; a bounded block of items, those of the same words as one."""
 
-    def __init__(self, items: list[tuple[int, str | None]], most_items: int):
-        lists = [(i, words(t)) for i, t in items]
+    def __init__(self, items: list[tuple[int, str | None]]):
+        same: dict[tuple[str, ...], list[int]] = {}
+        for i, t in items:
+            same.setdefault(tuple(words(t)), []).append(i)
+        lists = [(ids, ws) for ws, ids in same.items()]
         vocab = sorted({w for _, ws in lists for w in ws})
         self.vocab = {w: k + 1 for k, w in enumerate(vocab)}
         self.base = np.uint64(len(vocab) + 2) if len(vocab) < 7000 else np.uint64(0x9E3779B97F4A7C15)
@@ -38,8 +40,6 @@ class Seeds:
         code = np.concatenate(code or [np.zeros(0, np.uint64)])
         o = np.argsort(code, kind="stable")
         self.code, self.item, self.at = code[o], np.concatenate(item or [code])[o].astype(np.int64), np.concatenate(at or [code])[o].astype(np.int64)
-        holders = Counter(c for c in set(zip(self.code.tolist(), self.item.tolist())) for c in c[:1])
-        self.rare = np.array([holders[c] <= most_items for c in self.code.tolist()], bool)
 
     def codes(self, ids: np.ndarray) -> np.ndarray:
         """A code for each run of SEED words (exact below 7,000 words, else a hash that alignment checks)."""
@@ -90,13 +90,13 @@ def passage(path: list[int], least: int, per: int, whole: int) -> tuple[int, int
     return int(words_in[i, j]), int(errors[i, j])
 
 
-def _opened(dp: np.ndarray, ip: np.ndarray, rare: np.ndarray, least: int, per: int, whole: int) -> bool:
-    """Whether the seeds that a text shares with an item can stand in one passage: enough of them near one diagonal, one of them rare."""
-    if not rare.any():
-        return False
+def _opened(dp: np.ndarray, ip: np.ndarray, least: int, per: int, whole: int) -> bool:
+    """Whether the seeds that a text shares with an item can stand in one passage: enough of them near one diagonal, however many items hold them."""
     span = min(least, whole)
     errors = span // per
     need = max(1, span - errors - (SEED - 1) * (errors + 1))
+    if len(ip) < need:
+        return False
     o = np.argsort(ip, kind="stable")
     ip, d = ip[o], (dp - ip)[o]
     for k in range(len(ip)):
@@ -138,27 +138,27 @@ def _search(seeds: Seeds, least: int, per: int):
             cuts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, int)
             for lo, hi in zip(cuts, np.r_[cuts[1:], len(pair)]):
                 d, k = int(doc[lo]), int(seeds.item[s[lo]])
-                item_id, item = seeds.items[k]
+                same, item = seeds.items[k]
                 dp, ip = at[lo:hi] - start[d], seeds.at[s[lo:hi]]
-                if not _opened(dp, ip, seeds.rare[s[lo:hi]], least, per, len(item)):
+                if not _opened(dp, ip, least, per, len(item)):
                     continue
                 around = len(item) + len(item) // per + SEED
                 near = ids[d][max(0, dp.min() - around) : dp.max() + around]
                 score, path = align(item, near)
                 if (p := passage(path, least, per, len(item))) is not None:
-                    found.append((docs[d].as_py(), item_id, len(item), *p, score))
+                    found.extend((docs[d].as_py(), item_id, len(item), *p, score) for item_id in same)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*found) if found else [[]] * 6, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()))], names=[c.split()[0] for c in FOUND.split(", ")])
 
     return run
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, least: int = 24, per: int = 8, most_items: int = 16, block: int = 5_000) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, least: int = 24, per: int = 8, block: int = 5_000) -> DataFrame:
     """Pairs (doc_id, item_id) of which the text holds a passage of at least `least` consecutive words of the item, or all of it, with at most one word in `per` changed; with item_words, matched words, errors and score.
 
     Words are compared without case, punctuation or the marks of quotes, comments, lists and diffs. Seeds are the items'
-    runs of five words; a pair is aligned if its seeds fit one passage and one of them is rare, that is in at most
-    `most_items` items. Whole texts are searched, in one scan; items come to the tasks in blocks of at most `block` of
-    them, one scan per block, so what is sent has a bound.
+    runs of five words; a pair is aligned if its seeds fit one passage, however many items share them. Items of the same
+    words are aligned once. Whole texts are searched, in one scan; items come to the tasks in blocks of at most `block`
+    of them, one scan per block, so what is sent has a bound; the result does not depend on it.
 
     Null or empty texts and items match nothing; rows of a repeated item count once; repeated documents are each
     searched. Empty tables give an empty result; further columns are ignored.
@@ -170,6 +170,6 @@ def leaked_items(documents: DataFrame, items: DataFrame, least: int = 24, per: i
     out = spark.createDataFrame([], FOUND)
     for k in range(-(-ids // block)):
         part = listed.orderBy("item_id").offset(k * block).limit(block).collect()
-        found = docs.mapInArrow(_search(Seeds([(r[0], r[1]) for r in part], most_items), least, per), FOUND)
+        found = docs.mapInArrow(_search(Seeds([(r[0], r[1]) for r in part]), least, per), FOUND)
         out = found if k == 0 else out.unionByName(found)
     return out
