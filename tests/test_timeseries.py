@@ -5,6 +5,7 @@ import pytest
 from conftest import rows
 
 from tidemesh.operators import obc, timeseries as T
+from tidemesh.plans import reference_queries as Q
 
 NAN = float("nan")
 
@@ -116,3 +117,33 @@ def test_clusters_and_components_of_series(spark):
     assert len(m) == 24
     p = [r[2] for r in rows(T.pca(a, 2)) if r[0] == 0]
     assert abs(np.corrcoef(p, np.linspace(0, 1, 12))[0, 1]) > 0.99
+
+
+def test_clusters_and_components_read_every_epoch_of_each_analysis(spark, tmp_path):
+    size = {1: 40, 2: 30}
+    at = {a: [3 * t + 2 for t in range(n)] for a, n in size.items()}
+    d = [(a, 100 * a + c, at[a][t], float(c % 2 and t == 1), "2020-01-01") for a, n in size.items() for c in range(10) for t in range(n)]
+    tables = {
+        "distances": (d, "analysis_id long, corepoint_id long, epoch_idx int, distance double, ingested_at string"),
+        "epochs": ([(1000 * a + e, a, e) for a in size for e in at[a]], "epoch_id long, analysis_id long, epoch_idx int"),
+        "analyses": (list(size.items()), "analysis_id long, n_epochs int"),
+    }
+    for name, (r, schema) in tables.items():
+        spark.createDataFrame(r, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    m = Q.series_clusters(spark, str(tmp_path)).collect()
+    assert {(r.analysis_id, r.cluster, r.epoch_idx): r.median for r in m} == {(a, c, e): float(c and e == at[a][1]) for a in size for c in (0, 1) for e in at[a]}
+    p = Q.series_components(spark, str(tmp_path)).collect()
+    assert {(r.analysis_id, r.component, r.epoch_idx): r.loading for r in p} == {(a, 0, e): float(e == at[a][1]) for a in size for e in at[a]}
+
+
+def test_components_of_groups_equal_the_covariance(spark):
+    rng = np.random.default_rng(2)
+    x = {g: rng.normal(size=(25, n)) * np.linspace(1, 3, n) for g, n in ((1, 6), (2, 9))}
+    df = spark.createDataFrame([(g, 100 * g + i, v.tolist()) for g, m in x.items() for i, v in enumerate(m)], "g long, corepoint_id long, values array<double>")
+    got = {}
+    for r in T.pca(df, 2, by=["g"]).collect():
+        got.setdefault((r.g, r.component), {})[r.epoch_idx] = r.loading
+    for (g, j), v in got.items():
+        want = np.linalg.eigh(np.cov(x[g].T))[1][:, -1 - j]
+        assert abs(want @ [v[i] for i in range(len(v))]) == pytest.approx(1)
+    assert len(got) == 4

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from .spatial import radius_join
 
@@ -256,26 +257,86 @@ def time_deltas(epochs: DataFrame, by: str = "analysis_id") -> DataFrame:
     return e.join(first, by, "left").withColumn("delta_seconds", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.unix_micros(F.col("_first").cast("timestamp")) / 1e6).drop("_first")
 
 
-def cluster_medians(series: DataFrame, clusters: DataFrame, key: str = "corepoint_id", epoch: str = "epoch_idx", value: str = "distance") -> DataFrame:
-    """(cluster, epoch, median) of the series of each cluster."""
-    return series.join(clusters.select(key, "cluster"), key).groupBy("cluster", epoch).agg(F.median(value).alias("median"))
+def cluster_medians(series: DataFrame, clusters: DataFrame, key: str = "corepoint_id", epoch: str = "epoch_idx", value: str = "distance", by: Sequence[str] = ()) -> DataFrame:
+    """(by, cluster, epoch, median) of the series of each cluster."""
+    return series.join(clusters.select(*by, key, "cluster"), [*by, key]).groupBy(*by, "cluster", epoch).agg(F.median(value).alias("median"))
+
+
+def lloyd(x: np.ndarray, k: int, seed: int = 1, rounds: int = 300) -> np.ndarray:
+    """The cluster of every row of x: k-means++ starts, then rounds until none moves. At most k clusters, numbered by their first rows."""
+    rng = np.random.default_rng(seed)
+    away = lambda centres: np.stack([((x - c) ** 2).sum(1) for c in centres], 1)
+    centres = x[[rng.integers(len(x))]]
+    near = away(centres)[:, 0]
+    while len(centres) < k and near.sum() > 0:
+        centres = np.r_[centres, x[[rng.choice(len(x), p=near / near.sum())]]]
+        near = np.minimum(near, away(centres[-1:])[:, 0])
+    label = away(centres).argmin(1)
+    for _ in range(rounds):
+        held = np.unique(label)
+        centres = np.stack([x[label == c].mean(0) for c in held])
+        then = away(centres).argmin(1)
+        if (held[then] == label).all():
+            break
+        label = then
+    _, first, label = np.unique(label, return_index=True, return_inverse=True)
+    return np.argsort(np.argsort(first))[label]
+
+
+def kmeans(series: DataFrame, k: int, key: str = "corepoint_id", seed: int = 1, by: Sequence[str] = ()) -> DataFrame:
+    """(by, key, cluster): k-means of whole series of equal length in `values`; series with missing values are left out.
+
+    With `by`, each group is clustered by itself, in one task, and only its own series need be of equal length.
+    """
+    rows = series.filter(~F.exists("values", lambda v: v.isNull() | F.isnan(v)))
+    if by:
+        fields = rows.select(*by, key).withColumn("cluster", F.lit(0)).schema
 
+        def run(g: pd.DataFrame) -> pd.DataFrame:
+            g = g.sort_values(key)
+            return g[[*by, key]].assign(cluster=lloyd(np.stack(g["values"].to_list()), k, seed).astype(np.int32))
 
-def kmeans(series: DataFrame, k: int, key: str = "corepoint_id", seed: int = 1) -> DataFrame:
-    """(key, cluster): k-means of whole series of equal length in `values`; series with missing values are left out."""
+        return rows.select(*by, key, "values").groupBy(*by).applyInPandas(run, fields)
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = series.filter(~F.exists("values", lambda v: v.isNull() | F.isnan(v))).select(key, array_to_vector("values").alias("features"))
+    rows = rows.select(key, array_to_vector("values").alias("features"))
     model = KMeans(k=k, seed=seed, maxIter=20).fit(rows)
     return model.transform(rows).select(key, F.col("prediction").alias("cluster"))
 
 
-def pca(series: DataFrame, k: int, key: str = "corepoint_id") -> DataFrame:
-    """(component, epoch_idx, loading): principal components over time of whole series; the Gram matrix is epochs x epochs."""
+def components(gram: np.ndarray, total: np.ndarray, n: int, k: int) -> np.ndarray:
+    """The first k principal components (columns, largest loading positive) from sums of n series and of their products; fewer where fewer vary."""
+    value, vector = np.linalg.eigh(gram - np.outer(total, total) / n)
+    vector = vector[:, ::-1][:, : min(k, int((value > 1e-10 * max(np.trace(gram), 1e-300)).sum()))]
+    return vector * np.sign(vector[np.abs(vector).argmax(0), np.arange(vector.shape[1])]) if vector.size else vector
+
+
+def pca(series: DataFrame, k: int, key: str = "corepoint_id", by: Sequence[str] = ()) -> DataFrame:
+    """(by, component, epoch_idx, loading): principal components over time of whole series; the Gram matrix is epochs x epochs.
+
+    epoch_idx is the place in `values`. With `by`, each group has its own components, and only its own series need be of
+    equal length; a group's products are summed batch by batch, so none is held whole.
+    """
+    rows = series.filter(~F.exists("values", lambda v: v.isNull() | F.isnan(v)))
+    if by:
+        sums = StructType([*rows.select(*by).schema, StructField("n", LongType()), StructField("total", ArrayType(DoubleType())), StructField("gram", ArrayType(DoubleType()))])
+        fields = StructType([*rows.select(*by).schema, StructField("component", IntegerType()), StructField("epoch_idx", IntegerType()), StructField("loading", DoubleType())])
+
+        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                out = [(*name, len(x), x.sum(0), (x.T @ x).ravel()) for name, g in b.groupby([*by]) for x in [np.stack(g["values"].to_list())]]
+                yield pd.DataFrame(out, columns=sums.names)
+
+        def whole(g: pd.DataFrame) -> pd.DataFrame:
+            total = np.stack(g["total"].to_list()).sum(0)
+            v = components(np.stack(g["gram"].to_list()).sum(0).reshape(len(total), -1), total, int(g["n"].sum()), k)
+            return pd.DataFrame([(*g[[*by]].iloc[0], j, i, float(v[i, j])) for j in range(v.shape[1]) for i in range(len(v))], columns=fields.names)
+
+        return rows.select(*by, "values").repartition(*by).sortWithinPartitions(*by).mapInPandas(part, sums).groupBy(*by).applyInPandas(whole, fields)
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
 
-    rows = series.filter(~F.exists("values", lambda v: v.isNull() | F.isnan(v))).select(key, array_to_vector("values").alias("features"))
+    rows = rows.select(key, array_to_vector("values").alias("features"))
     m = PCA(k=k, inputCol="features", outputCol="p").fit(rows).pc.toArray()
     return series.sparkSession.createDataFrame([(j, i, float(m[i, j])) for j in range(m.shape[1]) for i in range(m.shape[0])], "component int, epoch_idx int, loading double")

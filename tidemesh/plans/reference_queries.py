@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import filters, m3c2, m3c2ep, obc, octree, planes, registration, series, spatial, timeseries, voxel
@@ -502,16 +502,17 @@ def objects_by_change(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def series_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """k-means of series resampled to 16 places, with the median of each cluster's distances by epoch."""
-    r = _readings(spark, sf)
-    s = _series(spark, sf).select("corepoint_id", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.element_at("values", (F.floor(i * F.size("values") / 16) + 1).cast("int"))).alias("values"))
-    return rounded(timeseries.cluster_medians(r, timeseries.kmeans(s, 5)), 6, "median")
+    """k-means of each analysis' series over all its epochs, with the median of each cluster's distances by epoch."""
+    return rounded(timeseries.cluster_medians(_readings(spark, sf), timeseries.kmeans(_series(spark, sf), 5, by=BY), by=BY), 6, "median")
 
 
 @query()
 def series_components(spark: SparkSession, sf: str) -> DataFrame:
-    s = _series(spark, sf).select("corepoint_id", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.element_at("values", (F.floor(i * F.size("values") / 16) + 1).cast("int"))).alias("values"))
-    return rounded(timeseries.pca(s, 3), 4, "loading")
+    """Principal components of each analysis' series over all its epochs."""
+    place = F.row_number().over(Window.partitionBy("analysis_id").orderBy("epoch_idx")) - 1
+    e = epochs(spark, sf).select("analysis_id", "epoch_idx").distinct().withColumn("place", place)
+    p = timeseries.pca(_series(spark, sf), 3, by=BY).withColumnRenamed("epoch_idx", "place").join(e, ["analysis_id", "place"])
+    return rounded(p.select("analysis_id", "component", "epoch_idx", "loading"), 4, "loading")
 
 
 # --- octree ------------------------------------------------------------------------------------------------------
