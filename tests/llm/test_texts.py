@@ -52,6 +52,16 @@ def test_passages_that_many_items_share(spark):
     assert rows(leakage.leaked_items(d, it), "doc_id", "item_id") == want == rows(leakage.leaked_items(d, it, block=7), "doc_id", "item_id")
 
 
+def test_long_passages_with_even_changes_and_short_items(spark):
+    even = item(0).split()[10:42]
+    for k in (8, 13, 18, 23):
+        even[k] = "other"
+    short = {1: "amber", 3: "one two three", 8: "a b c d e f g h", 9: "k l m n o p q r s"}
+    it = spark.createDataFrame([(100, item(0)), *short.items()], "item_id long, text string")
+    d = docs(spark, " ".join(even), "x amber y", "one two three", "one two x three", "z a b c x e f g h z", "a x c d e f g h", "k l m n x p q r s", "k l m n o p q s", "a b c x e x g h", "k l m n x y p q s", "a b c d x e f g h", "one two")
+    assert rows(leakage.leaked_items(d, it), "doc_id", "item_id", "errors") == [(0, 100, 4), (1, 1, 0), (2, 3, 0), (4, 8, 1), (5, 8, 1), (6, 9, 1), (7, 9, 1), (10, 8, 1)]
+
+
 def test_alignment_score_and_path():
     a, b = np.array([1, 2, 3, 4, 5]), np.array([9, 1, 2, 4, 5, 8])
     score, path = leakage.align(a, b)

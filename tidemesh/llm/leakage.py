@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _MARKS = re.compile(r"[^\w\s]|_")
-#: Words of a seed. In 24 words with 3 changed at least five runs of five stay whole.
+#: Words of a seed. In 24 words with 3 changed at least five runs of five stay whole, in longer passages more.
 SEED = 5
 FOUND = "doc_id long, item_id long, item_words int, matched int, errors int, score int"
 
@@ -21,10 +21,16 @@ def words(text: str | None) -> list[str]:
     return _MARKS.sub("", text.lower()).split() if text else []
 
 
+def seed_words(whole: int, per: int) -> int:
+    """Words of an item's seeds: SEED, and in items under 2 SEED words no more than the longest run that their errors must leave."""
+    errors = whole // per
+    return max(1, min(SEED, -(-(whole - errors) // (errors + 1)))) if whole < 2 * SEED else SEED
+
+
 class Seeds:
-    """The items' words as numbers and their SEED-grams as sorted codes; a bounded block of items, those of the same words as one."""
+    """The items' words as numbers and their seeds as sorted codes by seed length; a bounded block of items, those of the same words as one."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int, str | None]], per: int):
         same: dict[tuple[str, ...], list[int]] = {}
         for i, t in items:
             same.setdefault(tuple(words(t)), []).append(i)
@@ -33,22 +39,26 @@ class Seeds:
         self.vocab = {w: k + 1 for k, w in enumerate(vocab)}
         self.base = np.uint64(len(vocab) + 2) if len(vocab) < 7000 else np.uint64(0x9E3779B97F4A7C15)
         self.items = [(i, np.array([self.vocab[w] for w in ws], np.int32)) for i, ws in lists]
-        code, item, at = [], [], []
+        #: Words of a seed -> (codes, items, places in them), in the order of codes.
+        self.tables = {}
+        parts: dict[int, list] = {}
         for k, (_, ids) in enumerate(self.items):
-            c = self.codes(ids)
-            code.append(c), item.append(np.full(len(c), k)), at.append(np.arange(len(c)))
-        code = np.concatenate(code or [np.zeros(0, np.uint64)])
-        o = np.argsort(code, kind="stable")
-        self.code, self.item, self.at = code[o], np.concatenate(item or [code])[o].astype(np.int64), np.concatenate(at or [code])[o].astype(np.int64)
-
-    def codes(self, ids: np.ndarray) -> np.ndarray:
-        """A code for each run of SEED words (exact below 7,000 words, else a hash that alignment checks)."""
-        n = len(ids) - SEED + 1
+            if len(ids):
+                c = self.codes(ids, q := seed_words(len(ids), per))
+                parts.setdefault(q, []).append((c, np.full(len(c), k), np.arange(len(c))))
+        for q, p in parts.items():
+            code, item, at = (np.concatenate(x) for x in zip(*p))
+            o = np.argsort(code, kind="stable")
+            self.tables[q] = code[o], item[o], at[o]
+
+    def codes(self, ids: np.ndarray, q: int) -> np.ndarray:
+        """A code for each run of q words (exact below 7,000 words, else a hash that alignment checks)."""
+        n = len(ids) - q + 1
         if n <= 0:
             return np.zeros(0, np.uint64)
         with np.errstate(over="ignore"):
             c = np.zeros(n, np.uint64)
-            for k in range(SEED):
+            for k in range(q):
                 c = c * self.base + ids[k : k + n].astype(np.uint64)
         return c
 
@@ -90,17 +100,32 @@ def passage(path: list[int], least: int, per: int, whole: int) -> tuple[int, int
     return int(words_in[i, j]), int(errors[i, j])
 
 
+def held_whole(item: np.ndarray, text: np.ndarray) -> int:
+    """Fewest errors (words changed, missing or put in) with which a text holds all of an item."""
+    across = np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, np.int64)
+    for i, w in enumerate(item, 1):
+        enter = np.r_[i, np.minimum(row[:-1] + (text != w), row[1:] + 1)]
+        row = np.minimum.accumulate(enter - across) + across
+    return int(row.min())
+
+
 def _opened(dp: np.ndarray, ip: np.ndarray, least: int, per: int, whole: int) -> bool:
-    """Whether the seeds that a text shares with an item can stand in one passage: enough of them near one diagonal, however many items hold them."""
-    span = min(least, whole)
+    """Whether the seeds that a text shares with an item can stand in one passage: enough of them near one diagonal, however many items hold them.
+
+    A passage of 2 `least` words or more has a part of at least `least` that is one too, so lengths below that are enough.
+    """
+    q = seed_words(whole, per)
+    lengths = range(min(least, whole), min(2 * least - 1, whole) + 1)
+    span = lengths[-1]
     errors = span // per
-    need = max(1, span - errors - (SEED - 1) * (errors + 1))
+    need = max(1, min(n - n // per - (q - 1) * (n // per + 1) for n in lengths))
     if len(ip) < need:
         return False
     o = np.argsort(ip, kind="stable")
     ip, d = ip[o], (dp - ip)[o]
     for k in range(len(ip)):
-        near = (ip >= ip[k]) & (ip <= ip[k] + span - SEED) & (np.abs(d - d[k]) <= errors)
+        near = (ip >= ip[k]) & (ip <= ip[k] + span - q) & (np.abs(d - d[k]) <= errors)
         if len(set(ip[near].tolist())) >= need:
             return True
     return False
@@ -117,35 +142,42 @@ def _search(seeds: Seeds, least: int, per: int):
             flat = np.concatenate([y for x in ids for y in (x, gap)] or [gap])
             start = np.cumsum(size + SEED) - size - SEED
             # most words of a text are in no item: only runs of known words are coded
-            known = flat > 0
-            whole = known[: len(flat) - SEED + 1].copy()
-            for k in range(1, SEED):
-                whole &= known[k : len(flat) - SEED + 1 + k]
-            at = np.flatnonzero(whole)
-            with np.errstate(over="ignore"):
-                code = np.zeros(len(at), np.uint64)
-                for k in range(SEED):
-                    code = code * seeds.base + flat[at + k].astype(np.uint64)
-            lo, hi = np.searchsorted(seeds.code, code), np.searchsorted(seeds.code, code, "right")
-            n = hi - lo
-            at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-            s = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = np.repeat(at, n)
+            known, hits = flat > 0, []
+            for q, (codes, items, places) in seeds.tables.items():
+                whole = known[: len(flat) - q + 1].copy()
+                for k in range(1, q):
+                    whole &= known[k : len(flat) - q + 1 + k]
+                at = np.flatnonzero(whole)
+                with np.errstate(over="ignore"):
+                    code = np.zeros(len(at), np.uint64)
+                    for k in range(q):
+                        code = code * seeds.base + flat[at + k].astype(np.uint64)
+                lo, hi = np.searchsorted(codes, code), np.searchsorted(codes, code, "right")
+                n = hi - lo
+                at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
+                s = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                hits.append((np.repeat(at, n), items[s], places[s]))
+            at, of, ips = (np.concatenate(x) for x in zip(*hits)) if hits else (np.zeros(0, np.int64),) * 3
             doc = np.searchsorted(start, at, "right") - 1
-            pair = doc * len(seeds.items) + seeds.item[s]
+            pair = doc * len(seeds.items) + of
             o = np.argsort(pair, kind="stable")
-            pair, at, s, doc = pair[o], at[o], s[o], doc[o]
+            pair, at, of, ips, doc = pair[o], at[o], of[o], ips[o], doc[o]
             cuts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, int)
             for lo, hi in zip(cuts, np.r_[cuts[1:], len(pair)]):
-                d, k = int(doc[lo]), int(seeds.item[s[lo]])
+                d, k = int(doc[lo]), int(of[lo])
                 same, item = seeds.items[k]
-                dp, ip = at[lo:hi] - start[d], seeds.at[s[lo:hi]]
+                dp, ip = at[lo:hi] - start[d], ips[lo:hi]
                 if not _opened(dp, ip, least, per, len(item)):
                     continue
                 around = len(item) + len(item) // per + SEED
                 near = ids[d][max(0, dp.min() - around) : dp.max() + around]
                 score, path = align(item, near)
-                if (p := passage(path, least, per, len(item))) is not None:
+                if len(item) < 2 * SEED:
+                    errors = held_whole(item, near)
+                    p = (len(item), errors) if errors * per <= len(item) else None
+                else:
+                    p = passage(path, least, per, len(item))
+                if p is not None:
                     found.extend((docs[d].as_py(), item_id, len(item), *p, score) for item_id in same)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*found) if found else [[]] * 6, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()))], names=[c.split()[0] for c in FOUND.split(", ")])
 
@@ -156,7 +188,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, least: int = 24, per: i
     """Pairs (doc_id, item_id) of which the text holds a passage of at least `least` consecutive words of the item, or all of it, with at most one word in `per` changed; with item_words, matched words, errors and score.
 
     Words are compared without case, punctuation or the marks of quotes, comments, lists and diffs. Seeds are the items'
-    runs of five words; a pair is aligned if its seeds fit one passage, however many items share them. Items of the same
+    runs of five words (fewer in items of under ten, which are compared as a whole); a pair is aligned if its seeds fit
+    one passage of whatever length, however many items share them. Items of the same
     words are aligned once. Whole texts are searched, in one scan; items come to the tasks in blocks of at most `block`
     of them, one scan per block, so what is sent has a bound; the result does not depend on it.
 
@@ -170,6 +203,6 @@ def leaked_items(documents: DataFrame, items: DataFrame, least: int = 24, per: i
     out = spark.createDataFrame([], FOUND)
     for k in range(-(-ids // block)):
         part = listed.orderBy("item_id").offset(k * block).limit(block).collect()
-        found = docs.mapInArrow(_search(Seeds([(r[0], r[1]) for r in part]), least, per), FOUND)
+        found = docs.mapInArrow(_search(Seeds([(r[0], r[1]) for r in part], per), least, per), FOUND)
         out = found if k == 0 else out.unionByName(found)
     return out
