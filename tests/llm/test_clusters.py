@@ -64,3 +64,8 @@ def test_leaves_list_all_within_reach_and_blocks_agree(spark, monkeypatch):
     whole = rows(C.like_groups(d, p, reach=12.0, most=1000), "cluster_id", "corepoint_id")
     monkeypatch.setattr(C, "PART", 16)
     assert rows(C.like_groups(d, p, reach=12.0, most=30), "cluster_id", "corepoint_id") == whole and len(whole) >= 6
+
+
+def test_most_typical_members_by_rank(spark):
+    g = spark.createDataFrame([(1, k, float(x), 0.0, 0.0, 0.0) for k, x in enumerate((0, 10, 4, 6, 5))] + [(2, 9, 1.0, 1.0, 1.0, 0.0)], "cluster_id long, corepoint_id long, x double, y double, z double, mean double")
+    assert rows(C.described(g, members=3), "cluster_id", "size", "rank", "typical") == [(1, 5, 1, 4), (1, 5, 2, 2), (1, 5, 3, 3), (2, 1, 1, 9)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.runtime import if_small, materialise, usable
@@ -146,9 +146,10 @@ def like_groups(distances: DataFrame, corepoints: DataFrame, reach: float = 40.0
     return groups.join(m.select("id", "x", "y", "z", mean.alias("mean")), "id").withColumnRenamed("id", "corepoint_id")
 
 
-def described(groups: DataFrame, reach: float = 40.0, within: float = 0.05) -> DataFrame:
-    """(cluster_id, size, typical, x, y, z, mean): each group's size, its member nearest to the centre of places (in units of reach) and mean distances (in units of within), and that centre."""
+def described(groups: DataFrame, reach: float = 40.0, within: float = 0.05, members: int = 1) -> DataFrame:
+    """(cluster_id, size, rank, typical, x, y, z, mean): each group's size, its `members` members nearest to the centre of places (in units of reach) and mean distances (in units of within), by rank from 1, and that centre."""
     centre = groups.groupBy("cluster_id").agg(F.count("*").alias("size"), *[F.avg(c).alias(f"c{c}") for c in ("x", "y", "z", "mean")])
     off = sum((F.col(a) - F.col(f"c{a}")) * (F.col(a) - F.col(f"c{a}")) for a in "xyz") / (reach * reach) + (F.col("mean") - F.col("cmean")) * (F.col("mean") - F.col("cmean")) / (within * within)
-    near = groups.join(centre, "cluster_id").groupBy("cluster_id").agg(F.first("size").alias("size"), F.min_by("corepoint_id", F.struct(off, "corepoint_id")).alias("typical"), *[F.first(f"c{c}").alias(c) for c in ("x", "y", "z", "mean")])
-    return near
+    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy(off, "corepoint_id"))
+    near = groups.join(centre, "cluster_id").withColumn("rank", rank).filter(F.col("rank") <= members)
+    return near.select("cluster_id", "size", "rank", F.col("corepoint_id").alias("typical"), *[F.col(f"c{c}").alias(c) for c in ("x", "y", "z", "mean")])

@@ -36,9 +36,9 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Each group's size and most typical member."""
-    d = clusters.described(clusters.like_groups(_table(spark, sf, "distances"), _table(spark, sf, "corepoints")))
-    return d.select("cluster_id", "size", "typical", *[F.round(c, 3).alias(c) for c in ("x", "y", "z", "mean")])
+    """Each group's size and its five most typical members by rank."""
+    d = clusters.described(clusters.like_groups(_table(spark, sf, "distances"), _table(spark, sf, "corepoints")), members=5)
+    return d.select("cluster_id", "size", "rank", "typical", *[F.round(c, 3).alias(c) for c in ("x", "y", "z", "mean")])
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
