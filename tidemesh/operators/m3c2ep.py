@@ -68,7 +68,7 @@ def m3c2ep(corepoints: DataFrame, first: DataFrame, second: DataFrame, scanpos:
         if s == 2 and apply_transform:
             d = [F.col(f"p{a}") - o for a, o in zip(AXES, x0)]
             p = p.withColumns({a: sum(rot[k][c] * d[c] for c in range(3)) + shift[k] + x0[k] for k, a in enumerate(AXES)})
-        p = p.join(if_small(scanpos.select(*scan_keys, "ox", "oy", "oz", "sigma_range", "sigma_scan", "sigma_yaw").dropDuplicates([*scan_keys])), [*scan_keys])
+        p = p.join(if_small(scanpos.select(*scan_keys, "ox", "oy", "oz", "sigma_range", "sigma_scan", "sigma_yaw").dropDuplicates([*scan_keys]), scan=True), [*scan_keys])
         return p.select(*by, F.struct(F.lit(s).alias("side"), F.col(point_id).alias("id")).alias("_pid"), F.lit(s).alias("side"), *AXES, *[f"p{a}" for a in AXES], "ox", "oy", "oz", "sigma_range", "sigma_scan", "sigma_yaw")
 
     cloud = side(first, 1).unionByName(side(second, 2))

@@ -22,7 +22,7 @@ def timed_readings(distances: DataFrame, epochs: DataFrame, analyses: DataFrame)
     """Readings (corepoint_id, us, step, distance): time and grid step in microseconds; those without either are left out."""
     step = analyses.select("analysis_id", (F.col("grid_hours").cast("long") * 3_600_000_000).alias("step")).filter("step > 0").dropDuplicates(["analysis_id"])
     at = epochs.filter(F.col("ts").isNotNull()).select("analysis_id", "epoch_idx", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).dropDuplicates(["analysis_id", "epoch_idx"])
-    at = if_small(at.join(if_small(step), "analysis_id"))
+    at = if_small(at.join(if_small(step, scan=True), "analysis_id"))
     return readings(distances).join(at, ["analysis_id", "epoch_idx"]).select("corepoint_id", "us", "step", "distance")
 
 

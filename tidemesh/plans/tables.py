@@ -15,14 +15,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def epochs(spark: SparkSession, sf: str) -> DataFrame:
     """Every scan once, with the number of scans of its analysis."""
     a = table(spark, sf, "analyses").select("analysis_id", "n_epochs").dropDuplicates(["analysis_id"])
-    return table(spark, sf, "epochs").dropDuplicates(["epoch_id"]).join(if_small(a), "analysis_id")
+    return table(spark, sf, "epochs").dropDuplicates(["epoch_id"]).join(if_small(a, scan=True), "analysis_id")
 
 
 def cloud(spark: SparkSession, sf: str) -> DataFrame:
     """Usable points with analysis_id, epoch_idx and side: 1 for scans in the first half of their analysis, 2 after it. No-hit points (at the origin) are left out."""
     p = table(spark, sf, "points").filter(usable(F.col("x"), F.col("y"), F.col("z")) & ~((F.col("x") == 0) & (F.col("y") == 0) & (F.col("z") == 0))).dropDuplicates(["point_id"])
     e = epochs(spark, sf).select("epoch_id", "analysis_id", "epoch_idx", F.when(F.col("epoch_idx") * 2 < F.col("n_epochs"), 1).otherwise(2).alias("side"))
-    return p.join(if_small(e), "epoch_id")
+    return p.join(if_small(e, scan=True), "epoch_id")
 
 
 def side(cloud_: DataFrame, s: int) -> DataFrame:
