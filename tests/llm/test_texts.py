@@ -37,10 +37,10 @@ def test_passages_in_any_layout_with_changes(spark):
     assert leaks(spark, *texts) == [(0, 100), (1, 100), (2, 100), (5, 100), (8, 902), (9, 100), (9, 101)]
 
 
-def test_leaks_of_nothing_and_blocks_of_items(spark):
+def test_leaks_of_nothing_and_of_every_item(spark):
     it = spark.createDataFrame([(100 + k, item(k)) for k in range(5)], "item_id long, text string")
     d = docs(spark, *[item(k) for k in range(5)])
-    assert rows(leakage.leaked_items(d, it, block=2), "doc_id", "item_id") == [(k, 100 + k) for k in range(5)]
+    assert rows(leakage.leaked_items(d, it), "doc_id", "item_id") == [(k, 100 + k) for k in range(5)]
     assert rows(leakage.leaked_items(d, it.limit(0))) == [] and rows(leakage.leaked_items(d.limit(0), it)) == []
 
 
@@ -49,7 +49,29 @@ def test_passages_that_many_items_share(spark):
     it = spark.createDataFrame([(k, item(0)) for k in range(20)] + [(100 + k, f"{form} {item(200 + k, 10)}") for k in range(20)], "item_id long, text string")
     d = docs(spark, item(0), "x " + form + " y", " ".join(form.split()[:23]))
     want = [(0, k) for k in range(20)] + [(1, 100 + k) for k in range(20)]
-    assert rows(leakage.leaked_items(d, it), "doc_id", "item_id") == want == rows(leakage.leaked_items(d, it, block=7), "doc_id", "item_id")
+    assert rows(leakage.leaked_items(d, it), "doc_id", "item_id") == want == rows(leakage.leaked_items(d.repartition(3), it.repartition(5), most_bits=1 << 15), "doc_id", "item_id")
+
+
+def test_every_passage_of_a_pair_is_tried(spark):
+    a = item(0).split()
+    bad, good = a[:40], a[10:34]
+    for k in range(3, 40, 6):
+        bad[k] = "other"
+    for k in (6, 12, 18):
+        good[k] = "other"
+    far = " ".join(bad) + " filler" * 400 + " " + " ".join(good)
+    near = " ".join(bad) + " filler " + " ".join(good)
+    late = " ".join([*a[10:32], "other", a[33], "end"])  # 22 words, one changed, one more
+    assert leaks(spark, " ".join(bad), far, near, late, " ".join([*a[10:31], "other", "other", "other", "end"])) == [(1, 100), (2, 100), (3, 100)]
+
+
+def test_long_items_and_texts_of_one_word_over_and_over(spark):
+    long = [f"{w}{k}" for k, w in enumerate(item(7, 900).split())]
+    it = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(["same"] * 80)), (3, " ".join(["same"] * 80))], "item_id long, text string")
+    d = docs(spark, " ".join(long[250:274]), " ".join(long[876:]), "x " * 5000 + " ".join(long), "same " * 20_000, " ".join(long[500:523]), "same " * 23)
+    assert rows(leakage.leaked_items(d, it), "doc_id", "item_id") == [(0, 1), (1, 1), (2, 1), (3, 2), (3, 3)]
+    twice = d.unionByName(d)
+    assert rows(leakage.leaked_items(twice, it), "doc_id", "item_id") == [(0, 1), (1, 1), (2, 1), (3, 2), (3, 3)]
 
 
 def test_long_passages_with_even_changes_and_short_items(spark):
@@ -64,7 +86,7 @@ def test_long_passages_with_even_changes_and_short_items(spark):
 
 def test_alignment_score_and_path():
     a, b = np.array([1, 2, 3, 4, 5]), np.array([9, 1, 2, 4, 5, 8])
-    score, path = leakage.align(a, b)
+    score, path, _ = leakage.align(a, b)
     assert score == 2 and path.count(0) >= 2
     assert leakage.align(a, np.array([7, 7]))[0] == 0
     assert leakage.passage([0] * 10 + [1] + [0] * 15, 24, 8, 60) == (26, 1) and leakage.passage([0] * 23, 24, 8, 60) is None and leakage.passage([0] * 9, 24, 8, 9) == (9, 0)

@@ -1,4 +1,4 @@
-"""Passages of held-out items inside training texts: n-gram seeds, then Smith-Waterman alignment."""
+"""Passages of held-out items inside training texts: n-gram seeds joined on both sides, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -6,13 +6,19 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.runtime import if_small, materialise, salted
+
 _MARKS = re.compile(r"[^\w\s]|_")
 #: Words of a seed. In 24 words with 3 changed at least five runs of five stay whole, in longer passages more.
 SEED = 5
+#: Words of an item that are aligned at once; longer items are cut into pieces of this many, which share twice the least passage.
+PIECE = 256
 FOUND = "doc_id long, item_id long, item_words int, matched int, errors int, score int"
 
 
@@ -27,57 +33,61 @@ def seed_words(whole: int, per: int) -> int:
     return max(1, min(SEED, -(-(whole - errors) // (errors + 1)))) if whole < 2 * SEED else SEED
 
 
-class Seeds:
-    """The items' words as numbers and their seeds as sorted codes by seed length; a bounded block of items, those of the same words as one."""
-
-    def __init__(self, items: list[tuple[int, str | None]], per: int):
-        same: dict[tuple[str, ...], list[int]] = {}
-        for i, t in items:
-            same.setdefault(tuple(words(t)), []).append(i)
-        lists = [(ids, ws) for ws, ids in same.items()]
-        vocab = sorted({w for _, ws in lists for w in ws})
-        self.vocab = {w: k + 1 for k, w in enumerate(vocab)}
-        self.base = np.uint64(len(vocab) + 2) if len(vocab) < 7000 else np.uint64(0x9E3779B97F4A7C15)
-        self.items = [(i, np.array([self.vocab[w] for w in ws], np.int32)) for i, ws in lists]
-        #: Words of a seed -> (codes, items, places in them), in the order of codes.
-        self.tables = {}
-        parts: dict[int, list] = {}
-        for k, (_, ids) in enumerate(self.items):
-            if len(ids):
-                c = self.codes(ids, q := seed_words(len(ids), per))
-                parts.setdefault(q, []).append((c, np.full(len(c), k), np.arange(len(c))))
-        for q, p in parts.items():
-            code, item, at = (np.concatenate(x) for x in zip(*p))
-            o = np.argsort(code, kind="stable")
-            self.tables[q] = code[o], item[o], at[o]
-
-    def codes(self, ids: np.ndarray, q: int) -> np.ndarray:
-        """A code for each run of q words (exact below 7,000 words, else a hash that alignment checks)."""
-        n = len(ids) - q + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        with np.errstate(over="ignore"):
-            c = np.zeros(n, np.uint64)
-            for k in range(q):
-                c = c * self.base + ids[k : k + n].astype(np.uint64)
-        return c
-
-
-def align(a: np.ndarray, b: np.ndarray, match: int = 1, other: int = -2, gap: int = 2) -> tuple[int, list[int]]:
-    """Smith-Waterman of words: best score and its path from the end, 0 match, 1 change, 2 word of a missing, 3 word put in."""
+def seeds_needed(whole: int, least: int, per: int) -> tuple[int, int]:
+    """(seeds that a passage of an item must keep, words of the longest passage that has to be looked for).
+
+    A passage of 2 `least` words or more has a part of at least `least` that is one too, so lengths below that are enough.
+    """
+    q = seed_words(whole, per)
+    lengths = range(min(least, whole), min(2 * least - 1, whole) + 1)
+    return max(1, min(n - n // per - (q - 1) * (n // per + 1) for n in lengths)), lengths[-1]
+
+
+class _Codes(dict):
+    """Word -> 64-bit hash, remembered for as many words as fit."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 300_000:
+            self.clear()
+        code = self[word] = xxhash.xxh3_64_intdigest(word) | 1
+        return code
+
+
+def _runs(codes: np.ndarray, q: int) -> np.ndarray:
+    """A well mixed code for each run of q words, from the words' codes; alignment compares the words themselves."""
+    n = len(codes) - q + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        c = np.full(n, q, np.uint64)
+        for k in range(q):
+            c = c * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]
+        c = (c ^ (c >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        c = (c ^ (c >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return c ^ (c >> np.uint64(31))
+
+
+def align(a: np.ndarray, b: np.ndarray, apart: np.ndarray | None = None, match: int = 1, other: int = -2, gap: int = 2) -> tuple[int, list[int], tuple[int, int, int, int]]:
+    """Smith-Waterman of words: best score, its path (0 match, 1 change, 2 word of a missing, 3 word put in) and the ranges of a and b that it takes.
+
+    apart: pairs of words (len(a) x len(b)) that count as unlike though they are equal.
+    """
     n, m = len(a), len(b)
+    like = a[:, None] == b[None, :]
+    if apart is not None:
+        like &= ~apart
+    gain = np.where(like, match, other).astype(np.int32)
     h = np.zeros((n + 1, m + 1), np.int32)
     step = gap * np.arange(1, m + 1, dtype=np.int32)
     for i in range(1, n + 1):
-        t = np.maximum(h[i - 1, :-1] + np.where(b == a[i - 1], match, other), h[i - 1, 1:] - gap)
+        t = np.maximum(h[i - 1, :-1] + gain[i - 1], h[i - 1, 1:] - gap)
         np.maximum(t, 0, out=t)
         h[i, 1:] = np.maximum.accumulate(t + step) - step
-    i, j = np.unravel_index(int(h.argmax()), h.shape)
-    best, path = int(h[i, j]), []
+    i, j = (int(x) for x in np.unravel_index(int(h.argmax()), h.shape))
+    best, path, end = int(h[i, j]), [], (i, j)
     while h[i, j] > 0:
-        s = match if a[i - 1] == b[j - 1] else other
-        if h[i, j] == h[i - 1, j - 1] + s:
-            path.append(0 if s == match else 1)
+        if h[i, j] == h[i - 1, j - 1] + gain[i - 1, j - 1]:
+            path.append(0 if like[i - 1, j - 1] else 1)
             i, j = i - 1, j - 1
         elif h[i, j] == h[i - 1, j] - gap:
             path.append(2)
@@ -85,15 +95,36 @@ def align(a: np.ndarray, b: np.ndarray, match: int = 1, other: int = -2, gap: in
         else:
             path.append(3)
             j -= 1
-    return best, path
+    return best, path[::-1], (i, end[0], j, end[1])
 
 
-def passage(path: list[int], least: int, per: int, whole: int) -> tuple[int, int] | None:
-    """(item words, errors) of the longest stretch of a path with `least` item words (or the whole item) and at most one error in `per` words."""
+def _beyond(a: np.ndarray, b: np.ndarray, errors: int) -> list[tuple[int, int]]:
+    """(words of a, errors) of every stretch from the beginning of a and b that ends in a matched word, with at most `errors` errors."""
+    b = b[: len(a) + errors]
+    across = np.arange(len(b) + 1)
+    row, out = across.copy(), []
+    for i, w in enumerate(a, 1):
+        same = b == w
+        diagonal = row[:-1] + ~same
+        if same.any() and (e := int(row[:-1][same].min())) <= errors:
+            out.append((i, e))
+        row = np.minimum.accumulate(np.r_[i, np.minimum(diagonal, row[1:] + 1)] - across) + across
+        if row.min() > errors:
+            break
+    return out
+
+
+def passage(path: list[int], least: int, per: int, whole: int, before: list[tuple[int, int]] = (), after: list[tuple[int, int]] = ()) -> tuple[int, int] | None:
+    """(item words, errors) of the longest stretch of a path with `least` item words (or the whole item) and at most one error in `per` words.
+
+    before, after: stretches (words, errors) by which the path can go on at either end.
+    """
     p = np.array(path)
     w, e = np.r_[0, np.cumsum(p != 3)], np.r_[0, np.cumsum(p != 0)]
-    words_in, errors = w[None, :] - w[:, None], e[None, :] - e[:, None]
-    ok = (words_in >= min(least, whole)) & (words_in > 0) & (errors * per <= words_in)
+    w1, e1 = (np.r_[[-x[k] for x in before], v].astype(int) for k, v in enumerate((w, e)))
+    w2, e2 = (np.r_[v, [v[-1] + x[k] for x in after]].astype(int) for k, v in enumerate((w, e)))
+    words_in, errors = w2[None, :] - w1[:, None], e2[None, :] - e1[:, None]
+    ok = (words_in >= min(least, whole)) & (words_in > 0) & (errors >= 0) & (errors * per <= words_in)
     if not ok.any():
         return None
     i, j = np.unravel_index(np.where(ok, words_in * 1000 - errors, -1).argmax(), ok.shape)
@@ -110,99 +141,236 @@ def held_whole(item: np.ndarray, text: np.ndarray) -> int:
     return int(row.min())
 
 
-def _opened(dp: np.ndarray, ip: np.ndarray, least: int, per: int, whole: int) -> bool:
-    """Whether the seeds that a text shares with an item can stand in one passage: enough of them near one diagonal, however many items hold them.
+def held_passage(item: np.ndarray, text: np.ndarray, least: int, per: int) -> tuple[int, int, int] | None:
+    """(matched item words, errors, score) of a passage of the item in the text: alignments in order of score, each without the matches of those before.
 
-    A passage of 2 `least` words or more has a part of at least `least` that is one too, so lengths below that are enough.
+    None if no alignment, gone on with at both ends, holds `least` words (or the whole item) with one error in `per`. A
+    passage of n words has a score of at least n - 3 (n // per), which ends the search.
     """
-    q = seed_words(whole, per)
-    lengths = range(min(least, whole), min(2 * least - 1, whole) + 1)
-    span = lengths[-1]
-    errors = span // per
-    need = max(1, min(n - n // per - (q - 1) * (n // per + 1) for n in lengths))
-    if len(ip) < need:
-        return False
-    o = np.argsort(ip, kind="stable")
-    ip, d = ip[o], (dp - ip)[o]
-    for k in range(len(ip)):
-        near = (ip >= ip[k]) & (ip <= ip[k] + span - q) & (np.abs(d - d[k]) <= errors)
-        if len(set(ip[near].tolist())) >= need:
-            return True
-    return False
-
-
-def _search(seeds: Seeds, least: int, per: int):
+    whole = len(item)
+    if whole < 2 * SEED:
+        errors = held_whole(item, text)
+        return (whole, errors, whole - 3 * errors) if errors * per <= whole else None
+    floor = min(n - 3 * (n // per) for n in range(min(least, whole), min(2 * least - 1, whole) + 1))
+    apart = np.zeros((whole, len(text)), bool)
+    while True:
+        score, path, (i0, i1, j0, j1) = align(item, text, apart)
+        if score < floor:
+            return None
+        most = 2 * least // per
+        before = _beyond(item[max(0, i0 - 2 * least) : i0][::-1], text[max(0, j0 - 3 * least) : j0][::-1], most)
+        after = _beyond(item[i1 : i1 + 2 * least], text[j1 : j1 + 3 * least], most)
+        if (p := passage(path, least, per, whole, before, after)) is not None:
+            return *p, score
+        i, j = i0, j0
+        for s in path:
+            apart[i, j] |= s == 0
+            i, j = i + (s != 3), j + (s != 2)
+
+
+def windows(places: np.ndarray, at: np.ndarray, whole: int, least: int, per: int) -> list[tuple[int, int]]:
+    """Ranges of a text's words where its seeds (places[k], at[k] in the item) can stand in one passage: enough of them near one diagonal.
+
+    A range is at most some four times the item's length; neighbouring ranges overlap by more than a passage can take.
+    """
+    need, span = seeds_needed(whole, least, per)
+    reach = whole + whole // per + SEED
+    wide, long = 2 * (span // per + 1), 2 * span
+    o = np.argsort(places, kind="stable")
+    places, at = places[o], at[o]
+    out = []
+    lo = 0
+    while lo < len(places):
+        hi = int(np.searchsorted(places, places[lo] + 2 * reach))
+        d, i = places[lo:hi] - at[lo:hi], at[lo:hi]
+        for x in (0, wide // 2):
+            for y in (0, span):
+                group = np.unique(np.stack([(d + x) // wide, (i + y) // long, i]), axis=1)
+                box, n = np.unique(group[:2], axis=1, return_counts=True)
+                if (n >= need).any():
+                    out.append((max(0, int(places[lo]) - reach), int(places[hi - 1]) + reach))
+                    break
+            else:
+                continue
+            break
+        if hi == len(places):
+            break
+        lo = int(np.searchsorted(places, places[lo] + reach))
+    return out
+
+
+def _pieces(whole: int, least: int) -> list[tuple[int, int]]:
+    if whole <= PIECE:
+        return [(0, whole)]
+    step = PIECE - 2 * least
+    return [(k, min(k + PIECE, whole)) for k in range(0, whole - 2 * least, step)]
+
+
+def _items(items: DataFrame, least: int, per: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(item_id, text_id) of all items; units (text_id, piece, item_words, words); seeds (code, text_id, piece, need, at)."""
+    split = "item_id long, mark string, words array<string>"
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            w = p["text"].map(words)
+            yield pd.DataFrame({"item_id": p["item_id"], "mark": w.map(lambda x: xxhash.xxh3_128_hexdigest(" ".join(x))), "words": w})
+
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null").dropDuplicates(["item_id"])
+    rows = materialise(rows.mapInPandas(read, split).filter("size(words) > 0"))
+    texts = rows.groupBy("mark").agg(F.min("item_id").alias("text_id"), F.first("words").alias("words"))
+    texts = materialise(texts)
+    big, small = salted(rows.select("item_id", "mark"), texts.select("mark", "text_id"), F.xxhash64("mark"), F.col("item_id"))
+    members = materialise(big.join(small, ["mark", "_salt"]).select("item_id", "text_id"))
+
+    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = [(i, k, len(w), list(w[a:b])) for i, w in zip(p["text_id"], p["words"]) for k, (a, b) in enumerate(_pieces(len(w), least))]
+            yield pd.DataFrame(rows, columns=["text_id", "piece", "item_words", "words"])
+
+    units = materialise(texts.select("text_id", "words").mapInPandas(cut, "text_id long, piece int, item_words int, words array<string>"))
+
+    def seed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes = _Codes()
+        for p in parts:
+            rows = []
+            for i, k, w in zip(p["text_id"], p["piece"], p["words"]):
+                q = seed_words(len(w), per)
+                need = seeds_needed(len(w), least, per)[0]
+                runs = _runs(np.fromiter(map(codes.__getitem__, w), np.uint64, len(w)), q).view(np.int64)
+                code, where = np.unique(runs, return_inverse=True)
+                rows += [(int(c), i, k, q, need, np.flatnonzero(where == n).astype(np.int32)) for n, c in enumerate(code)]
+            yield pd.DataFrame(rows, columns=["code", "text_id", "piece", "q", "need", "at"])
+
+    seeds = materialise(units.mapInPandas(seed, "code long, text_id long, piece int, q int, need int, at array<int>"))
+    return members, units, seeds
+
+
+def _sieve(seeds: DataFrame, most_bits: int) -> np.ndarray:
+    """A Bloom filter of the seeds' codes, two bits each, as bytes; its size follows their number, up to most_bits."""
+    n = seeds.count()
+    bits = min(most_bits, 1 << max(15, int(np.ceil(np.log2(32 * n + 1)))))
+    at = seeds.select(F.explode(F.array(F.col("code").bitwiseAND(bits - 1), F.shiftrightunsigned("code", 32).bitwiseAND(bits - 1))).alias("b"))
+    parts = at.groupBy(F.expr("b div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(b % 32768)").alias("bits")).collect()  # bits / 32768 rows of 4 kB
+    out = np.zeros((bits // 32768, 4096), np.uint8)
+    for part, b in parts:
+        out[part] = np.frombuffer(bytes(b), np.uint8)
+    return out.ravel()
+
+
+_SEEN = "doc_id long, mark string, words array<string>, hits array<struct<code: bigint, places: array<int>>>"
+
+
+def _seek(sieve: np.ndarray, lengths: list[int], least_hits: int):
+    """Texts with enough runs of words that the sieve lets through: their words and where the runs stand, by code."""
+    mask = np.uint64(8 * len(sieve) - 1)
+    kind = pa.struct([("code", pa.int64()), ("places", pa.list_(pa.int32()))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = seeds.vocab.get
+        codes = _Codes()
         for b in batches:
-            docs, found = b.column(0), []
-            ids = [np.array([get(w, 0) for w in words(t)], np.int32) for t in b.column(1).to_pylist()]
-            size = np.array([len(x) for x in ids], np.int64)
-            gap = np.zeros(SEED, np.int32)
-            flat = np.concatenate([y for x in ids for y in (x, gap)] or [gap])
-            start = np.cumsum(size + SEED) - size - SEED
-            # most words of a text are in no item: only runs of known words are coded
-            known, hits = flat > 0, []
-            for q, (codes, items, places) in seeds.tables.items():
-                whole = known[: len(flat) - q + 1].copy()
-                for k in range(1, q):
-                    whole &= known[k : len(flat) - q + 1 + k]
-                at = np.flatnonzero(whole)
-                with np.errstate(over="ignore"):
-                    code = np.zeros(len(at), np.uint64)
-                    for k in range(q):
-                        code = code * seeds.base + flat[at + k].astype(np.uint64)
-                lo, hi = np.searchsorted(codes, code), np.searchsorted(codes, code, "right")
-                n = hi - lo
-                at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-                s = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                hits.append((np.repeat(at, n), items[s], places[s]))
-            at, of, ips = (np.concatenate(x) for x in zip(*hits)) if hits else (np.zeros(0, np.int64),) * 3
-            doc = np.searchsorted(start, at, "right") - 1
-            pair = doc * len(seeds.items) + of
-            o = np.argsort(pair, kind="stable")
-            pair, at, of, ips, doc = pair[o], at[o], of[o], ips[o], doc[o]
-            cuts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, int)
-            for lo, hi in zip(cuts, np.r_[cuts[1:], len(pair)]):
-                d, k = int(doc[lo]), int(of[lo])
-                same, item = seeds.items[k]
-                dp, ip = at[lo:hi] - start[d], ips[lo:hi]
-                if not _opened(dp, ip, least, per, len(item)):
-                    continue
-                around = len(item) + len(item) // per + SEED
-                near = ids[d][max(0, dp.min() - around) : dp.max() + around]
-                score, path = align(item, near)
-                if len(item) < 2 * SEED:
-                    errors = held_whole(item, near)
-                    p = (len(item), errors) if errors * per <= len(item) else None
-                else:
-                    p = passage(path, least, per, len(item))
-                if p is not None:
-                    found.extend((docs[d].as_py(), item_id, len(item), *p, score) for item_id in same)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*found) if found else [[]] * 6, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()))], names=[c.split()[0] for c in FOUND.split(", ")])
+            texts = b.column(1).to_pylist()
+            split = [words(t) for t in texts]
+            size = np.array([len(w) for w in split], np.int64)
+            flat = np.fromiter((c for w in split for c in map(codes.__getitem__, w)), np.uint64, int(size.sum()))
+            start = np.cumsum(size) - size
+            doc = np.repeat(np.arange(len(split)), size)
+            found = []
+            for q in lengths:
+                c = _runs(flat, q)
+                hit = doc[: len(c)] == doc[q - 1 :]
+                for at in (c & mask, (c >> np.uint64(32)) & mask):
+                    hit &= (sieve[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                k = np.flatnonzero(hit)
+                found.append((doc[k], c[k].view(np.int64), k - start[doc[k]]))
+            d, c, k = (np.concatenate(x) for x in zip(*found))
+            o = np.lexsort((k, c, d))
+            d, c, k = d[o], c[o], k[o].astype(np.int32)
+            keep = np.bincount(d, minlength=len(split)) >= least_hits
+            ok = keep[d] if len(d) else np.zeros(0, bool)
+            d, c, k = d[ok], c[ok], k[ok]
+            docs = np.flatnonzero(keep)
+            new = np.r_[True, (c[1:] != c[:-1]) | (d[1:] != d[:-1])] if len(c) else np.zeros(0, bool)
+            first = np.flatnonzero(new)
+            places = pa.ListArray.from_arrays(pa.array(np.r_[first, len(c)].astype(np.int32)), pa.array(k))
+            entries = pa.StructArray.from_arrays([pa.array(c[first]), places], fields=list(kind))
+            ends = np.r_[np.searchsorted(d[first], docs), len(first)].astype(np.int32)
+            marks = [xxhash.xxh3_128_hexdigest(texts[i]) for i in docs]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(docs)), pa.array(marks, pa.string()), pa.array([split[i] for i in docs], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array(ends), entries)], names=["doc_id", "mark", "words", "hits"])
 
     return run
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, least: int = 24, per: int = 8, block: int = 5_000) -> DataFrame:
-    """Pairs (doc_id, item_id) of which the text holds a passage of at least `least` consecutive words of the item, or all of it, with at most one word in `per` changed; with item_words, matched words, errors and score.
+_PLACED = "doc_id long, mark string, text_id long, piece int, lo int, hi int"
 
-    Words are compared without case, punctuation or the marks of quotes, comments, lists and diffs. Seeds are the items'
-    runs of five words (fewer in items of under ten, which are compared as a whole); a pair is aligned if its seeds fit
-    one passage of whatever length, however many items share them. Items of the same
-    words are aligned once. Whole texts are searched, in one scan; items come to the tasks in blocks of at most `block`
-    of them, one scan per block, so what is sent has a bound; the result does not depend on it.
 
-    Null or empty texts and items match nothing; rows of a repeated item count once; repeated documents are each
-    searched. Empty tables give an empty result; further columns are ignored.
+def _place(least: int, per: int):
+    """Windows of the texts in which a piece's seeds can stand in one passage."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                pairs = [(np.repeat(s["places"], len(s["at"])), np.tile(s["at"], len(s["places"]))) for s in r["seeds"]]
+                places, at = (np.concatenate(x).astype(np.int64) for x in zip(*pairs))
+                out += [(r["doc_id"], r["mark"], r["text_id"], r["piece"], lo, hi) for lo, hi in windows(places, at, r["whole"], least, per)]
+            yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "mark", "text_id", "piece", "lo", "hi"), x)) for x in out], schema=pa.schema([("doc_id", pa.int64()), ("mark", pa.string()), ("text_id", pa.int64()), ("piece", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())]))
+
+    return run
+
+
+def _judge(least: int, per: int):
+    names = ("doc_id", "text_id", "item_words", "matched", "errors", "score")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                vocab = {w: k for k, w in enumerate(dict.fromkeys(r["words"]), 1)}
+                item = np.array([vocab[w] for w in r["words"]], np.int32)
+                text = np.array([vocab.get(w, 0) for w in r["part"]], np.int32)
+                if (p := held_passage(item, text, least, per)) is not None:
+                    out.append((r["doc_id"], r["text_id"], r["item_words"], *p))
+            yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in out], schema=pa.schema([(n, pa.int64() if k < 2 else pa.int32()) for k, n in enumerate(names)]))
+
+    return run
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, least: int = 24, per: int = 8, most_bits: int = 1 << 28) -> DataFrame:
+    """Pairs (doc_id, item_id) of which the text holds a passage of at least `least` consecutive words of the item, or all of it, with at most one word in `per` changed; with item_words, matched words, errors and score of one such passage.
+
+    Words are compared without case, punctuation or the marks of quotes, comments, lists and diffs; a passage begins and
+    ends with words that are the item's. Seeds are the items' runs of five words (fewer in items of under ten, which are
+    compared as a whole). The corpus is read once: a Bloom filter of all seeds (at most most_bits bits; a fuller one lets
+    more through, and loses nothing) leaves the texts that can hold one. These join the seeds on their codes, hot codes
+    sliced; seeds of a (text, item) pair that fit one passage open a window of the text, however many items share them,
+    and every window is aligned, best alignment first, until a passage is found or none is left. Items of over PIECE
+    words are compared in pieces, so `matched` is at most PIECE; items of the same words are compared once.
+
+    Null or empty texts and items match nothing; rows of a repeated item or document count once; empty tables give an
+    empty result; further columns are ignored. Nothing about the result depends on partitions or on other rows.
     """
-    spark = documents.sparkSession
+    members, units, seeds = _items(items, least, per)
+    shape = seeds.agg(F.collect_set("q"), F.min("need")).first()
+    if not shape[0]:
+        return documents.sparkSession.createDataFrame([], FOUND)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null and doc_id is not null")
-    listed = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null").dropDuplicates(["item_id"])
-    ids = listed.count()
-    out = spark.createDataFrame([], FOUND)
-    for k in range(-(-ids // block)):
-        part = listed.orderBy("item_id").offset(k * block).limit(block).collect()
-        found = docs.mapInArrow(_search(Seeds([(r[0], r[1]) for r in part], per), least, per), FOUND)
-        out = found if k == 0 else out.unionByName(found)
-    return out
+    seen = materialise(docs.mapInArrow(_seek(_sieve(seeds, most_bits), sorted(shape[0]), shape[1]), _SEEN))
+    hits = seen.select("doc_id", "mark", F.explode("hits").alias("h")).select("doc_id", "mark", "h.code", "h.places")
+    plain = seeds.drop("q")
+    side = if_small(plain, scan=True)
+    if side is plain:
+        big, side = salted(hits, plain, F.col("code"), F.xxhash64("doc_id", "mark"))
+        met = big.join(side, ["code", "_salt"])
+    else:
+        met = hits.join(side, "code")
+    pairs = met.groupBy("doc_id", "mark", "text_id", "piece").agg(F.sum(F.size("at")).alias("n"), F.max("need").alias("need"), F.collect_set(F.struct("places", "at")).alias("seeds")).filter("n >= need")
+    length = units.select("text_id", "piece", F.size("words").alias("whole"))
+    placed = pairs.join(if_small(length, scan=True), ["text_id", "piece"]).select("doc_id", "mark", "text_id", "piece", "whole", "seeds").mapInArrow(_place(least, per), _PLACED)
+    placed = materialise(placed)
+    texts = seen.select("doc_id", "mark", "words").dropDuplicates(["doc_id", "mark"]).withColumnRenamed("words", "_w")
+    opened = placed.join(texts, ["doc_id", "mark"]).select("doc_id", "text_id", "piece", F.expr("slice(_w, lo + 1, hi - lo)").alias("part"))
+    found = opened.join(if_small(units), ["text_id", "piece"]).select("doc_id", "text_id", "item_words", "words", "part").mapInArrow(_judge(least, per), "doc_id long, text_id long, item_words int, matched int, errors int, score int")
+    best = found.groupBy("doc_id", "text_id").agg(F.max(F.struct("matched", -F.col("errors"), "score", "item_words")).alias("b"))
+    best = materialise(best.select("doc_id", "text_id", F.col("b.item_words").alias("item_words"), F.col("b.matched").alias("matched"), (-F.col("b.col2")).alias("errors"), F.col("b.score").alias("score")))
+    many, few = salted(best, members, F.col("text_id"), F.col("doc_id"))
+    return many.join(few, ["text_id", "_salt"]).select("doc_id", "item_id", "item_words", "matched", "errors", "score")
