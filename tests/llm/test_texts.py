@@ -68,7 +68,7 @@ def test_every_passage_of_a_pair_is_tried(spark):
 def test_long_items_and_texts_of_one_word_over_and_over(spark):
     long = [f"{w}{k}" for k, w in enumerate(item(7, 900).split())]
     it = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(["same"] * 80)), (3, " ".join(["same"] * 80))], "item_id long, text string")
-    d = docs(spark, " ".join(long[250:274]), " ".join(long[876:]), "x " * 5000 + " ".join(long), "same " * 20_000, " ".join(long[500:523]), "same " * 23)
+    d = docs(spark, " ".join(long[250:274]), " ".join(long[876:]), "x " * 5000 + " ".join(long), "same " * 300_000, " ".join(long[500:523]), "same " * 23)
     assert rows(leakage.leaked_items(d, it), "doc_id", "item_id") == [(0, 1), (1, 1), (2, 1), (3, 2), (3, 3)]
     twice = d.unionByName(d)
     assert rows(leakage.leaked_items(twice, it), "doc_id", "item_id") == [(0, 1), (1, 1), (2, 1), (3, 2), (3, 3)]

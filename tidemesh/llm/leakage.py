@@ -168,37 +168,58 @@ def held_passage(item: np.ndarray, text: np.ndarray, least: int, per: int) -> tu
             i, j = i + (s != 3), j + (s != 2)
 
 
+def _close(places: np.ndarray, at: np.ndarray, need: int, span: int, q: int, errors: int) -> bool:
+    """Whether some seed has `need` different ones, itself counted, within a passage that begins with it."""
+    o = np.argsort(at, kind="stable")
+    at, d = at[o], (places - at)[o]
+    near = (at[None, :] >= at[:, None]) & (at[None, :] <= at[:, None] + span - q) & (np.abs(d[None, :] - d[:, None]) <= errors)
+    row, k = np.nonzero(near)
+    new = np.r_[True, (row[1:] != row[:-1]) | (at[k][1:] != at[k][:-1])] if len(row) else np.zeros(0, bool)
+    return bool((np.bincount(row[new], minlength=1) >= need).any())
+
+
 def windows(places: np.ndarray, at: np.ndarray, whole: int, least: int, per: int) -> list[tuple[int, int]]:
     """Ranges of a text's words where its seeds (places[k], at[k] in the item) can stand in one passage: enough of them near one diagonal.
 
     A range is at most some four times the item's length; neighbouring ranges overlap by more than a passage can take.
+    Where very many seeds meet (words over and over) ranges are opened without a closer look.
     """
     need, span = seeds_needed(whole, least, per)
-    reach = whole + whole // per + SEED
-    wide, long = 2 * (span // per + 1), 2 * span
+    q, reach = seed_words(whole, per), whole + whole // per + SEED
     o = np.argsort(places, kind="stable")
     places, at = places[o], at[o]
     out = []
     lo = 0
     while lo < len(places):
         hi = int(np.searchsorted(places, places[lo] + 2 * reach))
-        d, i = places[lo:hi] - at[lo:hi], at[lo:hi]
-        for x in (0, wide // 2):
-            for y in (0, span):
-                group = np.unique(np.stack([(d + x) // wide, (i + y) // long, i]), axis=1)
-                box, n = np.unique(group[:2], axis=1, return_counts=True)
-                if (n >= need).any():
-                    out.append((max(0, int(places[lo]) - reach), int(places[hi - 1]) + reach))
-                    break
-            else:
-                continue
-            break
+        if hi - lo >= need and (hi - lo > 1000 or _close(places[lo:hi], at[lo:hi], need, span, q, span // per)):
+            out.append((max(0, int(places[lo]) - reach), int(places[hi - 1]) + reach))
         if hi == len(places):
             break
         lo = int(np.searchsorted(places, places[lo] + reach))
     return out
 
 
+def _all_windows(places: np.ndarray, whole: int, per: int) -> list[tuple[int, int]]:
+    """Ranges as of `windows` around all of the places, without a look at the seeds."""
+    reach = whole + whole // per + SEED
+    cell = np.unique(places // reach)
+    return [(max(0, int(c - 1) * reach), int(c + 2) * reach) for c in cell]
+
+
+def _met(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place in the text and place in the item of every seed of a list<struct<places, at>> column."""
+    flat = col.flatten()
+    entry_row = np.repeat(np.arange(len(col)), np.diff(col.offsets.to_numpy()))
+    p, a = flat.field(0), flat.field(1)
+    (np_, p0), (na, a0) = ((np.diff(o := x.offsets.to_numpy()), o[:-1]) for x in (p, a))
+    pv, av = p.values.to_numpy(zero_copy_only=False), a.values.to_numpy(zero_copy_only=False)
+    n = np_.astype(np.int64) * na
+    e = np.repeat(np.arange(len(n)), n)
+    k = np.arange(len(e)) - np.repeat(np.cumsum(n) - n, n)
+    return entry_row[e], pv[p0[e] + k // na[e]].astype(np.int64), av[a0[e] + k % na[e]].astype(np.int64)
+
+
 def _pieces(whole: int, least: int) -> list[tuple[int, int]]:
     if whole <= PIECE:
         return [(0, whole)]
@@ -307,13 +328,37 @@ def _place(least: int, per: int):
     """Windows of the texts in which a piece's seeds can stand in one passage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for r in b.to_pylist():
-                pairs = [(np.repeat(s["places"], len(s["at"])), np.tile(s["at"], len(s["places"]))) for s in r["seeds"]]
-                places, at = (np.concatenate(x).astype(np.int64) for x in zip(*pairs))
-                out += [(r["doc_id"], r["mark"], r["text_id"], r["piece"], lo, hi) for lo, hi in windows(places, at, r["whole"], least, per)]
-            yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "mark", "text_id", "piece", "lo", "hi"), x)) for x in out], schema=pa.schema([("doc_id", pa.int64()), ("mark", pa.string()), ("text_id", pa.int64()), ("piece", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())]))
+        for whole in batches:
+            load = whole.column(5).to_numpy()
+            heavy = load > 20_000_000  # one word over and over
+            for k in np.flatnonzero(heavy):
+                at = _all_windows(whole.column(6)[int(k)].values.field(0).flatten().to_numpy(), int(whole.column(4)[int(k)].as_py()), per)
+                yield placed(whole, [(int(k), lo, hi) for lo, hi in at])
+            whole = whole.filter(pa.array(~heavy))
+            size = load[~heavy].cumsum()
+            cuts = np.r_[0, np.flatnonzero(np.diff(size // 2_000_000)) + 1, whole.num_rows]
+            for b in (whole.slice(lo, hi - lo) for lo, hi in zip(cuts, cuts[1:]) if hi > lo):
+                length = b.column(4).to_numpy()
+                shape = {int(n): (*seeds_needed(int(n), least, per),) for n in np.unique(length)}
+                need, span = (np.array([shape[int(n)][k] for n in length]) for k in (0, 1))
+                row, places, at = _met(b.column(6))
+                # few rows have enough seeds near one diagonal: they are told apart all at once
+                wide = 2 * (span // per + 1)
+                stays = np.zeros(b.num_rows, bool)
+                for x in (0, wide // 2):
+                    band = (places - at + PIECE + (x if np.isscalar(x) else x[row])) // wide[row]
+                    key = np.unique(((row << 31) + band) * PIECE + at)
+                    box, n = np.unique(key // PIECE, return_counts=True)
+                    who = box >> 31
+                    stays[who[n >= need[who]]] = True
+                o = np.argsort(row, kind="stable")
+                edge = np.searchsorted(row[o], np.arange(b.num_rows + 1))
+                out = [(k, *w) for k in np.flatnonzero(stays) for w in windows(places[o[edge[k] : edge[k + 1]]], at[o[edge[k] : edge[k + 1]]], int(length[k]), least, per)]
+                yield placed(b, out)
+
+    def placed(b: pa.RecordBatch, out: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        k, lo, hi = (pa.array(np.array(c, np.int32)) for c in (zip(*out) if out else ((), (), ())))
+        return pa.RecordBatch.from_arrays([*(b.column(c).take(k) for c in range(4)), lo, hi], names=["doc_id", "mark", "text_id", "piece", "lo", "hi"])
 
     return run
 
@@ -363,9 +408,9 @@ def leaked_items(documents: DataFrame, items: DataFrame, least: int = 24, per: i
         met = big.join(side, ["code", "_salt"])
     else:
         met = hits.join(side, "code")
-    pairs = met.groupBy("doc_id", "mark", "text_id", "piece").agg(F.sum(F.size("at")).alias("n"), F.max("need").alias("need"), F.collect_set(F.struct("places", "at")).alias("seeds")).filter("n >= need")
+    pairs = met.groupBy("doc_id", "mark", "text_id", "piece").agg(F.sum(F.size("at")).alias("n"), F.sum(F.size("at").cast("long") * F.size("places")).alias("load"), F.max("need").alias("need"), F.collect_set(F.struct("places", "at")).alias("seeds")).filter("n >= need")
     length = units.select("text_id", "piece", F.size("words").alias("whole"))
-    placed = pairs.join(if_small(length, scan=True), ["text_id", "piece"]).select("doc_id", "mark", "text_id", "piece", "whole", "seeds").mapInArrow(_place(least, per), _PLACED)
+    placed = pairs.join(if_small(length, scan=True), ["text_id", "piece"]).select("doc_id", "mark", "text_id", "piece", "whole", "load", "seeds").mapInArrow(_place(least, per), _PLACED)
     placed = materialise(placed)
     texts = seen.select("doc_id", "mark", "words").dropDuplicates(["doc_id", "mark"]).withColumnRenamed("words", "_w")
     opened = placed.join(texts, ["doc_id", "mark"]).select("doc_id", "text_id", "piece", F.expr("slice(_w, lo + 1, hi - lo)").alias("part"))
