@@ -5,7 +5,7 @@ import pytest
 from conftest import rows
 
 from tidemesh.operators import regular, series, spikes
-from tidemesh.functions.segments import medians, tail_cutoffs
+from tidemesh.functions.segments import medians, tail_bins, tail_cutoff
 
 NAN, INF = float("nan"), float("inf")
 T0 = datetime(2024, 1, 1)
@@ -75,15 +75,52 @@ def test_long_series_in_blocks_equal_whole_ones(spark, monkeypatch):
     assert found(df) == whole
 
 
-def test_tail_cutoffs_follow_the_risk():
+def test_tail_cutoff_follows_the_risk_whatever_spikes_there_are():
     rng = np.random.default_rng(2)
     v = rng.exponential(1.0, 20_000)
-    z = tail_cutoffs(np.zeros(20_000, int), v, np.array([20_000.0]), 1e-3)
-    assert z[0] == pytest.approx(np.log(1000), rel=0.15)
-    assert tail_cutoffs(np.zeros(3, int), v[:3], np.array([3.0]), 1e-3)[0] == np.inf
+    cut = lambda x: tail_cutoff(*np.unique(tail_bins(x), return_counts=True), 1e-3)
+    assert cut(v) == pytest.approx(np.log(1000), rel=0.15)
+    assert cut(np.r_[v, np.full(200, 1e6)]) == pytest.approx(np.log(1000), rel=0.3)
+    assert np.isnan(cut(v[:30])) and np.isnan(cut(np.r_[np.zeros(1000), 5.0, 6.0]))
     assert medians(np.array([0, 0, 2]), np.array([1.0, 2.0, 5.0]), 3).tolist()[::2] == [1.5, 5.0]
 
 
+@pytest.mark.parametrize("law", ["normal", "laplace", "walk", "season"])
+def test_clean_series_exceed_at_about_the_stated_risk(law):
+    rng = np.random.default_rng(7)
+    shape = (2000, 40)
+    x = {"normal": rng.normal(size=shape), "laplace": rng.laplace(size=shape), "walk": np.cumsum(rng.normal(size=shape), 1), "season": 0.1 * rng.normal(size=shape) + 3 * np.sin(2 * np.pi * np.arange(40) / 7)}[law].ravel()
+    seg, e, one = np.repeat(np.arange(2000), 40), np.tile(np.arange(40.0), 2000), np.ones(80_000)
+    h = spikes.judge(seg, [e, 0.01 * x, one, one, one], 2000, tuple(range(2, 13)), 10.0, 5, 25.0)["height"][0]
+    z = tail_cutoff(*np.unique(tail_bins(h), return_counts=True), 1e-3)
+    assert 0.5e-3 <= (h > z).mean() <= 2e-3
+
+
+def test_seasons_are_told_from_noise_and_taken_off(spark):
+    rng = np.random.default_rng(1)
+    seg, e = np.repeat(np.arange(200), 40), np.tile(np.arange(40.0), 200)
+    wave = 2 * np.sin(2 * np.pi * e / 5)
+    assert (spikes.seasonal(seg, e, rng.normal(size=8000), 200, (2, 3, 5, 7, 12)) != 0).mean() < 0.02
+    got = spikes.seasonal(seg, e, wave + 0.1 * rng.normal(size=8000) + 0.05 * e, 200, (2, 3, 5, 7, 12))
+    assert np.abs(got - wave).max() < 0.4
+    # a bump of three median changes stands out only beside the season
+    r = [(c, k, round(float(0.2 * np.sin(2 * np.pi * k / 5) + 0.002 * rng.normal() + (0.1 if (c, k) == (3, 20) else 0)), 5)) for c in range(40) for k in range(40)]
+    f = spikes.flag_readings(table(spark, *r))
+    assert rows(f.filter("spike and corepoint_id = 3 and epoch_idx = 20"), "returned") == [(False,)]
+    plain = spikes.flag_readings(table(spark, *r), periods=())
+    assert rows(plain.filter("spike and corepoint_id = 3 and epoch_idx = 20")) == []
+
+
+def test_spikes_need_the_tail(spark):
+    """A spike is one by the fitted level alone: at a risk that no reading reaches there is none, though the rule names it."""
+    rng = np.random.default_rng(4)
+    r = [(c, k, round(float(0.01 * rng.normal() + (0.5 if (c, k) == (3, 20) else 0)), 5)) for c in range(60) for k in range(40)]
+    df = table(spark, *r)
+    assert (3, 20) in found(df)
+    f = spikes.flag_readings(df, risk=1e-200)
+    assert rows(f.filter("spike and epoch_idx = 20")) == [] and (3, 20) in rows(f.filter("returned"), "corepoint_id", "epoch_idx")
+
+
 def grid(spark, times, d, hours=6, **options):
     n = len(times)
     dist = table(spark, *[(1, e, v) for e, v in enumerate(d)])

@@ -37,27 +37,60 @@ def medians(seg: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def tail_cutoffs(seg: np.ndarray, v: np.ndarray, readings: np.ndarray, risk: float) -> np.ndarray:
-    """Peaks over threshold: per segment, the level that a positive value of v exceeds with probability `risk` a reading.
+#: Bins of `tail_bins` for a doubling of the value; values below the first edge share the lowest bin, those above the last the highest.
+PER_DOUBLING, LOWEST, HIGHEST = 20, -5 * 20, 12 * 20
 
-    The threshold is the median of a segment's positive values; a generalised Pareto law is fitted to the excesses over it
-    by probability-weighted moments. inf where fewer than 5 excesses leave nothing to fit.
+
+def tail_bins(v: np.ndarray) -> np.ndarray:
+    """Logarithmic bin of every value >= 0."""
+    with np.errstate(divide="ignore"):
+        return np.clip(np.floor(PER_DOUBLING * np.log2(v)), LOWEST, HIGHEST).astype(np.int32)
+
+
+def tail_cutoff(bins: np.ndarray, count: np.ndarray, risk: float, top: float = 0.15, seen: float = 0.5, least: int = 20, usual: float = 0.1) -> float:
+    """Peaks over threshold: the level that a value exceeds with probability `risk`, from counts by `tail_bins`.
+
+    The threshold is the bin edge that a share of at most `top` of all values exceeds. A generalised Pareto law is fitted
+    to the excesses by maximum likelihood over bins, first with those beyond the share `seen` right-censored, so that the
+    spikes which the level is to tell apart don't draw it up, then with all up to the level found, of those beyond it no
+    more than the risk allows for. The shape has a normal prior about 0, an exponential tail, of deviation `usual`, which
+    only few excesses leave any weight. NaN where there are fewer than `least` excesses, or where fewer than half the
+    share `top` are positive.
     """
-    n = len(readings)
-    u = medians(seg[v > 0], v[v > 0], n)
-    over = v > u[seg] if len(seg) else np.zeros(0, bool)
-    s, x = seg[over], v[over] - u[seg[over]]
-    o = np.lexsort((x, s))
-    s, x = s[o], x[o]
-    m = np.bincount(s, minlength=n).astype(float)
-    start = np.cumsum(m) - m
-    rank = np.arange(len(s)) - start[s] + 1
-    with np.errstate(all="ignore"):
-        b0 = np.bincount(s, x, n) / m
-        a1 = np.bincount(s, x * (1 - (rank - 0.35) / m[s]), n) / m
-        k = b0 / (b0 - 2 * a1) - 2
-        scale = 2 * b0 * a1 / (b0 - 2 * a1)
-        q = risk * readings / m
-        z = u + np.where(np.abs(k) < 1e-6, -scale * np.log(q), scale / k * (1 - q**k))
-        z = np.where((m >= 5) & np.isfinite(z) & (z > u), z, np.inf)
-    return z
+    o = np.argsort(bins)
+    b, c = bins[o], count[o].astype(float)
+    total = c.sum()
+    above = np.r_[np.cumsum(c[::-1])[::-1], 0.0]  # values in this bin or higher
+    k = int(np.argmax(above <= top * total))
+    if above[k] < least or above[k] < top * total / 2 or b[min(k, len(b) - 1)] <= LOWEST:
+        return float("nan")
+    edge = lambda x: 2.0 ** (x / PER_DOUBLING)
+    u = edge(b[k])
+    lo, hi = edge(b[k:]) - u, edge(b[k:] + 1.0) - u
+    last = int(np.searchsorted(np.cumsum(c[k:]), seen * above[k])) + 1
+    beyond, level = above[k + last], 0.0
+    for _ in range(4):
+        level = _pareto_level(lo[:last], hi[:last], c[k : k + last], beyond, total, risk, usual)
+        last = max(int(np.searchsorted(hi, level)), 1)
+        beyond = min(above[k + last], risk * total)
+    return float(u + level)
+
+
+def _pareto_level(lo: np.ndarray, hi: np.ndarray, n: np.ndarray, beyond: float, total: float, risk: float, usual: float) -> float:
+    """Excess at `risk` of the generalised Pareto law most likely for n values between lo and hi and `beyond` above them."""
+    far = hi[-1]
+    shape = np.linspace(-0.5, 1.0, 31)
+    scale = far * np.geomspace(0.02, 20, 150)
+    g, s = shape[:, None, None], scale[None, :, None]
+    flat = np.abs(g) < 1e-9
+
+    def stays(x: np.ndarray) -> np.ndarray:
+        with np.errstate(all="ignore"):
+            return np.where(flat, np.exp(-x / s), np.maximum(1 + g * x / s, 0) ** (-1 / np.where(flat, 1, g)))
+
+    tiny = 1e-300
+    like = (n * np.log(np.maximum(stays(lo) - stays(hi), tiny))).sum(-1) + beyond * np.log(np.maximum(stays(np.array([far])), tiny))[..., 0]
+    like -= (shape[:, None] / usual) ** 2 / 2
+    i, j = np.unravel_index(int(like.argmax()), like.shape)
+    r = max((n.sum() + beyond) / total / risk, 1.0)
+    return float(scale[j] * np.log(r) if abs(shape[i]) < 1e-9 else scale[j] / shape[i] * (r ** shape[i] - 1))

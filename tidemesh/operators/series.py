@@ -29,15 +29,16 @@ def readings(distances: DataFrame, fields: tuple[str, ...] = ("distance",)) -> D
     return held_rows(distances, list(fields)).filter(F.col("distance").isNotNull() & ~F.isnan("distance"))
 
 
-def pack(rows: DataFrame, keys: list[str], position: Column, order: str, values: list[str], halo: int, longest: int | None = None) -> DataFrame:
+def pack(rows: DataFrame, keys: list[str], position: Column, order: str, values: list[str], halo: int, longest: int | None = None, also: tuple[str, ...] = ()) -> DataFrame:
     """One row per (keys, block of BLOCK positions): `items`, sorted structs of (order, values), with `before` and `after`.
 
     before / after hold the `halo` nearest items of the neighbouring blocks of the same series (empty lists at its ends).
     A block is at most BLOCK positions long, so no series, however long, is collected in one place. `longest`: if the
     caller knows that all positions lie in 0..longest < BLOCK, there is but one block each and the halo step is left out.
+    also: columns of which a block keeps its largest value.
     """
     block = F.floor(position / F.lit(BLOCK)).cast("long")
-    p = rows.withColumn("block", block).groupBy(*keys, "block").agg(F.array_sort(F.collect_list(F.struct(order, *values))).alias("items"))
+    p = rows.withColumn("block", block).groupBy(*keys, "block").agg(F.array_sort(F.collect_list(F.struct(order, *values))).alias("items"), *[F.max(c).alias(c) for c in also])
     empty = F.expr("slice(items, 1, 0)")
     if longest is not None and longest < BLOCK:
         return p.select("*", empty.alias("before"), empty.alias("after"))

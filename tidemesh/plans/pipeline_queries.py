@@ -26,8 +26,14 @@ def p2_flags(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("corepoint_id", "epoch_idx", "spike", "returned", "stuck", "impossible")
 
 
+def p2_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """The readings that the exact rules name, by rule."""
+    f = spikes.flag_readings(_table(spark, sf, "distances"))
+    return f.filter("returned or stuck or impossible").select("corepoint_id", "epoch_idx", "returned", "stuck", "impossible")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Flagged readings that the exact rules confirm."""
+    """Spikes beyond the fitted tail that the exact rule confirms, stuck and impossible readings."""
     return spikes.flag_readings(_table(spark, sf, "distances")).filter("(spike and returned) or stuck or impossible").select("corepoint_id", "epoch_idx")
 
 
@@ -43,7 +49,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("corepoint_id", "slot")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_flags, p3_found, p3_grid)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_rules, p2_flags, p3_found, p3_grid)}
 
 _HELD = """held as (
   select corepoint_id, epoch_idx, arg_max(analysis_id, ingested_at) analysis_id, arg_max(struct_pack(v := distance), ingested_at).v distance,
@@ -60,6 +66,20 @@ _USUAL = " union all ".join(
     for name, wrong in (("distance", "abs(distance) > 25"), ("lodetection", "lodetection < 0 or isinf(lodetection)"), ("spread2", "spread2 < 0 or isinf(spread2)"))
 )
 
+_P2 = """
+with @HELD,
+numbered as (select *, row_number() over (partition by corepoint_id order by epoch_idx) k, row_number() over (partition by corepoint_id, distance order by epoch_idx) j from readings),
+marked as (select *, count(*) over (partition by corepoint_id, distance, k - j) >= 5 stuck from numbered),
+usual as (select f, corepoint_id, median(abs(c)) m from (select f, corepoint_id, v - lag(v) over (partition by f, corepoint_id order by epoch_idx) c from (@USUAL)) where c is not null group by 1, 2),
+around as (select s.*, m, lag(v, 2) over w p2, lag(v) over w p1, lead(v) over w n1, lead(v, 2) over w n2 from (@SERIES) s join usual using (f, corepoint_id) window w as (partition by f, corepoint_id order by epoch_idx)),
+out_and_back as (select distinct corepoint_id, epoch_idx from around where
+  (p1 is not null and n1 is not null and (v - greatest(p1, n1) > 10 * m or least(p1, n1) - v > 10 * m))
+  or (p1 is not null and n1 is not null and n2 is not null and (least(v, n1) - greatest(p1, n2) > 10 * m or least(p1, n2) - greatest(v, n1) > 10 * m))
+  or (p2 is not null and p1 is not null and n1 is not null and (least(v, p1) - greatest(p2, n1) > 10 * m or least(p2, n1) - greatest(v, p1) > 10 * m))),
+rules as (select corepoint_id, epoch_idx, o.corepoint_id is not null returned, stuck, coalesce(abs(distance) > 25 or (not isnan(lodetection) and (lodetection < 0 or isinf(lodetection))) or (not isnan(spread2) and (spread2 < 0 or isinf(spread2))) or num_samples2 < 0, false) impossible
+  from marked left join out_and_back o using (corepoint_id, epoch_idx))
+""".replace("@HELD", _HELD).replace("@USUAL", _USUAL).replace("@SERIES", _SERIES)
+
 ORACLE = {
     "p1_found": """
 with core as (select distinct corepoint_id, x, y, z from corepoints where isfinite(x) and isfinite(y) and isfinite(z)),
@@ -72,18 +92,8 @@ inside as (select corepoint_id, zone_id from flat, edges where zone_id in (selec
 select 'point' kind, corepoint_id, point_id other_id from core c join pts p on p.x between c.x - 0.76 and c.x + 0.76 and p.y between c.y - 0.76 and c.y + 0.76
   where (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) + (p.z - c.z) * (p.z - c.z) <= 0.7505 * 0.7505
 union all select 'zone', corepoint_id, zone_id from inside""",
-    "p2_found": f"""
-with {_HELD},
-numbered as (select *, row_number() over (partition by corepoint_id order by epoch_idx) k, row_number() over (partition by corepoint_id, distance order by epoch_idx) j from readings),
-marked as (select *, count(*) over (partition by corepoint_id, distance, k - j) >= 5 stuck from numbered),
-usual as (select f, corepoint_id, median(abs(c)) m from (select f, corepoint_id, v - lag(v) over (partition by f, corepoint_id order by epoch_idx) c from ({_USUAL})) where c is not null group by 1, 2),
-around as (select s.*, m, lag(v, 2) over w p2, lag(v) over w p1, lead(v) over w n1, lead(v, 2) over w n2 from ({_SERIES}) s join usual using (f, corepoint_id) window w as (partition by f, corepoint_id order by epoch_idx)),
-out_and_back as (select corepoint_id, epoch_idx from around where
-  (p1 is not null and n1 is not null and (v - greatest(p1, n1) > 10 * m or least(p1, n1) - v > 10 * m))
-  or (p1 is not null and n1 is not null and n2 is not null and (least(v, n1) - greatest(p1, n2) > 10 * m or least(p1, n2) - greatest(v, n1) > 10 * m))
-  or (p2 is not null and p1 is not null and n1 is not null and (least(v, p1) - greatest(p2, n1) > 10 * m or least(p2, n1) - greatest(v, p1) > 10 * m)))
-select corepoint_id, epoch_idx from out_and_back
-union select corepoint_id, epoch_idx from marked where stuck or abs(distance) > 25 or (not isnan(lodetection) and (lodetection < 0 or isinf(lodetection))) or (not isnan(spread2) and (spread2 < 0 or isinf(spread2))) or num_samples2 < 0""",
+    "p2_found": _P2 + "select corepoint_id, epoch_idx from rules where returned or stuck or impossible",
+    "p2_rules": _P2 + "select * from rules where returned or stuck or impossible",
     "p3_found": f"""
 with {_HELD},
 timed as (select distinct analysis_id, epoch_idx, floor(epoch_us(ts) / (grid_hours * 3600e6))::bigint slot from (select distinct analysis_id, epoch_idx, ts from epochs where ts is not null) join (select distinct analysis_id, grid_hours from analyses where grid_hours > 0) using (analysis_id)),
