@@ -100,8 +100,8 @@ def test_seasons_are_told_from_noise_and_taken_off(spark):
     rng = np.random.default_rng(1)
     seg, e = np.repeat(np.arange(200), 40), np.tile(np.arange(40.0), 200)
     wave = 2 * np.sin(2 * np.pi * e / 5)
-    assert (spikes.seasonal(seg, e, rng.normal(size=8000), 200, (2, 3, 5, 7, 12)) != 0).mean() < 0.02
-    got = spikes.seasonal(seg, e, wave + 0.1 * rng.normal(size=8000) + 0.05 * e, 200, (2, 3, 5, 7, 12))
+    assert (spikes.seasonal(seg, e, rng.normal(size=8000), 200, (2, 3, 5, 7, 12), np.ones(200)) != 0).mean() < 0.02
+    got = spikes.seasonal(seg, e, wave + 0.1 * rng.normal(size=8000) + 0.05 * e, 200, (2, 3, 5, 7, 12), np.ones(200))
     assert np.abs(got - wave).max() < 0.4
     # a bump of three median changes stands out only beside the season
     r = [(c, k, round(float(0.2 * np.sin(2 * np.pi * k / 5) + 0.002 * rng.normal() + (0.1 if (c, k) == (3, 20) else 0)), 5)) for c in range(40) for k in range(40)]

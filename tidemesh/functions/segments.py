@@ -78,19 +78,24 @@ def tail_cutoff(bins: np.ndarray, count: np.ndarray, risk: float, top: float = 0
 
 def _pareto_level(lo: np.ndarray, hi: np.ndarray, n: np.ndarray, beyond: float, total: float, risk: float, usual: float) -> float:
     """Excess at `risk` of the generalised Pareto law most likely for n values between lo and hi and `beyond` above them."""
-    far = hi[-1]
-    shape = np.linspace(-0.5, 1.0, 31)
-    scale = far * np.geomspace(0.02, 20, 150)
-    g, s = shape[:, None, None], scale[None, :, None]
-    flat = np.abs(g) < 1e-9
-
-    def stays(x: np.ndarray) -> np.ndarray:
-        with np.errstate(all="ignore"):
-            return np.where(flat, np.exp(-x / s), np.maximum(1 + g * x / s, 0) ** (-1 / np.where(flat, 1, g)))
-
-    tiny = 1e-300
-    like = (n * np.log(np.maximum(stays(lo) - stays(hi), tiny))).sum(-1) + beyond * np.log(np.maximum(stays(np.array([far])), tiny))[..., 0]
-    like -= (shape[:, None] / usual) ** 2 / 2
-    i, j = np.unravel_index(int(like.argmax()), like.shape)
+    far, tiny = hi[-1], 1e-300
+    edges = np.r_[lo, far]
+    shape, scale = np.linspace(-0.5, 1.0, 16), far * np.geomspace(0.02, 20, 40)
+    for _ in range(2):  # a coarse grid, then a fine one around its best
+        g, s = shape[:, None, None], scale[None, :, None]
+        flat = np.abs(g) < 1e-9
+
+        def stays(x: np.ndarray) -> np.ndarray:
+            with np.errstate(all="ignore"):
+                return np.where(flat, np.exp(-x / s), np.maximum(1 + g * x / s, 0) ** (-1 / np.where(flat, 1, g)))
+
+        below = stays(edges)
+        upper = below[..., 1:] if np.array_equal(hi[:-1], lo[1:]) else stays(hi)
+        like = (n * np.log(np.maximum(below[..., :-1] - upper, tiny))).sum(-1) + beyond * np.log(np.maximum(below[..., -1], tiny))
+        like -= (shape[:, None] / usual) ** 2 / 2
+        i, j = np.unravel_index(int(like.argmax()), like.shape)
+        best, width = (shape[i], scale[j]), (shape[1] - shape[0], scale[1] / scale[0])
+        shape = np.clip(best[0] + width[0] * np.linspace(-1, 1, 9), -0.5, 1.0)
+        scale = best[1] * width[1] ** np.linspace(-1, 1, 9)
     r = max((n.sum() + beyond) / total / risk, 1.0)
-    return float(scale[j] * np.log(r) if abs(shape[i]) < 1e-9 else scale[j] / shape[i] * (r ** shape[i] - 1))
+    return float(best[1] * np.log(r) if abs(best[0]) < 1e-9 else best[1] / best[0] * (r ** best[0] - 1))

@@ -46,43 +46,53 @@ def _runs(x: np.ndarray, seg: np.ndarray, least: int) -> np.ndarray:
     return np.bincount(run)[run] >= least
 
 
-def seasonal(seg: np.ndarray, e: np.ndarray, v: np.ndarray, n: int, periods: tuple[int, ...], share: float = 0.5) -> np.ndarray:
+def seasonal(seg: np.ndarray, e: np.ndarray, v: np.ndarray, n: int, periods: tuple[int, ...], usual: np.ndarray, share: float = 0.5) -> np.ndarray:
     """The seasonal part of every value of n series (sorted by series and epoch e), 0 in series without a season.
 
     A series has the season, of the `periods` in epochs of which it has four or more cycles, whose phases explain most of
     what is left of it beside a moving mean of one period, if they explain more than `share` of that (adjusted for their
-    number). What is left is cut at five times its median size first, so spikes do not make seasons.
+    number). What is left is cut at five of its `usual` changes first, so spikes do not make seasons.
     """
     out = np.zeros(len(v))
     if not len(v) or not periods:
         return out
     count = np.bincount(seg, minlength=n)
     start = np.cumsum(count) - count
-    sums = np.r_[0.0, np.cumsum(v - v.mean())] + 0.0
-    at = np.arange(len(v))
-    best, part = np.full(n, share), np.zeros(len(v))
+    size = 5 * np.nan_to_num(usual)[seg]
+    x = v - v.mean()
+    sums = np.r_[0.0, np.cumsum(x)]
+    at, whole_e = np.arange(len(v)), e.astype(np.int64)
+    first, last = start[seg], (start + count)[seg]
+
+    def left(p: int, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What is left beside the moving mean of those of the values k that have a whole period around them, and which these are."""
+        lo, hi = k - (p - 1) // 2, k + p // 2 + 1
+        k = k[(lo >= first[k]) & (hi <= last[k])]
+        r = x[k] - (sums[k + p // 2 + 1] - sums[k - (p - 1) // 2]) / p
+        return np.clip(r, -size[k], size[k]), k
+
+    best, season = np.full(n, share), np.zeros(n, np.int64)
     for p in periods:
-        lo, hi = at - (p - 1) // 2, at + p // 2 + 1
-        ok = (lo >= start[seg]) & (hi <= (start + count)[seg]) & (count >= 4 * p)[seg]
-        if not ok.any():
+        r, k = left(p, at[(count >= 4 * p)[seg]] if (count < 4 * p).any() else at)
+        if not len(k):
             continue
-        k = at[ok]
         s = seg[k]
-        r = v[k] - v.mean() - (sums[hi[ok]] - sums[lo[ok]]) / p
-        size = 5 * np.nan_to_num(medians(s, np.abs(r), n))[s]
-        r = np.clip(r, -size, size)
-        phase = s * p + np.mod(e[k], p).astype(np.int64)
+        phase = s * p + whole_e[k] % p
         m, by = np.bincount(s, minlength=n), np.bincount(phase, minlength=n * p)
+        part = np.bincount(phase, r, n * p)
         with np.errstate(all="ignore"):
-            whole = np.bincount(s, r * r, n) - np.bincount(s, r, n) ** 2 / m
-            within = (np.bincount(phase, r * r, n * p) - np.nan_to_num(np.bincount(phase, r, n * p) ** 2 / by)).reshape(n, p).sum(1)
-            told = 1 - within / (m - p) / (whole / (m - 1))
-        better = np.nan_to_num(told, nan=-1.0) > best
-        if better.any():
-            best[better] = told[better]
-            mine = better[seg]
-            part[mine] = np.nan_to_num(medians(phase, r, n * p))[seg[mine] * p + np.mod(e[mine], p).astype(np.int64)]
-    return part
+            square = np.bincount(s, r * r, n)
+            whole = square - part.reshape(n, p).sum(1) ** 2 / m
+            within = square - np.nan_to_num(part**2 / by).reshape(n, p).sum(1)
+            told = np.nan_to_num(1 - within / (m - p) / (whole / (m - 1)), nan=-1.0)
+        better = told > best
+        best[better], season[better] = told[better], p
+    for p in np.unique(season[season > 0]).tolist():
+        mine = at[(season == p)[seg]]
+        r, k = left(p, mine)
+        level = np.nan_to_num(medians(seg[k] * p + whole_e[k] % p, r, n * p))
+        out[mine] = level[seg[mine] * p + whole_e[mine] % p]
+    return out
 
 
 def judge(row: np.ndarray, fields: list[np.ndarray], n: int, periods: tuple[int, ...], times: float, stuck: int, furthest: float, scale: np.ndarray | None = None) -> dict[str, np.ndarray]:
@@ -105,9 +115,10 @@ def judge(row: np.ndarray, fields: list[np.ndarray], n: int, periods: tuple[int,
         s, v, e = row[keep], x[keep], epoch[keep]
         at = np.flatnonzero(keep)
         out["returned"][at] |= _excursions(v, s) > np.where(np.isnan(usual), np.inf, times * usual)[s]
-        season = seasonal(s, e, v, n, periods)
-        has = np.bincount(s, np.abs(season), n) > 0
-        size = np.where(has, np.fmax(_usual(s, v - season, n), usual / 10), usual)
+        season = seasonal(s, e, v, n, periods, usual)
+        size = usual
+        if (has := np.bincount(s, np.abs(season), n) > 0).any():
+            size = np.where(has, np.fmax(_usual(s, v - season, n), usual / 10), usual)
         with np.errstate(all="ignore"):
             h = _excursions(v - season, s)
             out["height"][k, at] = np.where(np.isnan(size[s]), np.nan, np.where(h > 0, h / size[s], 0))
