@@ -127,6 +127,29 @@ def test_cut_words_limits_rates_and_copies(spark):
     assert rows(truncation.judge_endings(df.limit(0))) == []
 
 
+def test_endings_and_lengths_decide_together():
+    base = [("complete", "stop", None, 0.0, 0, 5000), ("complete", "letter", None, 0.0, -2, 800), ("hunk", "letter", None, 0.0, 4, 60), ("hunk", "letter", "a", 0.95, 4, 100), ("sentence", "letter", "a", 0.95, -2, 40), ("sentence", "letter", None, 0.0, -2, 20)]
+    rate, odds, shares = truncation.evidence_odds(base)
+    assert 0.005 < rate < 0.03 and odds["sentence", "letter"] > 50 and odds["complete", "stop"] < 0.1 and shares["a"] > 0.95
+    # a heap of whole texts of one length is no limit, however sure the length law is of it
+    heap = truncation.evidence_odds([*base, ("complete", "stop", "b", 0.9, 0, 300)])[2]
+    assert heap["b"] < 0.2 and heap["a"] > 0.95
+
+
+def test_words_lean_to_a_cut_or_an_end(spark):
+    text = "the thicket and the thin reed " * 40
+    rows_ = [(0, "s", text + "the thick"), (1, "s", text + "the thicket"), (2, "s", text + "and the"), (3, "s", "x" * 3000 + " " + "y" * 200)]
+    df = spark.createDataFrame(rows_, "doc_id long, source string, text string")
+    seen = df.select("doc_id", "source", "text").mapInArrow(truncation._scan, truncation._SCAN).cache()
+    lean = dict(rows(truncation._word_odds(seen, seen.filter("verdict is not null"))))
+    assert lean["thick"] >= 3 and lean["thicket"] <= 0 and lean["the"] <= 0 and set(lean) == {"thick", "thicket", "the"}
+
+
+def test_change_ids_and_lists_are_endings(spark):
+    assert endings.ending("Fix it\n\nIt failed.\n\nChange-Id: I7bcd4c7a1334") == "complete"
+    assert [endings.tail(t) for t in ("a\n", "a.", "a b", "a 3", "a ...", "a)", "", None)] == ["newline", "stop", "letter", "digit", "dots", "other", "other", "other"]
+
+
 def test_censored_fit_recovers_the_law_and_the_limit():
     rng = np.random.default_rng(5)
     x = np.minimum(np.exp(rng.normal(5.5, 0.8, 20_000)).astype(int) + 1, 400)

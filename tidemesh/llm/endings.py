@@ -72,7 +72,7 @@ def _message(text: str, dots: bool) -> str:
     if _EMAIL.search(last) or re.search(r"(?:^|\s)'[^'\s]*\Z", last):
         return WORD
     if re.match(r"Change-Id:", last):
-        return COMPLETE if re.match(r"Change-Id: I[0-9a-f]{40}\Z", last) else WORD
+        return COMPLETE  # a hash, however long, is an ending
     if _TRAILER.match(last) and not (len(lines) > 1 and _prose(lines[-2]) and not _STOP.search(lines[-2])):
         return COMPLETE
     if _STOP.search(last) and not dots:
@@ -97,6 +97,19 @@ def last_word(text: str) -> str | None:
     return m[0].lower() if m else None
 
 
+def tail(text: str | None) -> str:
+    """What stands last: newline, stop, letter, digit, dots or other."""
+    if not text:
+        return "other"
+    if text.endswith(("\n", "\r")):
+        return "newline"
+    if _DOTS.search(text[-8:]):
+        return "dots"
+    if _STOP.search(text[-8:]):
+        return "stop"
+    return "letter" if text[-1].isalpha() else "digit" if text[-1].isdigit() else "other"
+
+
 def ending(text: str | None) -> str:
     """complete, sentence (ends inside one), hunk (lines owed), word (ends inside one) or open (can't be told)."""
     if text is None or not text.strip():

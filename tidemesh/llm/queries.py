@@ -63,8 +63,9 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents whose text was cut."""
-    return truncation.judge_endings(_table(spark, sf, "documents")).filter("cut").select("doc_id").distinct()
+    """Documents whose text was cut, those left out whose ending is complete by the rule."""
+    judged = truncation.judge_endings(_table(spark, sf, "documents"))
+    return judged.filter("cut and not (verdict = 'complete' and evidence = 'limit')").select("doc_id").distinct()
 
 
 def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
