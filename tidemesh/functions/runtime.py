@@ -66,8 +66,8 @@ def discard(*tables: DataFrame) -> None:
             _delete(t.sparkSession, t._table)
 
 
-def _bytes(df: DataFrame) -> int:
-    """Bytes of df's rows: 8 a number, what strings and lists hold, 16 a value besides."""
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Rows of df and their bytes: 16 a value, and what strings and lists hold."""
     width, more = 0, []
     for f in df.schema.fields:
         kind = f.dataType.typeName()
@@ -79,7 +79,7 @@ def _bytes(df: DataFrame) -> int:
         elif kind == "struct":
             width += 16 * len(f.dataType.fields)
     n, extra = df.agg(F.count("*"), F.sum(sum(more, F.lit(0)).cast("long"))).first()
-    return n * width + (extra or 0)
+    return n, n * width + (extra or 0)
 
 
 def if_small(df: DataFrame, most: int = BROADCAST_BYTES, scan: bool = False) -> DataFrame:
@@ -89,7 +89,7 @@ def if_small(df: DataFrame, most: int = BROADCAST_BYTES, scan: bool = False) ->
     the scan of a small table, which is cheaper to read twice.
     """
     side = df if scan or getattr(df, "_table", None) else materialise(df)
-    return F.broadcast(side) if _bytes(side) <= most else side
+    return F.broadcast(side) if measured(side)[1] <= most else side
 
 
 def _sliced(top: list, slice_rows: int) -> dict[int, int]:

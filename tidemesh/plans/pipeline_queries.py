@@ -66,7 +66,8 @@ _USUAL = " union all ".join(
     for name, wrong in (("distance", "abs(distance) > 25"), ("lodetection", "lodetection < 0 or isinf(lodetection)"), ("spread2", "spread2 < 0 or isinf(spread2)"))
 )
 
-_P2 = """
+#: SQL of the readings that the rules of problem 2 name: readings, and rules with one column for each.
+RULES = """
 with @HELD,
 numbered as (select *, row_number() over (partition by corepoint_id order by epoch_idx) k, row_number() over (partition by corepoint_id, distance order by epoch_idx) j from readings),
 marked as (select *, count(*) over (partition by corepoint_id, distance, k - j) >= 5 stuck from numbered),
@@ -92,8 +93,8 @@ inside as (select corepoint_id, zone_id from flat, edges where zone_id in (selec
 select 'point' kind, corepoint_id, point_id other_id from core c join pts p on p.x between c.x - 0.76 and c.x + 0.76 and p.y between c.y - 0.76 and c.y + 0.76
   where (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) + (p.z - c.z) * (p.z - c.z) <= 0.7505 * 0.7505
 union all select 'zone', corepoint_id, zone_id from inside""",
-    "p2_found": _P2 + "select corepoint_id, epoch_idx from rules where returned or stuck or impossible",
-    "p2_rules": _P2 + "select * from rules where returned or stuck or impossible",
+    "p2_found": RULES + "select corepoint_id, epoch_idx from rules where returned or stuck or impossible",
+    "p2_rules": RULES + "select * from rules where returned or stuck or impossible",
     "p3_found": f"""
 with {_HELD},
 timed as (select distinct analysis_id, epoch_idx, floor(epoch_us(ts) / (grid_hours * 3600e6))::bigint slot from (select distinct analysis_id, epoch_idx, ts from epochs where ts is not null) join (select distinct analysis_id, grid_hours from analyses where grid_hours > 0) using (analysis_id)),
