@@ -52,7 +52,7 @@ def test_leaves_list_all_within_reach_and_blocks_agree(spark, monkeypatch):
     s = {(1, i): wave(kind[i] * 2, 0.001 * (i % 3)) for i in range(240)}
     at = {(1, i): (*xy[i], 0) for i in range(240)}
     p = places(spark, at)
-    leaves = C.bisect(p.selectExpr("corepoint_id id", "analysis_id tree", "x", "y", "z"), 40.0, 30, 20.0)
+    leaves = C.bisect(p.selectExpr("corepoint_id id", "analysis_id tree", "x", "y", "z"), 40.0, 20.0)
     listed = {}
     for r in leaves.collect():
         listed.setdefault(r.leaf, {})[r.id] = r.home
@@ -61,9 +61,19 @@ def test_leaves_list_all_within_reach_and_blocks_agree(spark, monkeypatch):
     d2 = ((xy[:, None] - xy[None]) ** 2).sum(-1)
     assert all(j in listed[home[i]] for i in range(240) for j in np.flatnonzero(d2[i] <= 1600))
     d = distances(spark, s)
-    whole = rows(C.like_groups(d, p, reach=12.0, most=1000), "cluster_id", "corepoint_id")
+    whole = rows(C.like_groups(d, p, reach=12.0, compact=1e9), "cluster_id", "corepoint_id")
     monkeypatch.setattr(C, "PART", 16)
-    assert rows(C.like_groups(d, p, reach=12.0, most=30), "cluster_id", "corepoint_id") == whole and len(whole) >= 6
+    assert rows(C.like_groups(d, p, reach=12.0, compact=25.0), "cluster_id", "corepoint_id") == whole and len(whole) >= 6
+
+
+def test_nodes_are_split_until_all_are_compact_whatever_their_size(spark):
+    two = [(k, 1, 100.0 * (k % 2), 0.0, 0.0) for k in range(4)] + [(10 + k, 2, float(k), 0.0, 0.0) for k in range(3)] + [(20, 3, 5.0, 5.0, 5.0), (21, 3, 5.0, 5.0, 5.0)]
+    p = spark.createDataFrame(two, "id long, tree long, x double, y double, z double")
+    leaves = C.bisect(p, 10.0).cache()
+    assert rows(leaves.filter("home")) == [(0, 1, "0", True), (1, 1, "1", True), (2, 1, "0", True), (3, 1, "1", True), (10, 2, "", True), (11, 2, "", True), (12, 2, "", True), (20, 3, "", True), (21, 3, "", True)]
+    r = rows(C.leaf_report(leaves, p, 2))
+    assert [x[:3] + x[4:] for x in r] == [(1, "0", 2, 1, 0), (1, "0", 2, 2, 2), (1, "1", 2, 1, 1), (1, "1", 2, 2, 3), (2, "", 3, 1, 11), (2, "", 3, 2, 10), (3, "", 2, 1, 20), (3, "", 2, 2, 21)]
+    assert max(x[3] for x in r) <= 10.0 and rows(C.bisect(p.limit(0), 10.0)) == []
 
 
 def test_most_typical_members_by_rank(spark):
