@@ -118,7 +118,7 @@ def _groups(tally: DataFrame, least: int) -> DataFrame:
     The hashes of a neighbourhood are sums of mixed ids, kept in two halves of 32 bits so that no sum overflows.
     """
     sums = [F.sum(c).alias(c) for c in ("n", "h1", "h2", "h3", "h4")]
-    t = tally.groupBy("id").agg(F.least(F.min("first"), F.first("id")).alias("first"), *sums)
+    t = materialise(tally.groupBy("id").agg(F.least(F.min("first"), F.first("id")).alias("first"), *sums))
     key = ["first", "n", "h1", "h2", "h3", "h4"]
     whole = t.groupBy(*key).agg(F.count("*").alias("members")).filter((F.col("members") == F.col("n")) & (F.col("n") >= least))
     return t.join(whole, key).select(F.col("first").alias("cluster_id"), "id")
