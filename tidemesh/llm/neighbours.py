@@ -9,14 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.runtime import materialise
+from ..functions.runtime import discard, materialise
 
 _GRAPH = "id long, near array<struct<d: double, id: long>>"
 
 
 def usable_vectors(rows: DataFrame, vector_id: str, vector: Column, size: int) -> DataFrame:
-    """(id, v array<double>): one row per id whose vector has `size` numbers, none of them null, NaN or infinite."""
-    v = rows.select(F.col(vector_id).cast("long").alias("id"), vector.cast("array<double>").alias("v"))
+    """(id, v): one row per id whose vector has `size` numbers, none of them null, NaN or infinite; lists of floats stay as they are, others become lists of doubles."""
+    v = rows.select(F.col(vector_id).cast("long").alias("id"), vector.alias("v"))
+    if v.schema["v"].dataType.simpleString() != "array<float>":
+        v = v.withColumn("v", F.col("v").cast("array<double>"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return v.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") == size) & ~F.coalesce(bad, F.lit(True))).dropDuplicates(["id"])
 
@@ -58,7 +60,11 @@ class Trees:
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
-    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(col), -1)
+
+
+def _kind(vectors: DataFrame) -> str:
+    return vectors.schema["v"].dataType.simpleString()
 
 
 def _nearest(ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,7 +127,7 @@ def leaf_graph(vectors: DataFrame, k: int, trees: int, leaf: int, sample_rows: i
         row = np.concatenate([e[0] + o for e, o in zip(edges, base)])
         return pa.table({"id": ids, "near": _lists(row, np.concatenate([e[1] for e in edges]), np.concatenate([e[2] for e in edges]), len(ids))})
 
-    placed = vectors.mapInArrow(place, "id long, v array<double>, tree int, leaf long")
+    placed = vectors.mapInArrow(place, f"id long, v {_kind(vectors)}, tree int, leaf long")
     counts = placed.groupBy("tree", "leaf").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * leaf)
     big = counts.select("tree", "leaf", F.ceil(F.col("n") / leaf).alias("parts"))
     placed = placed.join(big, ["tree", "leaf"], "left").withColumn("part", F.pmod(F.xxhash64("id", "tree"), F.coalesce("parts", F.lit(1))))
@@ -129,21 +135,28 @@ def leaf_graph(vectors: DataFrame, k: int, trees: int, leaf: int, sample_rows: i
 
 
 def descend(vectors: DataFrame, graph: DataFrame, k: int, most: int) -> DataFrame:
-    """One round of NN-descent: every node introduces its neighbours, and those that count it as theirs, to each other."""
-    forth = graph.select(F.col("id").alias("hub"), F.explode("near").alias("e"))
-    # a node keeps `most` of those that link to it: each link draws a place by hash, and a place holds its nearest
-    back = forth.select(F.col("e.id").alias("hub"), F.col("e.d").alias("d"), F.col("hub").alias("id"))
-    back = back.withColumn("place", F.pmod(F.xxhash64("hub", "id"), F.lit(most))).groupBy("hub", "place").agg(F.min_by("id", F.struct("d", "id")).alias("id"))
-    both = forth.select("hub", F.col("e.id").alias("id")).unionByName(back.select("hub", "id")).distinct()
+    """One round of NN-descent on (id, near, fresh): every node introduces its neighbours, and those that count it as theirs, to each other.
+
+    fresh: the neighbours a node has had for less than a round. Two members met before unless one of them is fresh to the
+    node that introduces them, so only such pairs are compared, and nodes without a fresh member send nothing. A node
+    introduces its `most` nearest and `most` of those that link to it, fresh ones first.
+    """
+    near = graph.select("id", F.explode(F.slice("near", 1, most)).alias("e"), "fresh")
+    forth = near.select(F.col("id").alias("hub"), F.col("e.id").alias("id"), F.col("e.d").alias("d"), F.array_contains("fresh", F.col("e.id")).alias("new"))
+    # each link to a node draws a place by hash, and a place holds its nearest
+    back = forth.select(F.col("id").alias("hub"), F.col("hub").alias("id"), "d", "new").withColumn("place", F.pmod(F.xxhash64("hub", "id"), F.lit(most)))
+    back = back.groupBy("hub", "place").agg(F.min(F.struct((~F.col("new")).alias("old"), "d", "id")).alias("m")).select("hub", F.col("m.id").alias("id"), (~F.col("m.old")).alias("new"))
+    members = forth.select("hub", "id", "new").unionByName(back).groupBy("hub").agg(F.collect_set(F.struct("id", "new")).alias("m"))  # 2 `most` at most
+    members = members.filter(F.exists("m", lambda e: e["new"])).select("hub", F.explode("m").alias("m")).select("hub", "m.id", "m.new")
     bound = graph.select("id", F.when(F.size("near") >= k, F.element_at("near", -1)["d"]).otherwise(F.lit(float("inf"))).alias("bound"))
-    sent = both.join(vectors.join(bound, "id"), "id").groupBy("hub").agg(F.collect_list(F.struct("id", "bound", "v")).alias("met"))
+    sent = members.join(vectors.join(bound, "id"), "id").groupBy("hub").agg(F.collect_list(F.struct("id", "bound", "v", "new")).alias("met"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             met = b.column(0)
             sizes = np.diff(met.offsets.to_numpy())
             flat = met.flatten()
-            ids, bound, v = flat.field(0).to_numpy(), flat.field(1).to_numpy(zero_copy_only=False), _matrix(flat.field(2))
+            ids, bound, v, fresh = flat.field(0).to_numpy(), flat.field(1).to_numpy(zero_copy_only=False), _matrix(flat.field(2)), flat.field(3).to_numpy(zero_copy_only=False)
             start = np.cumsum(sizes) - sizes
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for n in np.unique(sizes):
@@ -151,13 +164,12 @@ def descend(vectors: DataFrame, graph: DataFrame, k: int, most: int) -> DataFram
                     continue
                 for at in np.array_split(start[sizes == n], max(1, int((sizes == n).sum() * n // 40_000))):
                     pos = at[:, None] + np.arange(n)[None, :]
-                    x, i, c = v[pos], ids[pos], bound[pos]
+                    x, i, c, f = v[pos], ids[pos], bound[pos], fresh[pos]
                     sq = (x * x).sum(-1)
                     d = np.sqrt(np.maximum(sq[:, :, None] + sq[:, None, :] - 2 * np.matmul(x, x.transpose(0, 2, 1)), 0))
-                    d[:, np.arange(n), np.arange(n)] = np.inf
-                    g, a, z = np.nonzero(d <= c[:, :, None] + 1e-6)
+                    g, a, z = np.nonzero((d <= c[:, :, None] + 1e-6) & (f[:, :, None] | f[:, None, :]) & (i[:, :, None] != i[:, None, :]))
                     exact = np.sqrt(((x[g, a] - x[g, z]) ** 2).sum(-1))
-                    ok = (exact < c[g, a]) & (i[g, a] != i[g, z])
+                    ok = exact < c[g, a]
                     out.append((i[g, a][ok], i[g, z][ok], exact[ok]))
             if out:
                 a, z, d = (np.concatenate(p) for p in zip(*out))
@@ -173,25 +185,30 @@ def descend(vectors: DataFrame, graph: DataFrame, k: int, most: int) -> DataFram
                     yield pa.RecordBatch.from_arrays([pa.array(who), _lists(row, z, d, len(who))], names=["id", "near"])
 
     better = sent.select("met").mapInArrow(meet, _GRAPH)
-    return _merged(graph.unionByName(better), k)
+    after = _merged(graph.select("id", "near").unionByName(better), k)
+    ids = lambda c: F.transform(c, lambda e: e["id"])
+    return after.join(graph.select("id", F.col("near").alias("had")), "id").select("id", "near", F.array_except(ids("near"), ids("had")).alias("fresh"))
 
 
-def neighbour_graph(vectors: DataFrame, k: int = 14, trees: int = 4, leaf: int = 256, sample_rows: int = 40_000, rounds: int = 4, settled: float = 0.0005, seed: int = 5) -> DataFrame:
+def neighbour_graph(vectors: DataFrame, k: int = 14, trees: int = 4, leaf: int = 256, sample_rows: int = 40_000, rounds: int = 6, settled: float = 0.0005, seed: int = 5, most: int = 10) -> DataFrame:
     """(id, near): about the k nearest of every vector by Euclidean distance, nearest first, by NN-descent.
 
-    vectors: (id, v) as usable_vectors gives. Ties go to the smaller id. Rounds end after `rounds`, or when fewer than
-    `settled` of the links change. Fewer than two vectors give empty lists; an empty table gives no row. Exact copies are
-    neighbours at distance 0 like any others.
+    vectors: (id, v) as usable_vectors gives. Ties go to the smaller id. Each node introduces `most` neighbours of either
+    direction in a round (see descend). Rounds end after `rounds`, or when fewer than `settled` of the links change. Fewer
+    than two vectors give empty lists; an empty table gives no row. Exact copies are neighbours at distance 0 like any
+    others.
     """
     vectors = materialise(vectors)
-    graph = materialise(leaf_graph(vectors, k, trees, leaf, sample_rows, seed))
+    first = leaf_graph(vectors, k, trees, leaf, sample_rows, seed)
+    graph = materialise(first.withColumn("fresh", F.transform("near", lambda e: e["id"])))
     for _ in range(rounds):
-        after = materialise(descend(vectors, graph, k, k))
-        moved = after.withColumnRenamed("near", "new").join(graph, "id").agg(F.sum(F.size(F.array_except(F.transform("new", lambda e: e["id"]), F.transform("near", lambda e: e["id"])))).alias("m"), F.sum(F.size("new")).alias("n")).first()
+        after = materialise(descend(vectors, graph, k, most))
+        discard(graph)
         graph = after
+        moved = graph.agg(F.sum(F.size("fresh")).alias("m"), F.sum(F.size("near")).alias("n")).first()
         if not moved["n"] or moved["m"] <= settled * moved["n"]:
             break
-    return graph
+    return graph.select("id", "near")
 
 
 def _entries(vectors: DataFrame, queries: DataFrame, beam: int, leaf: int, sample_rows: int, seed: int) -> DataFrame:
@@ -207,7 +224,7 @@ def _entries(vectors: DataFrame, queries: DataFrame, beam: int, leaf: int, sampl
                     yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, t, np.int32)), pa.array(l)], names=["id", "v", "asks", "tree", "leaf"])
 
     both = vectors.select("id", "v", F.lit(False).alias("asks")).unionByName(queries.select("id", "v", F.lit(True).alias("asks")))
-    placed = both.mapInArrow(place, "id long, v array<double>, asks boolean, tree int, leaf long")
+    placed = both.mapInArrow(place, f"id long, v {_kind(both)}, asks boolean, tree int, leaf long")
     big = placed.filter("not asks").groupBy("tree", "leaf").agg(F.ceil(F.count("*") / leaf).alias("parts"))
     placed = placed.join(big, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id", "asks"), F.col("parts")))
 
