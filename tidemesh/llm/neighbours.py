@@ -60,13 +60,33 @@ class Trees:
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
-    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(col), -1)
+    """Rows of numbers from lists of them, or from their bytes as `as_bytes` writes them."""
+    if pa.types.is_list(col.type):
+        return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(col), -1)
+    if not len(col):
+        return np.zeros((0, 1))
+    offsets = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
+    rows = np.frombuffer(col.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(col), -1)
+    return np.ascontiguousarray(rows[:, 1:]).view(np.float32 if rows[0, 0] == 4 else np.float64).astype(np.float64)
 
 
 def _kind(vectors: DataFrame) -> str:
     return vectors.schema["v"].dataType.simpleString()
 
 
+def as_bytes(vectors: DataFrame) -> DataFrame:
+    """(id, v binary): the bytes of each vector's numbers after one that tells their width; shuffles and lists of them cost far less than of arrays."""
+    wide = 4 if _kind(vectors) == "array<float>" else 8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = _matrix(b.column(1)).astype(np.float32 if wide == 4 else np.float64) if b.num_rows else np.zeros((0, 1))
+            rows = [bytes([wide]) + r.tobytes() for r in m]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["id", "v"])
+
+    return vectors.mapInArrow(run, "id long, v binary")
+
+
 def _nearest(ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, neighbour's id and exact distance of the k nearest among the rows at hand."""
     n = len(v)
@@ -95,9 +115,9 @@ def _merged(parts: DataFrame, k: int) -> DataFrame:
 def fitted(vectors: DataFrame, n: int, trees: int, leaf: int, sample_rows: int, seed: int) -> Trees:
     """Trees of a sample of at most sample_rows of the n vectors, deep enough for leaves of about `leaf` where the sample allows."""
     share = min(1.0, 1.2 * sample_rows / n)
-    sample = (vectors.select("v").sample(share, seed).limit(sample_rows) if n > sample_rows else vectors.select("v")).toPandas()["v"]
+    sample = (vectors.select("v").sample(share, seed).limit(sample_rows) if n > sample_rows else vectors.select("v")).toArrow()["v"].combine_chunks()
     depth = max(0, min(int(np.ceil(np.log2(n / leaf))), int(np.log2(max(len(sample), 2))) - 3))
-    return Trees(np.stack(sample).astype(np.float32), trees, depth, seed)
+    return Trees(_matrix(sample).astype(np.float32), trees, depth, seed)
 
 
 def leaf_graph(vectors: DataFrame, k: int, trees: int, leaf: int, sample_rows: int, seed: int) -> DataFrame:
@@ -190,7 +210,7 @@ def descend(vectors: DataFrame, graph: DataFrame, k: int, most: int) -> DataFram
     return after.join(graph.select("id", F.col("near").alias("had")), "id").select("id", "near", F.array_except(ids("near"), ids("had")).alias("fresh"))
 
 
-def neighbour_graph(vectors: DataFrame, k: int = 14, trees: int = 4, leaf: int = 256, sample_rows: int = 40_000, rounds: int = 6, settled: float = 0.0005, seed: int = 5, most: int = 10) -> DataFrame:
+def neighbour_graph(vectors: DataFrame, k: int = 12, trees: int = 5, leaf: int = 256, sample_rows: int = 40_000, rounds: int = 8, settled: float = 0.05, seed: int = 5, most: int = 12) -> DataFrame:
     """(id, near): about the k nearest of every vector by Euclidean distance, nearest first, by NN-descent.
 
     vectors: (id, v) as usable_vectors gives. Ties go to the smaller id. Each node introduces `most` neighbours of either
@@ -198,7 +218,7 @@ def neighbour_graph(vectors: DataFrame, k: int = 14, trees: int = 4, leaf: int =
     than two vectors give empty lists; an empty table gives no row. Exact copies are neighbours at distance 0 like any
     others.
     """
-    vectors = materialise(vectors)
+    vectors = materialise(as_bytes(vectors))
     first = leaf_graph(vectors, k, trees, leaf, sample_rows, seed)
     graph = materialise(first.withColumn("fresh", F.transform("near", lambda e: e["id"])))
     for _ in range(rounds):
