@@ -85,66 +85,117 @@ def _first_cell(p: DataFrame, by: Sequence[str], n: int, k: int, extent: float,
     return cell
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_id: str, by: Sequence[str] = (), exclude_self: bool = False, first_cell: float | None = None) -> DataFrame:
+def knn(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_id: str, by: Sequence[str] = (), exclude_self: bool = False, first_cell: float | None = None, max_distance: float | None = None) -> DataFrame:
     """(by, query_id, point_id, d2, rank): the k nearest points of every query, exactly; ties go to the smaller id.
 
-    Fewer than k rows come out where there are fewer points. exclude_self leaves out the point whose id equals the query's.
+    Fewer than k rows come out where there are fewer points (within max_distance, inclusive, if given). exclude_self leaves
+    out the point whose id equals the query's.
 
     Queries look into the 27 cells around them; one is settled if its k-th neighbour is no farther than a cell's edge. The
-    rest look again with larger cells, so dense places are settled with small ones. Of points at one place only the k + 1
-    with the smallest ids can be among the nearest, so hot places do not multiply.
+    others go down a pyramid of cells (see _pyramid), so that however far their neighbours are, and however many points
+    lie there, each meets only the few cells that can hold them. Of points at one place only the k + 1 with the smallest
+    ids can be among the nearest, so hot places do not multiply.
     """
     q = _queries(queries, query_id, by, [])
     p = clean(points, point_id, by).withColumnRenamed(point_id, "_p")
     alike = Window.partitionBy(*by, *AXES).orderBy("_p")
     p = materialise(p.withColumn("_n", F.row_number().over(alike)).filter(F.col("_n") <= k + 1).drop("_n"))
-    n = p.count()
-    q = q if by else materialise(q)
+    box = p.groupBy(*by).agg(F.count("*").alias("n"), F.greatest(*[F.max(a) - F.min(a) for a in AXES]).alias("e")).agg(F.sum("n"), F.max("e")).first()
+    n = box[0] or 0
     out_cols = [*by, F.col("_q").alias(query_id), F.col("_p").alias(point_id), "d2", "rank"]
     if not n:
-        return q.join(p.select(*by, "_p"), list(by), "inner").withColumns({"d2": F.lit(0.0), "rank": F.lit(1)}).select(*out_cols) if by else q.crossJoin(p.select("_p")).withColumns({"d2": F.lit(0.0), "rank": F.lit(1)}).select(*out_cols)
+        empty = q.join(p.select(*by, "_p"), list(by)) if by else q.limit(0).crossJoin(p.select("_p"))
+        return empty.withColumns({"d2": F.lit(0.0), "rank": F.lit(1)}).select(*out_cols)
     if by:
-        q = materialise(q.join(p.select(*by).distinct(), [*by], "left_semi"))  # others have nothing to find
-    both = p.select(*by, *AXES).unionByName(q.select(*by, *[F.col(f"q_{a}").alias(a) for a in AXES]))
-    box = both.groupBy(*by).agg(*[(F.max(a) - F.min(a)).alias(a) for a in AXES]).agg(*[F.max(a) for a in AXES]).first()
-    extent = max(box) + 1e-9
+        q = q.join(p.select(*by).distinct(), [*by], "left_semi")  # others have nothing to find
+    q = materialise(q)
+    extent = box[1] + 1e-9
     cell = first_cell or _first_cell(p, by, n, k, extent)
+    if max_distance is not None:
+        cell = min(cell, max(float(max_distance), extent / 2**24))
+    p = p.withColumns({f"_c{a}": F.floor(F.col(a) / cell) for a in AXES})
+    keys = [*by, *[f"_c{a}" for a in AXES]]
+    at = {a: F.floor(F.col(f"q_{a}") / cell) for a in AXES}
+    around = q
+    for a in AXES:
+        around = around.withColumn(f"_c{a}", F.explode(F.sequence(at[a] - 1, at[a] + 1)))
+    top = materialise(_best(around, p, keys, k, by, exclude_self, max_distance))
+    limit = cell * cell if max_distance is None or max_distance > cell else None
+    if limit is None:  # nothing beyond the 27 cells counts
+        return top.select(*out_cols)
+    sure = top.filter((F.col("rank") == k) & (F.col("d2") <= limit)).select(*by, "_q")
+    left = materialise(q.join(sure, [*by, "_q"], "left_anti"))
+    if not left.limit(1).count():
+        return top.select(*out_cols)
+    cells = _pyramid(left, p, k + exclude_self, cell, extent, by, max_distance)
+    rest = _best(cells, p, keys, k, by, exclude_self, max_distance)
+    return top.join(sure, [*by, "_q"], "left_semi").unionByName(rest).select(*out_cols)
+
+
+def _best(cells: DataFrame, p: DataFrame, keys: list[str], k: int, by: Sequence[str], exclude_self: bool, max_distance: float | None) -> DataFrame:
+    """(by, _q, _p, d2, rank): the k nearest of the points in the cells that each query names, hot cells sliced."""
+    p, cells = salted(p, cells, F.xxhash64(*keys), F.col("_p"))
+    c = cells.join(p, [*keys, "_salt"])
+    if exclude_self:
+        c = c.filter(F.col("_q") != F.col("_p"))
+    c = c.withColumn("d2", sum((F.col(a) - F.col(f"q_{a}")) * (F.col(a) - F.col(f"q_{a}")) for a in AXES))
+    if max_distance is not None:
+        c = c.filter(F.col("d2") <= float(max_distance) * float(max_distance))
     w = Window.partitionBy(*by, "_q").orderBy("d2", "_p")
-    done = []
-    while True:
-        pc = p.withColumns({f"_c{a}": F.floor(F.col(a) / cell) for a in AXES})
-        qc = q
+    return c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(*by, "_q", "_p", "d2", "rank")
+
+
+def _pyramid(q: DataFrame, p: DataFrame, need: int, cell: float, extent: float, by: Sequence[str], max_distance: float | None) -> DataFrame:
+    """q with the cells (_cx, _cy, _cz) that can hold its `need` nearest points (within max_distance).
+
+    Cells are grouped by eights of an edge into cells of the next level, with counts. From the top down, a query keeps the
+    cells that are no farther than the distance within which the cells' farthest corners already promise `need` points,
+    and goes on to the cells within them that hold any.
+    """
+    names = [f"_c{a}" for a in AXES]
+    levels = [materialise(p.groupBy(*by, *names).agg(F.count("*").alias("_n")))]
+    edge = [cell]
+    reach = extent if max_distance is None else min(extent, float(max_distance))
+    while edge[-1] < reach:
+        low = levels[-1].select(*by, "_n", *[F.shiftright(c, 3).alias(c) for c in names])
+        levels.append(low.groupBy(*by, *names).agg(F.sum("_n").alias("_n")))
+        edge.append(edge[-1] * 8)
+    slack = 1e-9 * (1 + extent)
+
+    def judged(c: DataFrame, size: float) -> DataFrame:
+        near, far = F.lit(0.0), F.lit(0.0)
         for a in AXES:
-            qc = qc.withColumn(f"_c{a}", F.explode(F.sequence(F.floor(F.col(f"q_{a}") / cell) - 1, F.floor(F.col(f"q_{a}") / cell) + 1)))
-        keys = [*by, *[f"_c{a}" for a in AXES]]
-        c = qc.join(pc, keys)
-        if exclude_self:
-            c = c.filter(F.col("_q") != F.col("_p"))
-        c = c.withColumn("d2", sum((F.col(a) - F.col(f"q_{a}")) * (F.col(a) - F.col(f"q_{a}")) for a in AXES))
-        top = c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(*by, "_q", "_p", "d2", "rank")
-        all_seen = cell >= extent
-        top = materialise(top)
-        if all_seen:
-            done.append(top)
-            break
-        sure = top.filter((F.col("rank") == k) & (F.col("d2") <= cell * cell)).select(*by, "_q")
-        done.append(top.join(sure, [*by, "_q"], "left_semi"))
-        q = materialise(q.join(sure, [*by, "_q"], "left_anti"))
-        if not q.limit(1).count():
-            break
-        cell = min(cell * 6, extent)
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.select(*out_cols)
+            lo, hi = F.col(f"_c{a}") * size - slack - F.col(f"q_{a}"), (F.col(f"_c{a}") + 1) * size + slack - F.col(f"q_{a}")
+            gap, span = F.greatest(lo, -hi, F.lit(0.0)), F.greatest(F.abs(lo), F.abs(hi))
+            near, far = near + gap * gap, far + span * span
+        w = Window.partitionBy(*by, "_q")
+        c = c.withColumns({"_near": near, "_far": far})
+        if max_distance is not None:
+            c = c.filter(F.col("_near") <= float(max_distance) * float(max_distance))
+        c = c.withColumn("_sum", F.sum("_n").over(w.orderBy("_far").rowsBetween(Window.unboundedPreceding, 0)))
+        c = c.withColumn("_bound", F.min(F.when(F.col("_sum") >= need, F.col("_far"))).over(w))
+        return c.filter(F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound"))).drop("_near", "_far", "_sum", "_bound", "_n")
+
+    top = len(levels) - 1
+    if max_distance is None:  # the top cells are as large as the whole: eight at most
+        c = q.join(levels[top], list(by)) if by else q.crossJoin(levels[top])
+    else:
+        c = q
+        for a in AXES:
+            c = c.withColumn(f"_c{a}", F.explode(F.sequence(F.floor((F.col(f"q_{a}") - reach - slack) / edge[top]), F.floor((F.col(f"q_{a}") + reach + slack) / edge[top]))))
+        c = c.join(levels[top], [*by, *names])
+    c = judged(c, edge[top])
+    for level in range(top - 1, -1, -1):
+        below = levels[level].select(*by, "_n", *[F.col(x).alias(f"_d{x}") for x in names], *[F.shiftright(x, 3).alias(x) for x in names])
+        c = c.join(below, [*by, *names]).drop(*names).withColumnsRenamed({f"_d{x}": x for x in names})
+        c = judged(c, edge[level])
+    return c
 
 
 def nearest(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, by: Sequence[str] = (), max_distance: float | None = None) -> DataFrame:
     """(by, query_id, point_id, distance) of every usable query; null point and distance where none is within max_distance (inclusive)."""
-    near = knn(queries, points.withColumnRenamed(point_id, "_t"), 1, query_id, "_t", by)
+    near = knn(queries, points.withColumnRenamed(point_id, "_t"), 1, query_id, "_t", by, max_distance=max_distance)
     near = near.select(*by, query_id, F.col("_t").alias("_near"), F.sqrt("d2").alias("distance"))
-    if max_distance is not None:
-        near = near.filter(F.col("distance") <= max_distance)
     own = clean(queries, query_id, by).select(*by, query_id)
     return own.join(near, [*by, query_id], "left").withColumnRenamed("_near", point_id)
 
