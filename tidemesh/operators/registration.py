@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.runtime import materialise
+from ..functions.runtime import if_small, materialise, usable
 from .spatial import AXES, clean, knn, nearest
 
 
@@ -140,106 +140,79 @@ def supervoxel_count(points: DataFrame, resolution: float) -> int:
     return points.select(*[F.floor((F.col(a) - float(low[k])) / resolution).alias(a) for k, a in enumerate(AXES)]).distinct().count()
 
 
-def label_supervoxels(xyz: np.ndarray, normal: np.ndarray, near: list[np.ndarray], count: int, resolution: float) -> np.ndarray:
-    """A representative per point: pieces merge while size * metric stays below a doubling limit, until `count` are left; then borders move to the nearer representative.
+def _apart(a: str, b: str, resolution: float) -> Column:
+    """How unlike two points are: one less the cosine between their lines of normals, and 0.4 of their distance in resolutions."""
+    turn = sum(F.col(f"{a}n{x}") * F.col(f"{b}n{x}") for x in AXES)
+    d2 = sum((F.col(f"{a}{x}") - F.col(f"{b}{x}")) * (F.col(f"{a}{x}") - F.col(f"{b}{x}")) for x in AXES)
+    return 1 - F.abs(turn) + 0.4 * F.sqrt(d2) / resolution
+
+
+def _named(points: DataFrame, by: Sequence[str], point_id: str, prefix: str, name: str) -> DataFrame:
+    return points.select(*by, F.col(point_id).alias(name), *[F.col(c).alias(f"{prefix}{c}") for c in (*AXES, "nx", "ny", "nz")])
 
-    Order: representatives by index, their neighbours breadth-first in order of nearness.
-    """
 
-    def metric(i, j) -> np.ndarray:
-        return 1 - np.abs((normal[i] * normal[j]).sum(-1)) + 0.4 * np.sqrt(((xyz[i] - xyz[j]) ** 2).sum(-1)) / resolution
-
-    n = len(xyz)
-    parent = np.arange(n)
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return int(i)
-
-    size, links, left = np.ones(n), [list(map(int, x)) for x in near], list(range(n))
-    first = np.array([x[0] for x in near if len(x)], int)
-    limit = max(np.finfo(float).eps, float(np.median(metric(np.array([i for i, x in enumerate(near) if len(x)], int), first)))) if len(first) else 1.0
-    total = n
-    while total > count and limit < 1e20:
-        for i in left:
-            if not links[i] or parent[i] != i:
-                continue
-            seen, queue, kept, at = {i}, [], [], 0
-            for j in links[i]:
-                j = root(j)
-                if j not in seen:
-                    seen.add(j)
-                    queue.append(j)
-            while at < len(queue):
-                j = queue[at]
-                at += 1
-                if size[j] * metric(i, j) < limit:
-                    parent[j] = i
-                    size[i] += size[j]
-                    for k in links[j]:
-                        k = root(k)
-                        if k not in seen:
-                            seen.add(k)
-                            queue.append(k)
-                    links[j] = []
-                    total -= 1
-                    if total == count:
-                        kept += queue[at:]
-                        break
-                else:
-                    kept.append(j)
-            links[i] = kept
-            if total == count:
-                break
-        left = [i for i in left if parent[i] == i]
-        limit *= 2
-    label = np.array([root(i) for i in range(n)])
-    far = metric(np.arange(n), label)
-    queue = [i for i in range(n) if any(label[i] != label[j] for j in near[i])]
-    waiting = np.zeros(n, bool)
-    waiting[queue] = True
-    at = 0
-    while at < len(queue):
-        i = queue[at]
-        at += 1
-        waiting[i] = False
-        changed = False
-        for j in near[i]:
-            if label[j] != label[i] and (d := float(metric(i, label[j]))) < far[i]:
-                label[i], far[i], changed = label[j], d, True
-        if changed:
-            for j in near[i]:
-                if label[j] != label[i] and not waiting[j]:
-                    waiting[j] = True
-                    queue.append(int(j))
-    return label
-
-
-def supervoxels(points: DataFrame, resolution: float, k: int = 50, tile: float | None = None, point_id: str = "point_id") -> DataFrame:
-    """(tile_x, tile_y, supervoxel_id, point_id): patches of like normals (nx, ny, nz), named by a member's id.
-
-    The merging depends on order, so a tile is one task: tiles of edge `tile` (default 32 * resolution) are cut apart, and
-    no patch crosses a seam. Points without normals take no part.
+def supervoxels(points: DataFrame, resolution: float, k: int = 50, point_id: str = "point_id", by: Sequence[str] = (), max_rounds: int = 80, trades: int = 3) -> DataFrame:
+    """(by, supervoxel_id, point_id): patches of near points with like normals (nx, ny, nz), named by a member, about as many as cubes of edge `resolution` are occupied.
+
+    Patches grow by rounds of edge contraction in the graph of the k nearest neighbours, all over the cluster at once. In a
+    round every patch is a giver or a taker by a hash of its name; each giver goes over to the taker beside it for which
+    its size times the unlikeness of the two namesakes (_apart) is least, if that lies below a limit, which starts at the
+    usual unlikeness of nearest neighbours and doubles every round. When a cloud (of its `by`) has more givers than
+    patches too many, only the cheapest go. In the end, `trades` times, each point goes over to the patch of a neighbour
+    if that patch's namesake is more like it. Points without normals take no part; repeated ids count once.
     """
-    edge = float(tile or 32 * resolution)
-    p = clean(points, point_id, keep=["nx", "ny", "nz"]).dropna(subset=["nx", "ny", "nz"]).withColumns({"tile_x": F.floor(F.col("x") / edge), "tile_y": F.floor(F.col("y") / edge)})
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(point_id, kind="stable")
-        xyz, nrm = pdf[list(AXES)].to_numpy(float), pdf[["nx", "ny", "nz"]].to_numpy(float)
-        near = []
-        for lo in range(0, len(xyz), 512):
-            d = ((xyz[lo : lo + 512, None, :] - xyz[None]) ** 2).sum(-1)
-            o = np.argsort(d, axis=1, kind="stable")[:, : k]
-            near += [row[row != lo + i] for i, row in enumerate(o)]
-        cells = np.unique(np.floor((xyz - xyz.min(0)) / resolution), axis=0)
-        label = label_supervoxels(xyz, nrm, near, len(cells), resolution)
-        return pdf.assign(supervoxel_id=pdf[point_id].to_numpy()[label])[["tile_x", "tile_y", "supervoxel_id", point_id]]
-
-    kind = p.schema[point_id].dataType.simpleString()
-    return p.groupBy("tile_x", "tile_y").applyInPandas(run, f"tile_x long, tile_y long, supervoxel_id {kind}, {point_id} {kind}")
+    keep = ["nx", "ny", "nz"]
+    p = clean(points, point_id, by, keep).dropna(subset=keep)
+    by = list(by)
+    if not by:
+        p, by = p.withColumn("_g", F.lit(0)), ["_g"]
+    p = materialise(p.filter(usable(*[F.col(c) for c in keep])))
+    low = p.groupBy(*by).agg(*[F.min(a).alias(f"lo{a}") for a in AXES])
+    cubes = p.join(if_small(low), by).select(*by, *[F.floor((F.col(a) - F.col(f"lo{a}")) / resolution).alias(a) for a in AXES]).distinct().groupBy(*by).agg(F.count("*").alias("wanted"))
+    near = knn(p, p.withColumnRenamed(point_id, "_o"), k, point_id, "_o", by, exclude_self=True)
+    links = materialise(near.select(*by, F.col(point_id).alias("a"), F.col("_o").alias("b"), "rank"))
+    first = links.filter("rank = 1").join(_named(p, by, point_id, "a_", "a"), [*by, "a"]).join(_named(p, by, point_id, "b_", "b"), [*by, "b"])
+    usual = first.groupBy(*by).agg(F.percentile_approx(_apart("a_", "b_", resolution), 0.5).alias("usual"))
+    goal = materialise(cubes.join(usual, by, "left").select(*by, "wanted", F.greatest("usual", F.lit(1e-9)).alias("usual")))
+    patches = materialise(p.select(*by, F.col(point_id).alias("name"), F.lit(1).cast("long").alias("size")))
+    edges = links.select(*by, "a", "b").unionByName(links.select(*by, F.col("b").alias("a"), F.col("a").alias("b")))
+    gone = []
+    for r in range(max_rounds):
+        many = patches.groupBy(*by).agg(F.count("*").alias("held")).join(goal, by).filter("held > wanted")
+        many = materialise(many.select(*by, (F.col("held") - F.col("wanted")).alias("over"), "usual"))
+        open_ = edges.join(if_small(many, scan=True), by, "left_semi")
+        if not open_.limit(1).count():
+            break
+        gives = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(r)), F.lit(2)) == 0
+        met = open_.filter(gives("a") & ~gives("b")).join(if_small(many, scan=True), by)
+        met = met.join(patches.withColumnRenamed("name", "a"), [*by, "a"]).join(_named(p, by, point_id, "a_", "a"), [*by, "a"]).join(_named(p, by, point_id, "b_", "b"), [*by, "b"])
+        met = met.withColumn("cost", F.col("size") * _apart("a_", "b_", resolution)).filter(F.col("cost") < F.col("usual") * float(2**r))
+        best = met.groupBy(*by, "a", "size", "over").agg(F.min(F.struct("cost", "b")).alias("m"))
+        best = materialise(best.select(*by, "a", "size", "over", F.col("m.cost").alias("cost"), F.col("m.b").alias("b")))
+        parts = ", ".join(str(x / 20) for x in range(1, 21))
+        bar = best.groupBy(*by).agg(F.max("over").alias("over"), F.count("*").alias("n"), F.expr(f"percentile_approx(cost, array({parts}), 1000)").alias("c"))
+        step = F.least(F.floor(20 * F.col("over") / F.col("n")).cast("int"), F.lit(19))
+        bar = bar.select(*by, F.when(F.col("n") <= F.col("over"), F.lit(float("inf"))).otherwise(F.col("c")[step]).alias("bar"))
+        moved = materialise(best.join(if_small(bar), by).filter(F.col("cost") <= F.col("bar")).select(*by, "a", "b", "size"))
+        gone.append(moved.drop("size"))
+        took = moved.groupBy(*by, F.col("b").alias("name")).agg(F.sum("size").alias("more"))
+        patches = materialise(patches.join(moved.select(*by, F.col("a").alias("name")), [*by, "name"], "left_anti").join(took, [*by, "name"], "left").select(*by, "name", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
+        to = moved.select(*by, F.col("a").alias("_was"), F.col("b").alias("_is"))
+        for end in ("a", "b"):
+            edges = edges.join(to.withColumnRenamed("_was", end), [*by, end], "left").withColumn(end, F.coalesce("_is", end)).drop("_is")
+        edges = materialise(edges.select(*by, "a", "b").filter("a <> b").distinct())
+    of = p.select(*by, F.col(point_id).alias("a"), F.col(point_id).alias("name"))
+    for m in gone:
+        of = of.join(m.select(*by, F.col("a").alias("name"), F.col("b").alias("_is")), [*by, "name"], "left").select(*by, "a", F.coalesce("_is", "name").alias("name"))
+    of = materialise(of)
+    for _ in range(trades):
+        seen = links.select(*by, "a", "b").join(of.select(*by, F.col("a").alias("b"), "name"), [*by, "b"]).select(*by, "a", "name")
+        seen = seen.unionByName(of.select(*by, "a", "name")).distinct()
+        seen = seen.join(_named(p, by, point_id, "a_", "a"), [*by, "a"]).join(_named(p, by, point_id, "b_", "name"), [*by, "name"])
+        # at equal unlikeness a namesake stays with itself, others go to the smaller name
+        own = (F.col("a") != F.col("name")).cast("int")
+        of = materialise(seen.groupBy(*by, "a").agg(F.min_by("name", F.struct(own * _apart("a_", "b_", resolution), own, "name")).alias("name")))
+    return of.select(*[c for c in by if c != "_g"], F.col("name").alias("supervoxel_id"), F.col("a").alias(point_id))
 
 
 def patch_shapes(labelled: DataFrame, point_id: str = "point_id", least: int = 10) -> DataFrame:

@@ -554,9 +554,10 @@ def octree_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def supervoxel_patches(spark: SparkSession, sf: str) -> DataFrame:
-    p = cloud_all(spark, sf).filter("nx is not null and ny is not null and nz is not null")
-    s = registration.supervoxels(p, 4.0, 20, 64.0)
-    return s.groupBy("tile_x", "tile_y", "supervoxel_id").agg(F.count("*").alias("points"))
+    """Patches of every side of every analysis."""
+    p = cloud(spark, sf).filter("nx is not null and ny is not null and nz is not null")
+    s = registration.supervoxels(p, 4.0, 20, by=["analysis_id", "side"])
+    return s.groupBy("analysis_id", "side", "supervoxel_id").agg(F.count("*").alias("points"))
 
 
 @query()
