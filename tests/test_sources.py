@@ -152,3 +152,14 @@ def test_streams_of_scans(spark, tmp_path):
     w = counts.writeStream.outputMode("complete").format("memory").queryName("voxels").trigger(availableNow=True).start()
     w.awaitTermination(120)
     assert rows(spark.table("voxels").agg(F.sum("count"))) == [(288,)]
+
+
+def test_las_standard_fields_are_filled_and_others_are_extra(spark, tmp_path):
+    df = spark.createDataFrame([(1.0, 2.0, 3.0, 70_000, 2, 3, 6, True, 0.5, None), (1.5, 2.5, 3.5, 12, 1, 1, None, False, None, 7)], "x double, y double, z double, intensity int, return_number int, number_of_returns int, classification int, kept boolean, gps_time double, mine int")
+    extra = ["intensity", "return_number", "number_of_returns", "classification", "kept", "gps_time", "mine"]
+    assert files.write_las(df.fillna({"mine": 0}).coalesce(1), str(tmp_path / "a"), extra) == 2
+    path = str(next((tmp_path / "a").glob("*.las")))
+    back = files.read_las(spark, path, additional={c: c for c in extra})
+    assert sorted(tuple(r)[4:] for r in back.collect()) == [(12, 1, 1, 0, 0, 0.0, 7), (65535, 2, 3, 6, 1, 0.5, 0)]
+    with pytest.raises(ValueError):
+        files.read_las(spark, path, additional={"flagged": "f"})

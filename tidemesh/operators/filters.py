@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.runtime import if_small, usable
+from ..functions.runtime import if_small, salted, usable
 from .spatial import AXES, clean, knn, mutual, nearest
 
 
@@ -55,6 +55,13 @@ def angular_offsets(increment: float) -> list[tuple[int, int]]:
     return [(i, j) for i in range(-m, m + 1) for j in range(-m, m + 1) if (i, j) != (0, 0)]
 
 
+def angular_bins(points: DataFrame, position: tuple, resolution: float) -> DataFrame:
+    """Adds phi and theta: elevation and azimuth from a scan position, in degrees over resolution, rounded half to even."""
+    if resolution <= 0:
+        raise ValueError("resolution must be positive")
+    return spherical(points, position).withColumns({"phi": F.rint(F.degrees("elevation") / resolution).cast("long"), "theta": F.rint(F.degrees("azimuth") / resolution).cast("long")})
+
+
 def scor(search: DataFrame, position: tuple, resolution: float, increment: float = 0.5, candidates: DataFrame | None = None, point_id: str = "point_id", by: Sequence[str] = ()) -> DataFrame:
     """(by, point_id, score): expected over observed mean distance to the points in the angular bins around, within [0, 1].
 
@@ -65,13 +72,11 @@ def scor(search: DataFrame, position: tuple, resolution: float, increment: float
     """
     from math import hypot, radians, tan
 
-    if resolution <= 0:
-        raise ValueError("resolution must be positive")
     offsets = angular_offsets(increment)
     factor = sum(tan(radians(resolution) * hypot(i, j)) for i, j in offsets) / len(offsets)
 
     def binned(p: DataFrame) -> DataFrame:
-        return spherical(p, position).withColumns({"phi": F.rint(F.degrees("elevation") / resolution).cast("long"), "theta": F.rint(F.degrees("azimuth") / resolution).cast("long")})
+        return angular_bins(p, position, resolution)
 
     seen_from = [o for o in position if isinstance(o, str)]
     q = binned(clean(search, point_id, by, seen_from)).select(*by, F.col(point_id).alias("_q"), "range", *[F.col(a).alias(f"q_{a}") for a in AXES], "phi", "theta")
@@ -80,7 +85,8 @@ def scor(search: DataFrame, position: tuple, resolution: float, increment: float
     ring = F.explode(F.array(*[F.struct((F.col("phi") + i).alias("phi"), (F.col("theta") + j).alias("theta")) for i, j in offsets]))
     asked = q.select(*by, "_q", "q_x", "q_y", "q_z", ring.alias("b")).select(*by, "_q", "q_x", "q_y", "q_z", "b.phi", "b.theta")
     d = F.sqrt(sum((F.col(a) - F.col(f"q_{a}")) * (F.col(a) - F.col(f"q_{a}")) for a in AXES))
-    seen = asked.join(p, [*by, "phi", "theta"]).groupBy(*by, "_q").agg(F.avg(d).alias("observed"))
+    p, asked = salted(p, asked, F.xxhash64(*by, "phi", "theta"), F.hash(*AXES))
+    seen = asked.join(p, [*by, "phi", "theta", "_salt"]).groupBy(*by, "_q").agg(F.avg(d).alias("observed"))
     out = q.select(*by, "_q", "range").join(seen, [*by, "_q"], "left")
     observed = F.coalesce("observed", F.lit(99999.0))
     score = F.least(F.greatest(F.col("range") * factor / F.when(observed == 0, 1e-6).otherwise(observed), F.lit(0.0)), F.lit(1.0))

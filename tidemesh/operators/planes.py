@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import linalg
-from ..functions.runtime import usable
+from ..functions.runtime import if_small, materialise, usable
 from .spatial import AXES, knn, mutual, radius_join
 
 
@@ -29,9 +29,17 @@ def _shape(m: DataFrame, by: Sequence[str], segment: str) -> DataFrame:
 
 
 def global_ids(first: DataFrame, second: DataFrame, segment: str = "segment_id") -> DataFrame:
-    """(epoch, segment, new_id): 1..n for the first epoch in order of its ids, going on for the second."""
+    """(epoch, segment, new_id): 1..n for the first epoch in order of its ids, going on for the second.
+
+    The ids are sorted in ranges, each numbered in a task of its own; the ranges' sizes, one row each, give where they begin.
+    """
     ids = first.select(F.lit(0).alias("epoch"), segment).unionByName(second.select(F.lit(1).alias("epoch"), segment)).filter(F.col(segment).isNotNull()).distinct()
-    return ids.withColumn("new_id", F.row_number().over(Window.orderBy("epoch", segment)).cast("long"))
+    ranges = ids.sparkSession.sparkContext.defaultParallelism
+    ids = materialise(ids.repartitionByRange(ranges, "epoch", segment).withColumn("_part", F.spark_partition_id()))
+    sizes = ids.groupBy("_part").agg(F.count("*").alias("_n"))  # as many rows as ranges
+    start = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("epoch", segment))
+    return ids.withColumn("_place", place).join(if_small(start), "_part").select("epoch", segment, (F.col("_start") + F.col("_place")).cast("long").alias("new_id"))
 
 
 def remap(pairs: DataFrame, ids: DataFrame, segment: str = "segment_id") -> DataFrame:

@@ -56,6 +56,11 @@ def bounding_box(points: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array(r[:3], float), np.array(r[3:], float)
 
 
+def bounding_boxes(points: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, x0, x1, y0, y1, z0, z1): the box of every group."""
+    return points.groupBy(*by).agg(*[f(a).alias(f"{a}{k}") for a in AXES for k, f in ((0, F.min), (1, F.max))])
+
+
 def corner_change(low: np.ndarray, high: np.ndarray, t: Transformation) -> float:
     """The farthest that a transformation moves a corner of a box's diagonal."""
     o = np.array(t.reduction_point)
@@ -228,7 +233,7 @@ def plane_gap(queries: DataFrame, query_id: str, targets: DataFrame, target_id:
     t = targets.select(target_id, *[F.col(a).alias(f"t{a}") for a in AXES], *[F.col(f"n{a}").alias(f"m{a}") for a in AXES])
     p = near.join(queries.select(query_id, *AXES), query_id).join(t, target_id)
     length = F.sqrt(sum(F.col(f"m{a}") * F.col(f"m{a}") for a in AXES))
-    along = F.abs(sum((F.col(a) - F.col(f"t{a}")) * F.col(f"m{a}") for a in AXES) / F.nullif(length, F.lit(0.0)))
+    along = F.when(usable(*[F.col(f"m{a}") for a in AXES]), F.abs(sum((F.col(a) - F.col(f"t{a}")) * F.col(f"m{a}") for a in AXES) / F.nullif(length, F.lit(0.0))))
     return p.select(query_id, F.coalesce(along, F.sqrt("d2")).alias("gap"), F.sqrt("d2").alias("distance"))
 
 

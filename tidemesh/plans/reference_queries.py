@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import filters, m3c2, m3c2ep, obc, octree, planes, registration, series, spatial, timeseries, voxel
-from ..sources.files import cube_mesh, regular_corepoints
+from ..functions.runtime import shared_dir
+from ..sources.files import cube_mesh, read_las, regular_corepoints, write_las
+from ..sources.store import load_epoch, save_epoch
 from .tables import POINTS, cloud, corepoints, epochs, side, table
 
 QUERIES: dict = {}
@@ -68,7 +73,7 @@ def cloud_all(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"with {POINTS} select analysis_id, side, min(x) x0, max(x) x1, min(y) y0, max(y) y1, min(z) z0, max(z) z1 from cloud group by 1, 2")
 def bounding_boxes(spark: SparkSession, sf: str) -> DataFrame:
-    return cloud(spark, sf).groupBy("analysis_id", "side").agg(*[f(a).alias(f"{a}{k}") for a in "xyz" for k, f in ((0, F.min), (1, F.max))])
+    return registration.bounding_boxes(cloud(spark, sf), ["analysis_id", "side"])
 
 
 _SEEN = f"""{POINTS}, pos as (select distinct epoch_id, scanpos_id, ox, oy, oz, sigma_range, sigma_scan, sigma_yaw from scanpos),
@@ -89,8 +94,8 @@ def scan_geometry(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""with {_SEEN} select epoch_id, round_even(degrees(elevation) / 1e0, 0)::bigint phi, round_even(degrees(azimuth) / 1e0, 0)::bigint theta, count(*) points from sph group by 1, 2, 3""")
 def angular_bins(spark: SparkSession, sf: str) -> DataFrame:
-    p = filters.spherical(_seen(spark, sf), ("ox", "oy", "oz"))
-    return p.groupBy("epoch_id", F.rint(F.degrees("elevation")).cast("long").alias("phi"), F.rint(F.degrees("azimuth")).cast("long").alias("theta")).agg(F.count("*").alias("points"))
+    p = filters.angular_bins(_seen(spark, sf), ("ox", "oy", "oz"), 1.0)
+    return p.groupBy("epoch_id", "phi", "theta").agg(F.count("*").alias("points"))
 
 
 @query("select i * 40 + j corepoint_id, round(10e0 + i * (90e0 / 29), 6) x, round(20e0 + j * (60e0 / 39), 6) y, 1.5e0 z from range(30) a(i), range(40) b(j)")
@@ -115,25 +120,27 @@ def voxel_covariance(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(v, 5, *[c for c in v.columns if c.startswith("c_")])
 
 
-_EIG = f"""{_LOCAL}, m as (select analysis_id, vx, vy, vz, count(*) n, var_pop(ux) xx, covar_pop(ux, uy) xy, covar_pop(ux, uz) xz, var_pop(uy) yy, covar_pop(uy, uz) yz, var_pop(uz) zz from loc group by 1, 2, 3, 4 having count(*) >= 4),
+_EIG = f"""{_LOCAL}, m as (select analysis_id, vx, vy, vz, count(*) n, var_pop(ux) xx, covar_pop(ux, uy) xy, covar_pop(ux, uz) xz, var_pop(uy) yy, covar_pop(uy, uz) yz, var_pop(uz) zz from loc group by 1, 2, 3, 4),
 q as (select *, (xx + yy + zz) / 3 q from m), p as (select *, sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) p from q),
 d as (select *, case when p > 0 then p else 1 end s from p), f as (select *, acos(least(greatest(((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (s * s * s) / 2, -1), 1)) / 3 f from d),
 e as (select *, q + 2 * p * cos(f) a, q + 2 * p * cos(f + 2 * pi() / 3) c from f), l as (select analysis_id, vx, vy, vz, n, greatest(a, 0) l1, greatest(3 * q - a - c, 0) l2, greatest(c, 0) l3 from e)"""
 
 
 @query(f"""with {POINTS}, {_EIG}
-select analysis_id, vx, vy, vz, n "count", round(coalesce((l1 - l2) / nullif(l1, 0), 0), 4) linearity, round(coalesce((l2 - l3) / nullif(l1, 0), 0), 4) planarity, round(coalesce(l3 / nullif(l1, 0), 0), 4) sphericity, round(l1 + l2 + l3, 4) sum_of_eigenvalues,
-round(coalesce((l1 - l3) / nullif(l1, 0), 0), 4) anisotropy, round(coalesce(l3 / nullif(l1 + l2 + l3, 0), 0), 4) surface_variation from l""")
+select analysis_id, vx, vy, vz, n "count", round(coalesce((l1 - l2) / nullif(l1, 0), 0), 4) + 0e0 linearity, round(coalesce((l2 - l3) / nullif(l1, 0), 0), 4) + 0e0 planarity, round(coalesce(l3 / nullif(l1, 0), 0), 4) + 0e0 sphericity, round(l1 + l2 + l3, 4) sum_of_eigenvalues,
+round(coalesce((l1 - l3) / nullif(l1, 0), 0), 4) + 0e0 anisotropy, round(coalesce(l3 / nullif(l1 + l2 + l3, 0), 0), 4) surface_variation from l""")
 def voxel_shape(spark: SparkSession, sf: str) -> DataFrame:
     names = ["linearity", "planarity", "sphericity", "sum_of_eigenvalues", "anisotropy", "surface_variation"]
-    v = voxel.features(cloud(spark, sf), SIZE, ["count", *names], by=BY).filter("count >= 4")
+    v = voxel.features(cloud(spark, sf), SIZE, ["count", *names], by=BY)
     return rounded(v, 4, *names)
 
 
-@query()
+@query(f"""with {POINTS}, {_EIG}, t as (select *, nullif(l1 + l2 + l3, 0) s from l)
+select analysis_id, vx, vy, vz, n "count", round(l1, 4) l1, round(l2, 4) l2, round(l3, 4) l3, round(pow(l1 * l2 * l3, 1e0 / 3), 3) omnivariance,
+round(-({" + ".join(f"case when l{k} > 0 then coalesce(l{k} / s, 0) * ln(l{k} / s) else 0 end" for k in (1, 2, 3))}) + 0e0, 4) + 0e0 eigenentropy from t""")
 def voxel_entropy(spark: SparkSession, sf: str) -> DataFrame:
     v = voxel.features(cloud(spark, sf), SIZE, ["count", "eigenvalues", "omnivariance", "eigenentropy"], by=BY)
-    return rounded(v, 4, "l1", "l2", "l3", "omnivariance", "eigenentropy")
+    return rounded(rounded(v, 4, "l1", "l2", "l3", "eigenentropy"), 3, "omnivariance")
 
 
 def _argmin(at: str) -> str:
@@ -211,11 +218,18 @@ def voxel_change(spark: SparkSession, sf: str) -> DataFrame:
     return v.select("analysis_id", "vx", "vy", "vz", "change_type", "significance", "changed")
 
 
-@query()
+@query(_MAHA[: _MAHA.rindex("select analysis_id")] + "select analysis_id, vx, vy, vz, round(d, case when d < 1e6 then 3 else -3 end) mahalanobis from m")
 def voxel_mahalanobis(spark: SparkSession, sf: str) -> DataFrame:
     c = cloud(spark, sf)
     v = voxel.mahalanobis(side(c, 1), side(c, 2), SIZE, min_points=4, by=BY)
-    return rounded(v.select("analysis_id", "vx", "vy", "vz", "mahalanobis", "p_value"), 6, "mahalanobis", "p_value")
+    return v.select("analysis_id", "vx", "vy", "vz", F.when(F.col("mahalanobis") < 1e6, F.round("mahalanobis", 3)).otherwise(F.round("mahalanobis", -3)).alias("mahalanobis"))
+
+
+@query()
+def voxel_p_values(spark: SparkSession, sf: str) -> DataFrame:
+    c = cloud(spark, sf)
+    v = voxel.mahalanobis(side(c, 1), side(c, 2), SIZE, min_points=4, by=BY)
+    return rounded(v.select("analysis_id", "vx", "vy", "vz", "p_value"), 6, "p_value")
 
 
 @query(f"with {POINTS} select count(*) vertices, round(sum(vx * 2e0 + 1 + dx), 3) sum_x, 0::bigint + 12 * (count(*) // 8) faces from (select distinct analysis_id, {_VOX} from cloud), (values (-1e0), (1e0)) t(dx), range(4)")
@@ -294,14 +308,13 @@ def sor_outliers(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(filters.sor(cloud(spark, sf), 6, 1.0, by=["analysis_id", "side"]), 6, "mean_distance")
 
 
-@query(f"""with {_SEEN}, one as (select p.point_id, p.epoch_id, p.x, p.y, p.z, p.x - ox dx, p.y - oy dy, p.z - oz dz from pts p join (select * from pos where scanpos_id = 1) s on p.epoch_id = s.epoch_id),
-b as (select *, sqrt(dx * dx + dy * dy + dz * dz) rng, round_even(degrees(atan2(dz, sqrt(dx * dx + dy * dy))) / 1e0, 0)::bigint phi, round_even(degrees(atan2(dy, dx)) / 1e0, 0)::bigint theta from one),
+@query(f"""with {_SEEN}, b as (select *, "range" rng, round_even(degrees(elevation) / 1e0, 0)::bigint phi, round_even(degrees(azimuth) / 1e0, 0)::bigint theta from (select sph.*, pts.scanpos_id from sph join pts using (point_id))),
 o as (select i, j, tan(radians(1e0) * sqrt(i * i + j * j)) t from range(-1, 2) a(i), range(-1, 2) b(j) where i <> 0 or j <> 0),
-n as (select q.point_id, avg(sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z))) observed from b q, o join b p on p.epoch_id = q.epoch_id and p.phi = q.phi + i and p.theta = q.theta + j group by 1)
-select b.epoch_id, b.point_id, round(least(greatest(rng * (select avg(t) from o) / (case when coalesce(observed, 99999) = 0 then 1e-6 else coalesce(observed, 99999e0) end), 0), 1), 5) score from b left join n using (point_id)""")
+n as (select q.point_id, avg(sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z))) observed from b q, o join b p on p.epoch_id = q.epoch_id and p.scanpos_id = q.scanpos_id and p.phi = q.phi + i and p.theta = q.theta + j group by 1)
+select b.epoch_id, b.scanpos_id, b.point_id, round(least(greatest(rng * (select avg(t) from o) / (case when coalesce(observed, 99999) = 0 then 1e-6 else coalesce(observed, 99999e0) end), 0), 1), 5) score from b left join n using (point_id)""")
 def scor_scores(spark: SparkSession, sf: str) -> DataFrame:
-    pos = table(spark, sf, "scanpos").filter("scanpos_id = 1").dropDuplicates(["epoch_id"]).select("epoch_id", "ox", "oy", "oz")
-    return rounded(filters.scor(cloud_all(spark, sf).join(pos, "epoch_id"), ("ox", "oy", "oz"), 1.0, 1, by=["epoch_id"]), 5, "score")
+    """Every point's score as seen from the position it was scanned from."""
+    return rounded(filters.scor(_seen(spark, sf), ("ox", "oy", "oz"), 1.0, 1, by=["epoch_id", "scanpos_id"]), 5, "score")
 
 
 # --- M3C2 --------------------------------------------------------------------------------------------------------
@@ -362,13 +375,15 @@ def m3c2_error_propagated(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(d.select("analysis_id", "corepoint_id", "distance", "lodetection", "spread1", "spread2", "num_samples1", "num_samples2"), 5, "distance", "lodetection", "spread1", "spread2")
 
 
-@query()
+@query(_MAHA[: _MAHA.rindex("select analysis_id")].replace(POINTS, POINTS.replace("cloud as (", "cloud as materialized (")) + f""", hot as (select distinct analysis_id, vx, vy, vz from m where change_type <> 3 or na < 4 or nb < 4 or coalesce(d > 0.024297585815692576, false)),
+kept as (select p.* from (select *, {_VOX} from cloud) p semi join hot using (analysis_id, vx, vy, vz)), {_CYL[len(POINTS) + 2:].replace("join cloud p", "join kept p")}, g as (select analysis_id, corepoint_id, side, avg(along) v, stddev_samp(along) s, count(*) n from cyl group by 1, 2, 3), {_WIDE} {_OUT}""")
 def hierarchical_change(spark: SparkSession, sf: str) -> DataFrame:
     """M3C2 only where voxels changed significantly."""
     c = cloud(spark, sf)
     v = voxel.mahalanobis(side(c, 1), side(c, 2), SIZE, min_points=4, by=BY).filter("changed = 1")
     kept = voxel.select_by_mask(c, v, SIZE, True, by=BY)
-    return rounded(m3c2.m3c2(corepoints(spark, sf), side(kept, 1), side(kept, 2), 1.0, 3.0, by=BY), 6, "distance", "lodetection", "spread1", "spread2")
+    d = m3c2.m3c2(corepoints(spark, sf), side(kept, 1), side(kept, 2), 1.0, 3.0, 0.05, by=BY)
+    return rounded(rounded(d, 5, "lodetection", "spread1", "spread2"), 6, "distance")
 
 
 # --- segments ----------------------------------------------------------------------------------------------------
@@ -578,17 +593,73 @@ def octree_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return octree.in_cells(p, key, octree.cells(p, key, 6).filter("points >= 100"), 6).select("point_id", "cell")
 
 
-_ENDS = ", ".join(f"{f}(struct_pack(k := {a}, p := point_id)).p {n}_{a}" for a in "xyz" for n, f in (("max", "max"), ("min", "min")))
+_ENDS = ", ".join(f"{f}(struct_pack(k := {a}, p := point_id, x := x, y := y, z := z)).{c} {f}_{a}_{c}" for a in "xyz" for f in ("max", "min") for c in "xyz")
 
 
 @query(f"with {_SEG}, p as (select analysis_id * 1000000000000000 + segment_id supervoxel_id, point_id, x, y, z from seg where side = 1) select supervoxel_id, count(*) points, {_ENDS} from p group by 1 having count(*) >= 5")
 def patch_extremes(spark: SparkSession, sf: str) -> DataFrame:
     """The six extreme points of every segment of the first side."""
-    s = side(_segmented(spark, sf), 1).select((F.col("analysis_id") * 1_000_000_000_000_000 + F.col("segment_id")).alias("supervoxel_id"), "point_id", "x", "y", "z")
-    ends = [f("point_id", F.struct(a, "point_id")).alias(f"{n}_{a}") for a in "xyz" for n, f in (("max", F.max_by), ("min", F.min_by))]
-    return s.groupBy("supervoxel_id").agg(F.count("*").alias("points"), *ends).filter("points >= 5")
+    s = side(_segmented(spark, sf), 1).withColumn("supervoxel_id", F.col("analysis_id") * 1_000_000_000_000_000 + F.col("segment_id"))
+    shapes = registration.patch_shapes(s, least=5)
+    ends = [F.col("ends")[k][c].alias(f"{f}_{a}_{c}") for k, (a, f) in enumerate((a, f) for a in "xyz" for f in ("max", "min")) for c in "xyz"]
+    return shapes.select("supervoxel_id", "points", *ends)
 
 
 @query(f"with {POINTS} select count(*)::bigint supervoxels from (select distinct floor((x - x0) / 4e0), floor((y - y0) / 4e0), floor((z - z0) / 4e0) from pts, (select min(x) x0, min(y) y0, min(z) z0 from pts))")
 def supervoxel_count(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(registration.supervoxel_count(cloud_all(spark, sf), 4.0),)], "supervoxels long")
+
+
+@query(f"""with {POINTS}, d as (select c.corepoint_id, p.nx, p.ny, p.nz, c.x - p.x dx, c.y - p.y dy, c.z - p.z dz, {_D2} d2, row_number() over (partition by c.corepoint_id order by {_D2}, p.point_id) r from core c, pts p)
+select corepoint_id, round(coalesce(case when isfinite(nx) and isfinite(ny) and isfinite(nz) then abs(dx * nx + dy * ny + dz * nz) / nullif(sqrt(nx * nx + ny * ny + nz * nz), 0) end, sqrt(d2)), 5) gap, round(sqrt(d2), 5) distance from d where r = 1""")
+def plane_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Distance of every corepoint to the plane of the point nearest to it, of all analyses."""
+    points = cloud_all(spark, sf).select("point_id", "x", "y", "z", "nx", "ny", "nz")
+    return rounded(registration.plane_gap(corepoints(spark, sf).select("corepoint_id", "x", "y", "z"), "corepoint_id", points, "point_id"), 5, "gap", "distance")
+
+
+@query(f"with {POINTS}, n as (select b.point_id, min((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) + (b.z - a.z) * (b.z - a.z)) d2 from cloud a, cloud b where a.side = 1 and b.side = 2 group by 1) select round(avg(sqrt(d2)) + stddev_pop(sqrt(d2)), 4) threshold from n")
+def distance_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean plus one deviation of the distances of the second sides' points to the first sides'."""
+    c = cloud(spark, sf)
+    return spark.createDataFrame([(round(registration.distance_threshold(side(c, 1), side(c, 2)), 4),)], "threshold double")
+
+
+@query()
+def plane_icp_sides(spark: SparkSession, sf: str) -> DataFrame:
+    """The motion of the second sides' points onto the planes of the first sides' (three iterations)."""
+    c = cloud(spark, sf)
+    r = c.agg(*[F.avg(a) for a in "xyz"]).first()
+    t = registration.plane_icp(side(c, 1), side(c, 2), 3, 1e-6, tuple(v or 0.0 for v in r))
+    return spark.createDataFrame([(i, *[round(v, 4) + 0.0 for v in row]) for i, row in enumerate(t.matrix)], "row int, a double, b double, c double, t double")
+
+
+# --- files and stores ---------------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the tables of this application."""
+    return f"{shared_dir(spark).removeprefix('file:')}/tidemesh-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"with {POINTS} select point_id, round(x, 3) x, round(y, 3) y, round(z, 3) z, coalesce(intensity, 0) intensity, return_number, number_of_returns, epoch_id from pts where return_number between 0 and 15 and number_of_returns between 0 and 15 and coalesce(intensity, 0) between 0 and 65535")
+def las_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """All points written to LAS files, with standard fields and extra dimensions, and read again."""
+    p = cloud_all(spark, sf).filter("return_number between 0 and 15 and number_of_returns between 0 and 15 and coalesce(intensity, 0) between 0 and 65535")
+    path = _folder(spark, "las")
+    write_las(p.withColumn("own_id", F.col("point_id")).repartition(4, "point_id"), path, ["intensity", "return_number", "number_of_returns", "own_id", "epoch_id"])
+    names = {c: c for c in ("intensity", "return_number", "number_of_returns", "own_id", "epoch_id")}
+    parts = [read_las(spark, str(f), additional=names) for f in sorted(Path(path).glob("*.las"))]
+    back = parts[0] if parts else p.withColumn("own_id", F.col("point_id"))
+    for part in parts[1:]:
+        back = back.unionByName(part)
+    back = back.drop("point_id").withColumnRenamed("own_id", "point_id")
+    return rounded(back.select("point_id", "x", "y", "z", F.coalesce(F.col("intensity").cast("int"), F.lit(0)).alias("intensity"), F.col("return_number").cast("int").alias("return_number"), F.col("number_of_returns").cast("int").alias("number_of_returns"), F.col("epoch_id").cast("int").alias("epoch_id")), 3, "x", "y", "z")
+
+
+@query(f"with {POINTS} select point_id, epoch_id, x, y, z from pts")
+def saved_epochs(spark: SparkSession, sf: str) -> DataFrame:
+    """The cloud saved as an epoch and loaded again."""
+    path = _folder(spark, "epoch")
+    save_epoch(cloud_all(spark, sf).select("point_id", "epoch_id", "x", "y", "z"), path)
+    return load_epoch(spark, path)[0].select("point_id", "epoch_id", "x", "y", "z")

@@ -238,20 +238,31 @@ def _write_parts(df: DataFrame, path: str, suffix: str, encode: Callable[[pa.Tab
 
 
 def write_las(df: DataFrame, path: str, extra: Sequence[str] = (), scale: float = 0.00025, point_format: int = 6) -> int:
-    """Writes x, y, z and `extra` columns (as extra dimensions; booleans as bytes) to LAS 1.4 files, one per task in folder `path`; returns the number of points. Repartition before to choose the number of files."""
+    """Writes x, y, z and `extra` columns to LAS 1.4 files, one per task in folder `path`; returns the number of points. Repartition before to choose the number of files.
+
+    Columns named like a field of the point format (intensity, classification, gps_time, ...) fill it, return_number and
+    number_of_returns their halves of a byte, 1 where they are not given; values are cut to what the field can hold and
+    nulls written as 0. Others become extra dimensions (booleans as bytes, nulls in real numbers as NaN).
+    """
     rows = df.select(*[F.col(a).cast("double").alias(a) for a in AXES], *[F.col(c).cast("int").alias(c) if df.schema[c].dataType.simpleString() == "boolean" else F.col(c) for c in extra])
 
     def encode(t: pa.Table) -> bytes:
         xyz = np.stack([t[a].to_numpy() for a in AXES], 1)
         offset = np.round(xyz.mean(0))
-        kinds = []
+        kinds, standard = [], {n for n, _ in _RECORDS[point_format]} - {"X", "Y", "Z", "returns"}
         for c in extra:
+            if c in standard or c in ("return_number", "number_of_returns"):
+                continue
             a = t[c].to_numpy()
             kinds.append((c, "<f8" if a.dtype.kind not in "iu" else f"<i{a.dtype.itemsize}", a))
         rec = np.zeros(len(t), np.dtype([*_RECORDS[point_format], *[(c, k) for c, k, _ in kinds]]))
         for k, a in enumerate("XYZ"):
             rec[a] = np.rint((xyz[:, k] - offset[k]) / scale)
-        rec["returns"] = 0x11
+        first, of = (np.clip(np.nan_to_num(t[c].to_numpy().astype(float), nan=1.0), 0, 15).astype("u1") if c in extra else np.ones(len(t), "u1") for c in ("return_number", "number_of_returns"))
+        rec["returns"] = first | of << 4
+        for c in standard & set(extra):
+            a, kind = np.nan_to_num(t[c].to_numpy().astype(float)), rec.dtype[c]
+            rec[c] = np.clip(np.rint(a), np.iinfo(kind).min, np.iinfo(kind).max) if kind.kind in "iu" else a
         for c, _, a in kinds:
             rec[c] = a
         codes = {v: k for k, v in _EXTRA.items()}
