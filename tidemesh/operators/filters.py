@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.runtime import if_small, salted, usable
-from .spatial import AXES, clean, knn, mutual, nearest
+from ..functions.runtime import if_small, materialise, salted, usable
+from .spatial import AXES, clean, mean_distance, mutual, nearest
 
 
 def c2c(source: DataFrame, target: DataFrame, source_id: str = "source_id", target_id: str = "target_id", max_distance: float | None = None, both_ways: bool = False, by: Sequence[str] = ()) -> DataFrame:
@@ -16,10 +16,11 @@ def c2c(source: DataFrame, target: DataFrame, source_id: str = "source_id", targ
 
     both_ways keeps a distance only where the source is also its target's nearest source.
     """
-    forward = nearest(source, target, source_id, target_id, by, max_distance)
     if not both_ways:
-        return forward
-    kept = mutual(forward, nearest(target, source, target_id, source_id, by, max_distance), source_id, target_id, by)
+        return nearest(source, target, source_id, target_id, by, max_distance)
+    source, target = materialise(clean(source, source_id, by)), materialise(clean(target, target_id, by))
+    forward = nearest(source, target, source_id, target_id, by, max_distance, ready=True)
+    kept = mutual(forward, nearest(target, source, target_id, source_id, by, max_distance, ready=True), source_id, target_id, by)
     return forward.select(*by, source_id).join(kept, [*by, source_id], "left")
 
 
@@ -30,9 +31,7 @@ def sor(points: DataFrame, k: int = 6, multiplier: float = 1.0, point_id: str =
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    near = knn(points, points.withColumnRenamed(point_id, "_o"), k, point_id, "_o", by, exclude_self=True)
-    mean = near.groupBy(*by, point_id).agg(F.avg(F.sqrt("d2")).alias("m"))
-    mean = clean(points, point_id, by).select(*by, point_id).join(mean, [*by, point_id], "left").select(*by, point_id, F.coalesce("m", F.lit(0.0)).alias("mean_distance"))
+    mean = materialise(mean_distance(points, k, point_id, by))
     limit = mean.groupBy(*by).agg((F.avg("mean_distance") + float(multiplier) * F.stddev_pop("mean_distance")).alias("limit"))
     out = mean.join(if_small(limit), list(by)) if by else mean.crossJoin(F.broadcast(limit))  # one row
     return out.select(*by, point_id, "mean_distance", (F.col("mean_distance") > F.col("limit")).alias("outlier"))

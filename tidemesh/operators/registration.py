@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.runtime import if_small, materialise, usable
+from ..functions.runtime import discard, if_small, materialise, usable
 from .spatial import AXES, clean, knn, nearest
 
 
@@ -108,12 +108,13 @@ def _icp(reference: DataFrame, points: DataFrame, max_iterations: int, tolerance
         target = target.dropna()
     for _ in range(max_iterations):
         moved = transform(own, now)  # always the original cloud and one matrix: plans do not grow
-        near = knn(moved, ref.withColumnRenamed(point_id, "_t"), 1, point_id, "_t")
+        near = knn(moved, ref.withColumnRenamed(point_id, "_t"), 1, point_id, "_t", ready=True)
         pairs = near.join(moved.select(point_id, *[F.col(a).alias(f"a{a}") for a in AXES]), point_id).join(target, "_t")
         pairs = materialise(pairs)
         step = (fit_planes if planes else fit_points)(pairs, reduction_point)
         now = now.then(step)
         mean = pairs.agg(F.avg(F.sqrt("d2"))).first()[0]
+        discard(pairs)
         if mean is None or abs(mean - before) < tolerance:
             break
         before = mean

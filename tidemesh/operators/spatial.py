@@ -10,9 +10,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
+from ..functions import kdtree
 from ..functions.runtime import materialise, salted, usable
 
 AXES = ("x", "y", "z")
@@ -70,134 +74,218 @@ def cylinder_join(queries: DataFrame, points: DataFrame, radius: float, max_dist
     return c.filter((F.col("across2") <= r * r) & ends)
 
 
-def _first_cell(p: DataFrame, by: Sequence[str], n: int, k: int, extent: float, sample_rows: int = 20_000) -> float:
-    """An edge at which a point's cell holds some k + 1 points, as seen in a sample of at most sample_rows; it decides only where the search begins."""
-    share = min(1.0, sample_rows / n)
-    s = p.select(F.xxhash64(*by).alias("b") if by else F.lit(0).alias("b"), *AXES).sample(share, 1).limit(2 * sample_rows).toPandas().to_numpy(float)
-    if len(s) < 2:
-        return extent
-    cell = extent
-    while cell > extent / 2**24:
-        _, count = np.unique(np.c_[s[:, 0], np.floor(s[:, 1:] / cell)], axis=0, return_counts=True)
-        if ((count * count).sum() / len(s) - 1) / share + 1 <= 2 * (k + 1):
-            return cell
-        cell /= 2
-    return cell
+#: Points that a leaf of a cloud should hold, queries that meet it at once, and rows of a sample.
+LEAF_POINTS, LEAF_QUERIES, SAMPLE = 16_000, 200_000, 40_000
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_id: str, by: Sequence[str] = (), exclude_self: bool = False, first_cell: float | None = None, max_distance: float | None = None) -> DataFrame:
+def _sampled(t: DataFrame, by: Sequence[str], prefix: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows of t, and groups and places of at most SAMPLE of them; they steer only where points and queries meet."""
+    n = t.count()
+    s = t.select(_group(by).alias("g"), *[F.col(f"{prefix}{a}") for a in AXES])
+    s = (s if n <= SAMPLE else s.sample(0.95 * SAMPLE / n, 1).limit(SAMPLE)).toPandas()
+    return n, s["g"].to_numpy(np.int64), s[[f"{prefix}{a}" for a in AXES]].to_numpy(float)
+
+
+def _group(by: Sequence[str]) -> Column:
+    return F.xxhash64(*by) if by else F.lit(0).cast("long")
+
+
+def _placed(t: DataFrame, by: Sequence[str], prefix: str, leaves: kdtree.Leaves, parts: np.ndarray, trim: tuple[str, int] | None = None) -> DataFrame:
+    """t with `_leaf` and `_part`: queries are spread over their leaf's parts, points (`trim`: their id and how many count at one place) are repeated in all of them."""
+    schema, kept = StructType([*t.schema.fields, StructField("_leaf", IntegerType()), StructField("_part", IntegerType())]), t.columns
+
+    def place(batches):
+        for batch in batches:
+            xyz, g = kdtree.places(batch, prefix), batch.column("_g").to_numpy(zero_copy_only=False)
+            rows = np.arange(len(xyz))
+            if trim:  # of many copies at one place only the smallest ids can be among the nearest
+                order = np.lexsort((kdtree.ranks(batch.column(trim[0])), *xyz.T, g))
+                v = np.c_[g[order].astype(float), xyz[order]]
+                new = np.r_[True, (v[1:] != v[:-1]).any(1) | (g[order][1:] != g[order][:-1])] if len(order) else np.empty(0, bool)
+                start = np.flatnonzero(new)
+                rows = np.sort(order[np.arange(len(order)) - start[np.cumsum(new) - 1] < trim[1]]) if len(order) else order
+            leaf = leaves.of(g[rows], xyz[rows])
+            many = np.where(leaf >= 0, parts[leaf], 1) if len(parts) else np.ones(len(rows), int)
+            if trim:
+                part = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                rows, leaf = np.repeat(rows, many), np.repeat(leaf, many)
+            else:
+                part = np.arange(len(rows)) % many
+            out = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([*[out.column(c) for c in kept], pa.array(leaf, pa.int32()), pa.array(part, pa.int32())], names=schema.names)
+
+    return t.withColumn("_g", _group(by)).mapInArrow(place, schema)
+
+
+def _boxes(p: DataFrame, by: Sequence[str], leaves: kdtree.Leaves) -> np.ndarray:
+    """Points, and the corners of the box that holds them, of every leaf (7 numbers each)."""
+    ends = [f(a) for f in (F.min, F.max) for a in AXES]
+    out = np.full((len(leaves.low), 7), np.nan)
+    out[:, 0] = 0
+    for r in _placed(p, by, "", leaves, np.ones(len(leaves.low), int), ("_p", 2**31)).groupBy("_leaf").agg(F.count("*"), *ends).filter("_leaf >= 0").collect():
+        out[r[0]] = r[1:]
+    return out
+
+
+def _neighbours(q: DataFrame, p: DataFrame, k: int, by: Sequence[str], exclude_self: bool, max_distance: float | None, mean: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Of tables q (by, _q, q_x, ..) and p (by, _p, x, ..): a table with a row (by, _q, _p, d2: lists by rank) of every query, and rows (by, _q, _p, d2) of those whose search went on (their `_ask` in the table is not empty), with a null _p for those that found nothing.
+
+    Points are cut into leaves, boxes by the medians of a sample. Each query first meets the points of its own leaf. Where
+    its k nearest of them are closer than the leaf's sides, these are the answer; other queries then meet the leaves whose
+    points' boxes are no farther than the k-th found, or than the k-th can be by the boxes' counts. mean: d2 of settled
+    queries holds one value, the mean distance, and _p nothing.
+    """
+    cap = None if max_distance is None else float(max_distance) * float(max_distance)
+    n, group, xyz = _sampled(p, by, "")
+    nq, q_group, q_xyz = _sampled(q, by, "q_")
+    leaves = kdtree.Leaves(group, xyz, max(8, int(LEAF_POINTS * len(xyz) / max(n, 1))))
+    asked = np.bincount(at[at >= 0] if len(at := leaves.of(q_group, q_xyz)) else np.empty(0, int), minlength=len(leaves.low))
+    parts = np.maximum(1, np.ceil(asked * nq / max(len(q_group), 1) / LEAF_QUERIES)).astype(int)
+    whole = len(leaves.low) == len(leaves.names)
+    box = None if whole else _boxes(p, by, leaves)
+    need = k + exclude_self
+    names = [f.name for f in q.select(*by, "_q").schema.fields]
+    types = {f.name: f for f in [*q.schema.fields, *p.schema.fields]}
+    lists = [StructField("_p", ArrayType(types["_p"].dataType)), StructField("d2", ArrayType(DoubleType()))]
+    schema = StructType([*[types[c] for c in names], *[StructField(f"q_{a}", DoubleType()) for a in AXES], *lists, StructField("_ask", ArrayType(IntegerType()))])
+
+    def found(left: pa.Table, right: pa.Table, first: bool) -> pa.Table:
+        ids, rank = right.column("_p").combine_chunks(), kdtree.ranks(right.column("_p"))
+        at, pts = kdtree.places(left, "q_"), kdtree.places(right)
+        own = None
+        if exclude_self:
+            own = pc.fill_null(pc.index_in(left.column("_q").combine_chunks(), value_set=ids), -1).to_numpy(zero_copy_only=False)
+        bound = np.full(len(at), np.inf if cap is None else cap) if first else left.column("_bound").to_numpy()
+        who, what, d2 = kdtree.search(pts, rank, at, k, bound, own)
+        count = np.bincount(who, minlength=len(at))
+        start = np.r_[0, np.cumsum(count)]
+        ask, asks = np.empty(0, int), np.zeros(len(at), int)
+        leaf = left.column("_leaf")[0].as_py() if len(at) else -1
+        if first and leaf >= 0 and not whole:
+            full = count == k
+            bound[full] = d2[start[1:][full] - 1]
+            side = np.minimum(at - leaves.low[leaf], leaves.high[leaf] - at)
+            side = np.maximum(side, 0.0)
+            out = np.flatnonzero(bound >= (side * side).min(1))
+            beside = np.flatnonzero((leaves.tree == leaves.tree[leaf]) & (box[:, 0] > 0))
+            counts, low, high = box[beside, 0], box[beside, 1:4], box[beside, 4:]
+            got = []
+            for a in range(0, len(out), step := max(1, 1_000_000 // max(1, len(beside)))):
+                rows = out[a : a + step]
+                near = kdtree.to_boxes(at[rows], low, high)
+                limit = bound[rows]
+                short = np.flatnonzero(~full[rows])  # fewer than k here: the boxes' farthest corners promise them
+                for i in short:
+                    far = np.maximum(np.abs(low - at[rows[i]]), np.abs(high - at[rows[i]]))
+                    far = (far * far).sum(1) * (1 + 1e-12)
+                    o = np.argsort(far)
+                    held = np.searchsorted(np.cumsum(counts[o]), need)
+                    if held < len(o):
+                        limit[i] = min(limit[i], far[o[held]])
+                bound[rows] = limit
+                i, j = np.nonzero((near <= limit[:, None]) & (beside != leaf))
+                got.append((rows[i], beside[j]))
+            if got:
+                who_asks, ask = (np.concatenate(v) for v in zip(*got))
+                asks = np.bincount(who_asks, minlength=len(at))
+        open_ = asks > 0
+        values, offsets = ids.take(pa.array(what)), start
+        if mean and first:
+            settled = ~open_
+            means = np.bincount(who, np.sqrt(d2), len(at)) / np.maximum(count, 1)
+            keep = open_[who]
+            size = np.where(open_, count, count > 0)
+            d_offsets = np.r_[0, np.cumsum(size)]
+            d_values = np.empty(d_offsets[-1])
+            d_values[np.repeat(open_, size)] = d2[keep]
+            d_values[d_offsets[:-1][settled & (count > 0)]] = means[settled & (count > 0)]
+            values, offsets = ids.take(pa.array(what[keep])), np.r_[0, np.cumsum(np.where(open_, count, 0))]
+        else:
+            d_values, d_offsets = d2, start
+        as_list = lambda o, v: pa.ListArray.from_arrays(pa.array(o, pa.int32()), v)
+        coordinates = [pa.array(at[:, a], pa.float64(), mask=~open_) for a in range(3)]
+        cols = [*[left.column(c) for c in names], *coordinates, as_list(offsets, values), as_list(d_offsets, pa.array(d_values, pa.float64()))]
+        if first:
+            return pa.table([*cols, as_list(np.r_[0, np.cumsum(asks)], pa.array(ask, pa.int32()))], names=schema.names)
+        return pa.table([*cols[: len(names)], *cols[-2:]], names=[*names, "_p", "d2"])
+
+    at_leaf = [*by, "_leaf", "_part"]
+    mine = _placed(q, by, "q_", leaves, parts)
+    theirs = _placed(p, by, "", leaves, parts, ("_p", k + 1))
+    top = materialise(mine.groupBy(*at_leaf).cogroup(theirs.groupBy(*at_leaf)).applyInArrow(lambda a, b: found(a, b, True), schema))
+    if whole:
+        return top, None
+    open_ = top.filter(F.size("_ask") > 0)
+    often = open_.select(F.explode("_ask").alias("l")).groupBy("l").agg(F.count("*").alias("n")).collect()  # as many rows as leaves
+    if not often:
+        return top, None
+    parts2 = np.zeros(len(leaves.low), int)  # leaves that nobody asks are not sent
+    for r in often:
+        parts2[r["l"]] = -(-r["n"] // LEAF_QUERIES)
+    full = F.when(F.size("d2") >= k, F.col("d2")[k - 1])
+    bound = F.coalesce(full, F.lit(float("inf")) if cap is None else F.lit(cap))
+    wide = F.element_at(F.lit(parts2.tolist()), F.col("_leaf") + 1)
+    more = open_.select(*by, "_q", *[f"q_{a}" for a in AXES], bound.alias("_bound"), F.explode("_ask").alias("_leaf"))
+    more = more.withColumn("_part", F.pmod(F.xxhash64(*[f"q_{a}" for a in AXES], F.col("_q")), wide).cast("int"))
+    theirs = _placed(p, by, "", leaves, parts2, ("_p", k + 1))
+    schema2 = StructType([*[types[c] for c in names], *lists])
+    rest = more.groupBy(*at_leaf).cogroup(theirs.groupBy(*at_leaf)).applyInArrow(lambda a, b: found(a, b, False), schema2)
+    rest = rest.unionByName(open_.select(*names, "_p", "d2"))
+    rest = rest.select(*names, F.explode_outer(F.arrays_zip("_p", "d2")).alias("e")).select(*names, "e._p", "e.d2")
+    rank = F.row_number().over(Window.partitionBy(*names).orderBy(F.asc_nulls_last("d2"), "_p"))
+    return top, rest.withColumn("rank", rank).filter((F.col("rank") <= k) & (F.col("_p").isNotNull() | (F.col("rank") == 1)))
+
+
+def _sides(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, by: Sequence[str], ready: bool) -> tuple[DataFrame, DataFrame]:
+    """Tables (by, _q, q_x, ..) and (by, _p, x, ..); ready: both sides are tables already, of usable rows with distinct ids."""
+    known = lambda t: t.dropna(subset=list(by)) if by else t  # noqa: E731 - a missing group equals nothing
+    p = known(points.select(*by, point_id, *AXES) if ready else clean(points, point_id, by)).withColumnRenamed(point_id, "_p")
+    q = queries if ready else clean(queries, query_id, by)
+    kinds = dict(p.dtypes)
+    q = q.select(*[F.col(c).cast(kinds[c]).alias(c) for c in by], F.col(query_id).alias("_q"), *[F.col(a).alias(f"q_{a}") for a in AXES])
+    return (q, p) if ready else (materialise(q), materialise(p))
+
+
+def _rows(top: DataFrame, rest: DataFrame | None, by: Sequence[str], every: bool = False) -> DataFrame:
+    settled = top if rest is None else top.filter(F.size("_ask") == 0)
+    e = (F.posexplode_outer if every else F.posexplode)(F.arrays_zip("_p", "d2")).alias("i", "e")
+    out = settled.select(*by, "_q", e).select(*by, "_q", "e._p", "e.d2", (F.col("i") + 1).alias("rank"))
+    if rest is None:
+        return out
+    return out.unionByName(rest if every else rest.filter(F.col("_p").isNotNull()))
+
+
+def knn(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_id: str, by: Sequence[str] = (), exclude_self: bool = False, max_distance: float | None = None, ready: bool = False) -> DataFrame:
     """(by, query_id, point_id, d2, rank): the k nearest points of every query, exactly; ties go to the smaller id.
 
     Fewer than k rows come out where there are fewer points (within max_distance, inclusive, if given). exclude_self leaves
-    out the point whose id equals the query's.
-
-    Queries look into the 27 cells around them; one is settled if its k-th neighbour is no farther than a cell's edge. The
-    others go down a pyramid of cells (see _pyramid), so that however far their neighbours are, and however many points
-    lie there, each meets only the few cells that can hold them. Of points at one place only the k + 1 with the smallest
-    ids can be among the nearest, so hot places do not multiply.
+    out the point whose id equals the query's. ready says that both sides are tables (see `materialise`) of usable points
+    with distinct ids, which need no copy. Each query and point is sent once, and a query again only to the leaves that
+    may hold something nearer (see _neighbours).
     """
-    q = _queries(queries, query_id, by, [])
-    p = clean(points, point_id, by).withColumnRenamed(point_id, "_p")
-    alike = Window.partitionBy(*by, *AXES).orderBy("_p")
-    p = materialise(p.withColumn("_n", F.row_number().over(alike)).filter(F.col("_n") <= k + 1).drop("_n"))
-    box = p.groupBy(*by).agg(F.count("*").alias("n"), F.greatest(*[F.max(a) - F.min(a) for a in AXES]).alias("e")).agg(F.sum("n"), F.max("e")).first()
-    n = box[0] or 0
-    out_cols = [*by, F.col("_q").alias(query_id), F.col("_p").alias(point_id), "d2", "rank"]
-    if not n:
-        empty = q.join(p.select(*by, "_p"), list(by)) if by else q.limit(0).crossJoin(p.select("_p"))
-        return empty.withColumns({"d2": F.lit(0.0), "rank": F.lit(1)}).select(*out_cols)
-    if by:
-        q = q.join(p.select(*by).distinct(), [*by], "left_semi")  # others have nothing to find
-    q = materialise(q)
-    extent = box[1] + 1e-9
-    cell = first_cell or _first_cell(p, by, n, k, extent)
-    if max_distance is not None:
-        cell = min(cell, max(float(max_distance), extent / 2**24))
-    p = p.withColumns({f"_c{a}": F.floor(F.col(a) / cell) for a in AXES})
-    keys = [*by, *[f"_c{a}" for a in AXES]]
-    at = {a: F.floor(F.col(f"q_{a}") / cell) for a in AXES}
-    around = q
-    for a in AXES:
-        around = around.withColumn(f"_c{a}", F.explode(F.sequence(at[a] - 1, at[a] + 1)))
-    top = materialise(_best(around, p, keys, k, by, exclude_self, max_distance))
-    limit = cell * cell if max_distance is None or max_distance > cell else None
-    if limit is None:  # nothing beyond the 27 cells counts
-        return top.select(*out_cols)
-    sure = top.filter((F.col("rank") == k) & (F.col("d2") <= limit)).select(*by, "_q")
-    left = materialise(q.join(sure, [*by, "_q"], "left_anti"))
-    if not left.limit(1).count():
-        return top.select(*out_cols)
-    cells = _pyramid(left, p, k + exclude_self, cell, extent, by, max_distance)
-    rest = _best(cells, p, keys, k, by, exclude_self, max_distance)
-    return top.join(sure, [*by, "_q"], "left_semi").unionByName(rest).select(*out_cols)
-
-
-def _best(cells: DataFrame, p: DataFrame, keys: list[str], k: int, by: Sequence[str], exclude_self: bool, max_distance: float | None) -> DataFrame:
-    """(by, _q, _p, d2, rank): the k nearest of the points in the cells that each query names, hot cells sliced."""
-    p, cells = salted(p, cells, F.xxhash64(*keys), F.col("_p"))
-    c = cells.join(p, [*keys, "_salt"])
-    if exclude_self:
-        c = c.filter(F.col("_q") != F.col("_p"))
-    c = c.withColumn("d2", sum((F.col(a) - F.col(f"q_{a}")) * (F.col(a) - F.col(f"q_{a}")) for a in AXES))
-    if max_distance is not None:
-        c = c.filter(F.col("d2") <= float(max_distance) * float(max_distance))
-    w = Window.partitionBy(*by, "_q").orderBy("d2", "_p")
-    return c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(*by, "_q", "_p", "d2", "rank")
+    q, p = _sides(queries, points, query_id, point_id, by, ready)
+    out = _rows(*_neighbours(q, p, k, by, exclude_self, max_distance), by)
+    return out.select(*by, F.col("_q").alias(query_id), F.col("_p").alias(point_id), "d2", "rank")
 
 
-def _pyramid(q: DataFrame, p: DataFrame, need: int, cell: float, extent: float, by: Sequence[str], max_distance: float | None) -> DataFrame:
-    """q with the cells (_cx, _cy, _cz) that can hold its `need` nearest points (within max_distance).
+def mean_distance(points: DataFrame, k: int, point_id: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, point_id, mean_distance) of every usable point: the mean distance to its k nearest others, 0 if there are none. One number a point is kept, not its neighbours."""
+    own = materialise(clean(points, point_id, by))
+    q, p = _sides(own, own, point_id, point_id, by, True)
+    top, rest = _neighbours(q, p, k, by, True, None, mean=True)
+    settled = top if rest is None else top.filter(F.size("_ask") == 0)
+    out = settled.select(*by, F.col("_q").alias(point_id), F.coalesce(F.try_element_at("d2", F.lit(1)), F.lit(0.0)).alias("mean_distance"))
+    if rest is not None:
+        more = rest.groupBy(*by, F.col("_q").alias(point_id)).agg(F.coalesce(F.avg(F.sqrt("d2")), F.lit(0.0)).alias("mean_distance"))
+        out = out.unionByName(more)
+    return out
 
-    Cells are grouped by eights of an edge into cells of the next level, with counts. From the top down, a query keeps the
-    cells that are no farther than the distance within which the cells' farthest corners already promise `need` points,
-    and goes on to the cells within them that hold any.
-    """
-    names = [f"_c{a}" for a in AXES]
-    levels = [materialise(p.groupBy(*by, *names).agg(F.count("*").alias("_n")))]
-    edge = [cell]
-    reach = extent if max_distance is None else min(extent, float(max_distance))
-    while edge[-1] < reach:
-        low = levels[-1].select(*by, "_n", *[F.shiftright(c, 3).alias(c) for c in names])
-        levels.append(low.groupBy(*by, *names).agg(F.sum("_n").alias("_n")))
-        edge.append(edge[-1] * 8)
-    slack = 1e-9 * (1 + extent)
-
-    def judged(c: DataFrame, size: float) -> DataFrame:
-        near, far = F.lit(0.0), F.lit(0.0)
-        for a in AXES:
-            lo, hi = F.col(f"_c{a}") * size - slack - F.col(f"q_{a}"), (F.col(f"_c{a}") + 1) * size + slack - F.col(f"q_{a}")
-            gap, span = F.greatest(lo, -hi, F.lit(0.0)), F.greatest(F.abs(lo), F.abs(hi))
-            near, far = near + gap * gap, far + span * span
-        w = Window.partitionBy(*by, "_q")
-        c = c.withColumns({"_near": near, "_far": far})
-        if max_distance is not None:
-            c = c.filter(F.col("_near") <= float(max_distance) * float(max_distance))
-        c = c.withColumn("_sum", F.sum("_n").over(w.orderBy("_far").rowsBetween(Window.unboundedPreceding, 0)))
-        c = c.withColumn("_bound", F.min(F.when(F.col("_sum") >= need, F.col("_far"))).over(w))
-        return c.filter(F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound"))).drop("_near", "_far", "_sum", "_bound", "_n")
-
-    top = len(levels) - 1
-    if max_distance is None:  # the top cells are as large as the whole: eight at most
-        c = q.join(levels[top], list(by)) if by else q.crossJoin(levels[top])
-    else:
-        c = q
-        for a in AXES:
-            c = c.withColumn(f"_c{a}", F.explode(F.sequence(F.floor((F.col(f"q_{a}") - reach - slack) / edge[top]), F.floor((F.col(f"q_{a}") + reach + slack) / edge[top]))))
-        c = c.join(levels[top], [*by, *names])
-    c = judged(c, edge[top])
-    for level in range(top - 1, -1, -1):
-        below = levels[level].select(*by, "_n", *[F.col(x).alias(f"_d{x}") for x in names], *[F.shiftright(x, 3).alias(x) for x in names])
-        c = c.join(below, [*by, *names]).drop(*names).withColumnsRenamed({f"_d{x}": x for x in names})
-        c = judged(c, edge[level])
-    return c
-
-
-def nearest(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, by: Sequence[str] = (), max_distance: float | None = None) -> DataFrame:
+
+def nearest(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, by: Sequence[str] = (), max_distance: float | None = None, ready: bool = False) -> DataFrame:
     """(by, query_id, point_id, distance) of every usable query; null point and distance where none is within max_distance (inclusive)."""
-    near = knn(queries, points.withColumnRenamed(point_id, "_t"), 1, query_id, "_t", by, max_distance=max_distance)
-    near = near.select(*by, query_id, F.col("_t").alias("_near"), F.sqrt("d2").alias("distance"))
-    own = clean(queries, query_id, by).select(*by, query_id)
-    return own.join(near, [*by, query_id], "left").withColumnRenamed("_near", point_id)
+    q, p = _sides(queries, points, query_id, point_id, by, ready)
+    out = _rows(*_neighbours(q, p, 1, by, False, max_distance), by, True)
+    return out.select(*by, F.col("_q").alias(query_id), F.col("_p").alias(point_id), F.sqrt("d2").alias("distance"))
 
 
 def mutual(forward: DataFrame, backward: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
