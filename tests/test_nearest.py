@@ -68,3 +68,15 @@ def test_leaves_tile_space():
     assert (leaves.low[of] <= xyz).all() and (xyz < leaves.high[of]).all()
     assert (leaves.names[leaves.tree[of]] == groups).all()
     assert leaves.of(np.array([7]), xyz[:1]).tolist() == [-1]
+
+
+def test_mutual_distances_over_leaves(spark, small_leaves):
+    from tidemesh.operators import filters
+
+    q, p = _uneven()
+    forth = {x[:2]: x[2] for x in _brute(q, p, 1, False, 60.0)}
+    back = {x[:2]: x[2] for x in _brute(p, q, 1, False, 60.0)}
+    want = sorted((int(g), int(i), j if (j := forth.get((g, i))) is not None and back.get((g, j)) == i else -1) for g, i in q[:, :2])
+    got = filters.c2c(_table(spark, q, "source_id"), _table(spark, p, "target_id"), max_distance=60.0, both_ways=True, by=["g"])
+    assert rows(got.select("g", "source_id", F.coalesce("target_id", F.lit(-1)))) == want
+    assert any(j >= 0 for *_, j in want)
