@@ -393,6 +393,14 @@ def _segmented(spark: SparkSession, sf: str) -> DataFrame:
     return cloud(spark, sf).withColumn("segment_id", F.floor(F.col("x") / 4) * 10_000_000 + F.floor(F.col("y") / 4))
 
 
+def _named(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """Segmented points with `name`: analysis_id * 10^15 + segment_id, a bigint where those of all analyses fit into one, else a decimal of 38 digits."""
+    s = _segmented(spark, sf)
+    most = table(spark, sf, "analyses").agg(F.max(F.abs("analysis_id"))).first()[0] or 0
+    kind = "bigint" if most < 9223 else "decimal(38,0)"
+    return s.withColumn(name, (F.col("analysis_id").cast(kind) * F.lit(1_000_000_000_000_000).cast(kind) + F.col("segment_id").cast(kind)).cast(kind))
+
+
 _SEG = f"{POINTS}, seg as (select *, floor(x / 4e0)::bigint * 10000000 + floor(y / 4e0)::bigint segment_id from cloud), m as (select analysis_id, side, segment_id, count(*) n, avg(x) x, avg(y) y, avg(z) z from seg group by 1, 2, 3 having count(*) >= 3)"
 
 
@@ -410,7 +418,7 @@ def segment_shapes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"with {_SEG}, s as (select distinct side, analysis_id * 1000000000000000 + segment_id segment_id from seg) select side - 1 epoch, segment_id, row_number() over (order by side, segment_id) new_id from s")
 def segment_ids(spark: SparkSession, sf: str) -> DataFrame:
-    s = _segmented(spark, sf).withColumn("segment_id", F.col("analysis_id") * 1_000_000_000_000_000 + F.col("segment_id"))
+    s = _named(spark, sf, "segment_id")
     return planes.global_ids(side(s, 1), side(s, 2))
 
 
@@ -599,7 +607,7 @@ _ENDS = ", ".join(f"{f}(struct_pack(k := {a}, p := point_id, x := x, y := y, z :
 @query(f"with {_SEG}, p as (select analysis_id * 1000000000000000 + segment_id supervoxel_id, point_id, x, y, z from seg where side = 1) select supervoxel_id, count(*) points, {_ENDS} from p group by 1 having count(*) >= 5")
 def patch_extremes(spark: SparkSession, sf: str) -> DataFrame:
     """The six extreme points of every segment of the first side."""
-    s = side(_segmented(spark, sf), 1).withColumn("supervoxel_id", F.col("analysis_id") * 1_000_000_000_000_000 + F.col("segment_id"))
+    s = side(_named(spark, sf, "supervoxel_id"), 1)
     shapes = registration.patch_shapes(s, least=5)
     ends = [F.col("ends")[k][c].alias(f"{f}_{a}_{c}") for k, (a, f) in enumerate((a, f) for a in "xyz" for f in ("max", "min")) for c in "xyz"]
     return shapes.select("supervoxel_id", "points", *ends)
