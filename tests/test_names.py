@@ -29,3 +29,8 @@ def _shifted(found, k):
 def test_segment_ids_of_large_analysis_ids(spark, folders):
     small, wide = (rows(reference_queries.segment_ids(spark, f), "epoch", "segment_id", "new_id") for f in folders)
     assert len(small) == 24 and wide == _shifted(small, 1)
+
+
+def test_patch_extremes_of_large_analysis_ids(spark, folders):
+    small, wide = (rows(reference_queries.patch_extremes(spark, f)) for f in folders)
+    assert small and wide == _shifted(small, 0)
