@@ -80,3 +80,19 @@ def test_mutual_distances_over_leaves(spark, small_leaves):
     got = filters.c2c(_table(spark, q, "source_id"), _table(spark, p, "target_id"), max_distance=60.0, both_ways=True, by=["g"])
     assert rows(got.select("g", "source_id", F.coalesce("target_id", F.lit(-1)))) == want
     assert any(j >= 0 for *_, j in want)
+
+
+def test_outliers_over_leaves(spark, small_leaves):
+    from tidemesh.operators import filters
+
+    _, p = _uneven()
+    place = {int(i): v for _, i, *v in p}
+    far = {}
+    for g, i, j, _ in _brute(p, p, 6, True, None):
+        far.setdefault((g, i), []).append(np.linalg.norm(np.subtract(place[i], place[j])))
+    mean = {key: np.mean(v) for key, v in far.items()}
+    limit = {g: np.mean(v := [m for (h, _), m in mean.items() if h == g]) + np.std(v) for g in range(3)}
+    got = filters.sor(_table(spark, p, "point_id"), 6, 1.0, by=["g"])
+    assert [(g, i, o) for g, i, o in rows(got.select("g", "point_id", "outlier"))] == sorted((g, i, bool(m > limit[g])) for (g, i), m in mean.items())
+    assert all(abs(m - mean[g, i]) < 1e-9 for g, i, m in rows(got.select("g", "point_id", "mean_distance")))
+    assert not hasattr(filters, "knn")  # one number a point is kept, not its neighbours
