@@ -96,3 +96,25 @@ def test_outliers_over_leaves(spark, small_leaves):
     assert [(g, i, o) for g, i, o in rows(got.select("g", "point_id", "outlier"))] == sorted((g, i, bool(m > limit[g])) for (g, i), m in mean.items())
     assert all(abs(m - mean[g, i]) < 1e-9 for g, i, m in rows(got.select("g", "point_id", "mean_distance")))
     assert not hasattr(filters, "knn")  # one number a point is kept, not its neighbours
+
+
+def _surface(spark):
+    i = np.arange(900)
+    x, y = i % 30, i // 30
+    return spark.createDataFrame([(int(k), float(a), float(b), float(np.sin(a / 3) + np.cos(b / 4)), float(-np.cos(a / 3) / 3), float(np.sin(b / 4) / 4), 1.0) for k, a, b in zip(i, x, y)], "point_id long, x double, y double, z double, nx double, ny double, nz double")
+
+
+def _motion(spark, monkeypatch, fit):
+    from tidemesh.operators import registration
+
+    gone = []
+    monkeypatch.setattr(registration, "discard", lambda *t: gone.extend(t), raising=False)
+    ref = _surface(spark)
+    moved = registration.transform(ref, registration.Transformation.of([[1, 0, 0, 0.04], [0, 1, 0, -0.03], [0, 0, 1, 0.05]]))
+    t = getattr(registration, fit)(ref, moved, 3, 1e-9).array()
+    assert gone  # pairs of finished rounds are deleted
+    return t
+
+
+def test_icp_over_leaves(spark, small_leaves, monkeypatch):
+    assert np.allclose(_motion(spark, monkeypatch, "icp")[:3], [[1, 0, 0, -0.04], [0, 1, 0, 0.03], [0, 0, 1, -0.05]], atol=1e-6)
