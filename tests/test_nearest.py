@@ -118,3 +118,14 @@ def _motion(spark, monkeypatch, fit):
 
 def test_icp_over_leaves(spark, small_leaves, monkeypatch):
     assert np.allclose(_motion(spark, monkeypatch, "icp")[:3], [[1, 0, 0, -0.04], [0, 1, 0, 0.03], [0, 0, 1, -0.05]], atol=1e-6)
+
+
+def test_plane_gaps_over_leaves(spark, small_leaves):
+    from tidemesh.operators import registration
+
+    ref = _surface(spark)
+    q = ref.select(F.col("point_id").alias("q"), *[(F.col(a) + 0.1 * F.col(f"n{a}")).alias(a) for a in "xyz"])
+    got = rows(registration.plane_gap(q, "q", ref, "point_id"))
+    assert [i for i, *_ in got] == list(range(900))
+    length = {i: 0.1 * v for i, v in rows(ref.select("point_id", F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + 1.0)))}
+    assert all(abs(gap - length[i]) < 1e-9 and abs(d - length[i]) < 1e-9 for i, gap, d in got)
