@@ -129,3 +129,8 @@ def test_plane_gaps_over_leaves(spark, small_leaves):
     assert [i for i, *_ in got] == list(range(900))
     length = {i: 0.1 * v for i, v in rows(ref.select("point_id", F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + 1.0)))}
     assert all(abs(gap - length[i]) < 1e-9 and abs(d - length[i]) < 1e-9 for i, gap, d in got)
+
+
+def test_plane_icp_over_leaves(spark, small_leaves, monkeypatch):
+    t = _motion(spark, monkeypatch, "plane_icp")
+    assert np.allclose(t[:3], [[1, 0, 0, -0.04], [0, 1, 0, 0.03], [0, 0, 1, -0.05]], atol=1e-2)
