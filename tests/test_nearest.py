@@ -98,6 +98,25 @@ def test_outliers_over_leaves(spark, small_leaves):
     assert not hasattr(filters, "knn")  # one number a point is kept, not its neighbours
 
 
+@pytest.mark.parametrize("sliced, sent", [(False, 1), (True, 2)])
+def test_points_are_sent_once_to_their_own_search(spark, monkeypatch, sliced, sent):
+    monkeypatch.setattr(spatial, "LEAF_POINTS", 40)
+    if sliced:
+        monkeypatch.setattr(spatial, "LEAF_QUERIES", 20)
+    _, p = _uneven()
+    calls, placed, boxes = [], spatial._placed, spatial._boxes
+    monkeypatch.setattr(spatial, "_boxes", lambda *a: (boxes(*a), calls.clear())[0])
+    monkeypatch.setattr(spatial, "_placed", lambda *a: (calls.append(1), placed(*a))[1])
+    monkeypatch.setattr(spatial, "materialise", lambda df, make=spatial.materialise: (make(df), calls.append(None))[0])
+    got = rows(spatial.mean_distance(_table(spark, p, "point_id"), 6, "point_id", ["g"]), "g", "point_id", "mean_distance")
+    assert calls[: calls.index(None)].count(1) == sent
+    place = {int(i): v for _, i, *v in p}
+    far = {}
+    for g, i, j, _ in _brute(p, p, 6, True, None):
+        far.setdefault((g, i), []).append(np.linalg.norm(np.subtract(place[i], place[j])))
+    assert [x[:2] for x in got] == sorted(far) and all(abs(m - np.mean(far[g, i])) < 1e-9 for g, i, m in got)
+
+
 def _surface(spark):
     i = np.arange(900)
     x, y = i % 30, i // 30

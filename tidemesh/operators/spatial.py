@@ -132,12 +132,12 @@ def _neighbours(q: DataFrame, p: DataFrame, k: int, by: Sequence[str], exclude_s
 
     Points are cut into leaves, boxes by the medians of a sample. Each query first meets the points of its own leaf. Where
     its k nearest of them are closer than the leaf's sides, these are the answer; other queries then meet the leaves whose
-    points' boxes are no farther than the k-th found, or than the k-th can be by the boxes' counts. mean: d2 of settled
-    queries holds one value, the mean distance, and _p nothing.
+    points' boxes are no farther than the k-th found, or than the k-th can be by the boxes' counts. mean: q and p are one
+    table, which is sent once where no leaf is sliced; d2 of settled queries holds one value, the mean distance, and _p nothing.
     """
     cap = None if max_distance is None else float(max_distance) * float(max_distance)
     n, group, xyz = _sampled(p, by, "")
-    nq, q_group, q_xyz = _sampled(q, by, "q_")
+    nq, q_group, q_xyz = (n, group, xyz) if mean else _sampled(q, by, "q_")
     leaves = kdtree.Leaves(group, xyz, max(8, int(LEAF_POINTS * len(xyz) / max(n, 1))))
     asked = np.bincount(at[at >= 0] if len(at := leaves.of(q_group, q_xyz)) else np.empty(0, int), minlength=len(leaves.low))
     parts = np.maximum(1, np.ceil(asked * nq / max(len(q_group), 1) / LEAF_QUERIES)).astype(int)
@@ -211,8 +211,13 @@ def _neighbours(q: DataFrame, p: DataFrame, k: int, by: Sequence[str], exclude_s
 
     at_leaf = [*by, "_leaf", "_part"]
     mine = _placed(q, by, "q_", leaves, parts)
-    theirs = _placed(p, by, "", leaves, parts, ("_p", k + 1))
-    top = materialise(mine.groupBy(*at_leaf).cogroup(theirs.groupBy(*at_leaf)).applyInArrow(lambda a, b: found(a, b, True), schema))
+    if mean and parts.max(initial=1) == 1:
+        as_points = {"_q": "_p", **{f"q_{a}": a for a in AXES}}
+        first = mine.groupBy(*at_leaf).applyInArrow(lambda a: found(a, a.rename_columns([as_points.get(c, c) for c in a.column_names]), True), schema)
+    else:
+        theirs = _placed(p, by, "", leaves, parts, ("_p", k + 1))
+        first = mine.groupBy(*at_leaf).cogroup(theirs.groupBy(*at_leaf)).applyInArrow(lambda a, b: found(a, b, True), schema)
+    top = materialise(first)
     if whole:
         return top, None
     open_ = top.filter(F.size("_ask") > 0)
