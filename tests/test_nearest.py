@@ -153,3 +153,26 @@ def test_plane_gaps_over_leaves(spark, small_leaves):
 def test_plane_icp_over_leaves(spark, small_leaves, monkeypatch):
     t = _motion(spark, monkeypatch, "plane_icp")
     assert np.allclose(t[:3], [[1, 0, 0, -0.04], [0, 1, 0, 0.03], [0, 0, 1, -0.05]], atol=1e-2)
+
+
+@pytest.mark.parametrize("fit", ["icp", "plane_icp"])
+def test_icp_searches_its_reference_without_joins(spark, small_leaves, monkeypatch, fit):
+    from tidemesh.operators import registration
+
+    plans, boxed, boxes = [], [], spatial._boxes
+    monkeypatch.setattr(spatial, "_boxes", lambda *a: (boxed.append(1), boxes(*a))[1])
+    monkeypatch.setattr(registration, "materialise", lambda df, make=registration.materialise: (plans.append(df._jdf.queryExecution().executedPlan().toString()), make(df))[1])
+    _motion(spark, monkeypatch, fit)
+    assert len(plans) == 5 and not any("Join" in p for p in plans)  # two clouds, three rounds
+    assert len(boxed) == 1  # the reference stays as it is
+
+
+@pytest.mark.parametrize("k, reach", [(1, None), (3, 20.0)])
+def test_columns_come_along(spark, small_leaves, k, reach):
+    q, p = _uneven()
+    points = _table(spark, p, "p").withColumn("more", F.when(F.col("p") % 5 > 0, F.col("p") * 2))
+    got = rows(spatial.knn(_table(spark, q, "q"), points, k, "q", "p", ["g"], False, reach, carry=["x", "z", "more"]))
+    own, other = ({(int(g), int(i)): v for g, i, *v in side.tolist()} for side in (q, p))
+    assert sorted((g, i, j, r) for g, i, j, _, r, *_ in got) == _brute(q, p, k, False, reach)
+    for g, i, j, _, _, qx, qy, qz, x, z, more in got:
+        assert [qx, qy, qz] == own[g, i] and [x, z] == other[g, j][::2] and more == (j * 2 if j % 5 else None)

@@ -103,14 +103,13 @@ def _icp(reference: DataFrame, points: DataFrame, max_iterations: int, tolerance
     ref = materialise(clean(reference, point_id, keep=cols))
     own = materialise(clean(points, point_id))
     now, before = Transformation.of(np.eye(4), reduction_point), 0.0
-    target = ref.select(F.col(point_id).alias("_t"), *[F.col(a).alias(f"b{a}") for a in AXES], *cols)
-    if planes:
-        target = target.dropna()
+    known: dict = {}
     for _ in range(max_iterations):
         moved = transform(own, now)  # always the original cloud and one matrix: plans do not grow
-        near = knn(moved, ref.withColumnRenamed(point_id, "_t"), 1, point_id, "_t", ready=True)
-        pairs = near.join(moved.select(point_id, *[F.col(a).alias(f"a{a}") for a in AXES]), point_id).join(target, "_t")
-        pairs = materialise(pairs)
+        near = knn(moved, ref.withColumnRenamed(point_id, "_t"), 1, point_id, "_t", ready=True, carry=[*AXES, *cols], known=known)
+        pairs = near.select(*[F.col(f"q_{a}").alias(f"a{a}") for a in AXES], *[F.col(a).alias(f"b{a}") for a in AXES], *cols, "d2")
+        pairs = materialise(pairs.dropna(subset=cols) if planes else pairs)
+        discard(known.pop("top"))
         step = (fit_planes if planes else fit_points)(pairs, reduction_point)
         now = now.then(step)
         mean = pairs.agg(F.avg(F.sqrt("d2"))).first()[0]

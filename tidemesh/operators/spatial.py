@@ -127,27 +127,38 @@ def _boxes(p: DataFrame, by: Sequence[str], leaves: kdtree.Leaves) -> np.ndarray
     return out
 
 
-def _neighbours(q: DataFrame, p: DataFrame, k: int, by: Sequence[str], exclude_self: bool, max_distance: float | None, mean: bool = False) -> tuple[DataFrame, DataFrame | None]:
+def _neighbours(q: DataFrame, p: DataFrame, k: int, by: Sequence[str], exclude_self: bool, max_distance: float | None, mean: bool = False, carry: Sequence[str] = (), known: dict | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Of tables q (by, _q, q_x, ..) and p (by, _p, x, ..): a table with a row (by, _q, _p, d2: lists by rank) of every query, and rows (by, _q, _p, d2) of those whose search went on (their `_ask` in the table is not empty), with a null _p for those that found nothing.
 
     Points are cut into leaves, boxes by the medians of a sample. Each query first meets the points of its own leaf. Where
     its k nearest of them are closer than the leaf's sides, these are the answer; other queries then meet the leaves whose
     points' boxes are no farther than the k-th found, or than the k-th can be by the boxes' counts. mean: q and p are one
     table, which is sent once where no leaf is sliced; d2 of settled queries holds one value, the mean distance, and _p nothing.
+    carry: columns of p that come as lists beside _p, with the places of all queries. known: keeps p's leaves for the next
+    search in the same p and by, and this search's table as `top`.
     """
     cap = None if max_distance is None else float(max_distance) * float(max_distance)
-    n, group, xyz = _sampled(p, by, "")
+    known = {} if known is None else known
+    if "leaves" not in known:
+        n, group, xyz = _sampled(p, by, "")
+        known["leaves"] = kdtree.Leaves(group, xyz, max(8, int(LEAF_POINTS * len(xyz) / max(n, 1))))
+    leaves = known["leaves"]
     nq, q_group, q_xyz = (n, group, xyz) if mean else _sampled(q, by, "q_")
-    leaves = kdtree.Leaves(group, xyz, max(8, int(LEAF_POINTS * len(xyz) / max(n, 1))))
     asked = np.bincount(at[at >= 0] if len(at := leaves.of(q_group, q_xyz)) else np.empty(0, int), minlength=len(leaves.low))
     parts = np.maximum(1, np.ceil(asked * nq / max(len(q_group), 1) / LEAF_QUERIES)).astype(int)
     whole = len(leaves.low) == len(leaves.names)
-    box = None if whole else _boxes(p, by, leaves)
+    if "box" not in known:
+        known["box"] = None if whole else _boxes(p, by, leaves)
+    box = known["box"]
     need = k + exclude_self
     names = [f.name for f in q.select(*by, "_q").schema.fields]
     types = {f.name: f for f in [*q.schema.fields, *p.schema.fields]}
     lists = [StructField("_p", ArrayType(types["_p"].dataType)), StructField("d2", ArrayType(DoubleType()))]
-    schema = StructType([*[types[c] for c in names], *[StructField(f"q_{a}", DoubleType()) for a in AXES], *lists, StructField("_ask", ArrayType(IntegerType()))])
+    lists += [StructField(c, ArrayType(types[c].dataType)) for c in carry]
+    own_place = [StructField(f"q_{a}", DoubleType()) for a in AXES]
+    schema = StructType([*[types[c] for c in names], *own_place, *lists, StructField("_ask", ArrayType(IntegerType()))])
+    at_open = [f"q_{a}" for a in AXES] if carry else []
+    schema2 = StructType([*[types[c] for c in names], *(own_place if carry else []), *lists])
 
     def found(left: pa.Table, right: pa.Table, first: bool) -> pa.Table:
         ids, rank = right.column("_p").combine_chunks(), kdtree.ranks(right.column("_p"))
@@ -203,11 +214,12 @@ def _neighbours(q: DataFrame, p: DataFrame, k: int, by: Sequence[str], exclude_s
         else:
             d_values, d_offsets = d2, start
         as_list = lambda o, v: pa.ListArray.from_arrays(pa.array(o, pa.int32()), v)
-        coordinates = [pa.array(at[:, a], pa.float64(), mask=~open_) for a in range(3)]
+        coordinates = [pa.array(at[:, a], pa.float64(), mask=None if carry else ~open_) for a in range(3)]
         cols = [*[left.column(c) for c in names], *coordinates, as_list(offsets, values), as_list(d_offsets, pa.array(d_values, pa.float64()))]
+        cols += [as_list(start, right.column(c).combine_chunks().take(pa.array(what))) for c in carry]
         if first:
             return pa.table([*cols, as_list(np.r_[0, np.cumsum(asks)], pa.array(ask, pa.int32()))], names=schema.names)
-        return pa.table([*cols[: len(names)], *cols[-2:]], names=[*names, "_p", "d2"])
+        return pa.table(cols if carry else [*cols[: len(names)], *cols[-2:]], names=schema2.names)
 
     at_leaf = [*by, "_leaf", "_part"]
     mine = _placed(q, by, "q_", leaves, parts)
@@ -217,7 +229,7 @@ def _neighbours(q: DataFrame, p: DataFrame, k: int, by: Sequence[str], exclude_s
     else:
         theirs = _placed(p, by, "", leaves, parts, ("_p", k + 1))
         first = mine.groupBy(*at_leaf).cogroup(theirs.groupBy(*at_leaf)).applyInArrow(lambda a, b: found(a, b, True), schema)
-    top = materialise(first)
+    top = known["top"] = materialise(first)
     if whole:
         return top, None
     open_ = top.filter(F.size("_ask") > 0)
@@ -233,44 +245,44 @@ def _neighbours(q: DataFrame, p: DataFrame, k: int, by: Sequence[str], exclude_s
     more = open_.select(*by, "_q", *[f"q_{a}" for a in AXES], bound.alias("_bound"), F.explode("_ask").alias("_leaf"))
     more = more.withColumn("_part", F.pmod(F.xxhash64(*[f"q_{a}" for a in AXES], F.col("_q")), wide).cast("int"))
     theirs = _placed(p, by, "", leaves, parts2, ("_p", k + 1))
-    schema2 = StructType([*[types[c] for c in names], *lists])
     rest = more.groupBy(*at_leaf).cogroup(theirs.groupBy(*at_leaf)).applyInArrow(lambda a, b: found(a, b, False), schema2)
-    rest = rest.unionByName(open_.select(*names, "_p", "d2"))
-    rest = rest.select(*names, F.explode_outer(F.arrays_zip("_p", "d2")).alias("e")).select(*names, "e._p", "e.d2")
+    rest = rest.unionByName(open_.select(schema2.names))
+    rest = rest.select(*names, *at_open, F.explode_outer(F.arrays_zip("_p", "d2", *carry)).alias("e")).select(*names, *at_open, "e.*")
     rank = F.row_number().over(Window.partitionBy(*names).orderBy(F.asc_nulls_last("d2"), "_p"))
     return top, rest.withColumn("rank", rank).filter((F.col("rank") <= k) & (F.col("_p").isNotNull() | (F.col("rank") == 1)))
 
 
-def _sides(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, by: Sequence[str], ready: bool) -> tuple[DataFrame, DataFrame]:
+def _sides(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, by: Sequence[str], ready: bool, carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Tables (by, _q, q_x, ..) and (by, _p, x, ..); ready: both sides are tables already, of usable rows with distinct ids."""
     known = lambda t: t.dropna(subset=list(by)) if by else t  # noqa: E731 - a missing group equals nothing
-    p = known(points.select(*by, point_id, *AXES) if ready else clean(points, point_id, by)).withColumnRenamed(point_id, "_p")
+    p = known(points.select(list(dict.fromkeys([*by, point_id, *AXES, *carry]))) if ready else clean(points, point_id, by, carry)).withColumnRenamed(point_id, "_p")
     q = queries if ready else clean(queries, query_id, by)
     kinds = dict(p.dtypes)
     q = q.select(*[F.col(c).cast(kinds[c]).alias(c) for c in by], F.col(query_id).alias("_q"), *[F.col(a).alias(f"q_{a}") for a in AXES])
     return (q, p) if ready else (materialise(q), materialise(p))
 
 
-def _rows(top: DataFrame, rest: DataFrame | None, by: Sequence[str], every: bool = False) -> DataFrame:
+def _rows(top: DataFrame, rest: DataFrame | None, by: Sequence[str], every: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     settled = top if rest is None else top.filter(F.size("_ask") == 0)
-    e = (F.posexplode_outer if every else F.posexplode)(F.arrays_zip("_p", "d2")).alias("i", "e")
-    out = settled.select(*by, "_q", e).select(*by, "_q", "e._p", "e.d2", (F.col("i") + 1).alias("rank"))
+    e = (F.posexplode_outer if every else F.posexplode)(F.arrays_zip("_p", "d2", *carry)).alias("i", "e")
+    own = [*by, "_q", *([f"q_{a}" for a in AXES] if carry else [])]
+    out = settled.select(*own, e).select(*own, "e.*", (F.col("i") + 1).alias("rank"))
     if rest is None:
         return out
     return out.unionByName(rest if every else rest.filter(F.col("_p").isNotNull()))
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_id: str, by: Sequence[str] = (), exclude_self: bool = False, max_distance: float | None = None, ready: bool = False) -> DataFrame:
+def knn(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_id: str, by: Sequence[str] = (), exclude_self: bool = False, max_distance: float | None = None, ready: bool = False, carry: Sequence[str] = (), known: dict | None = None) -> DataFrame:
     """(by, query_id, point_id, d2, rank): the k nearest points of every query, exactly; ties go to the smaller id.
 
     Fewer than k rows come out where there are fewer points (within max_distance, inclusive, if given). exclude_self leaves
     out the point whose id equals the query's. ready says that both sides are tables (see `materialise`) of usable points
     with distinct ids, which need no copy. Each query and point is sent once, and a query again only to the leaves that
-    may hold something nearer (see _neighbours).
+    may hold something nearer (see _neighbours). carry: columns of points that come along, after the query's q_x, q_y, q_z.
     """
-    q, p = _sides(queries, points, query_id, point_id, by, ready)
-    out = _rows(*_neighbours(q, p, k, by, exclude_self, max_distance), by)
-    return out.select(*by, F.col("_q").alias(query_id), F.col("_p").alias(point_id), "d2", "rank")
+    q, p = _sides(queries, points, query_id, point_id, by, ready, carry)
+    out = _rows(*_neighbours(q, p, k, by, exclude_self, max_distance, carry=carry, known=known), by, carry=carry)
+    return out.select(*by, F.col("_q").alias(query_id), F.col("_p").alias(point_id), "d2", "rank", *([f"q_{a}" for a in AXES] if carry else []), *carry)
 
 
 def mean_distance(points: DataFrame, k: int, point_id: str, by: Sequence[str] = ()) -> DataFrame:
