@@ -176,3 +176,9 @@ def test_columns_come_along(spark, small_leaves, k, reach):
     assert sorted((g, i, j, r) for g, i, j, _, r, *_ in got) == _brute(q, p, k, False, reach)
     for g, i, j, _, _, qx, qy, qz, x, z, more in got:
         assert [qx, qy, qz] == own[g, i] and [x, z] == other[g, j][::2] and more == (j * 2 if j % 5 else None)
+
+
+def test_groups_may_have_any_name(spark, small_leaves):
+    q, p = _uneven()
+    a, b = (_table(spark, t, n).withColumn("_g", F.col("g").cast("int")).drop("g") for t, n in ((q, "q"), (p, "p")))
+    assert rows(spatial.knn(a, b, 2, "q", "p", ["_g"]), "_g", "q", "p", "rank") == _brute(q, p, 2, False, None)

@@ -96,7 +96,7 @@ def _placed(t: DataFrame, by: Sequence[str], prefix: str, leaves: kdtree.Leaves,
 
     def place(batches):
         for batch in batches:
-            xyz, g = kdtree.places(batch, prefix), batch.column("_g").to_numpy(zero_copy_only=False)
+            xyz, g = kdtree.places(batch, prefix), batch.column("_hash").to_numpy(zero_copy_only=False)
             rows = np.arange(len(xyz))
             if trim:  # of many copies at one place only the smallest ids can be among the nearest
                 order = np.lexsort((kdtree.ranks(batch.column(trim[0])), *xyz.T, g))
@@ -114,7 +114,7 @@ def _placed(t: DataFrame, by: Sequence[str], prefix: str, leaves: kdtree.Leaves,
             out = batch.take(pa.array(rows))
             yield pa.RecordBatch.from_arrays([*[out.column(c) for c in kept], pa.array(leaf, pa.int32()), pa.array(part, pa.int32())], names=schema.names)
 
-    return t.withColumn("_g", _group(by)).mapInArrow(place, schema)
+    return t.withColumn("_hash", _group(by)).mapInArrow(place, schema)
 
 
 def _boxes(p: DataFrame, by: Sequence[str], leaves: kdtree.Leaves) -> np.ndarray:
