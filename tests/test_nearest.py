@@ -150,6 +150,17 @@ def test_plane_gaps_over_leaves(spark, small_leaves):
     assert all(abs(gap - length[i]) < 1e-9 and abs(d - length[i]) < 1e-9 for i, gap, d in got)
 
 
+def test_plane_gaps_come_with_the_search(spark, small_leaves):
+    from tidemesh.operators import registration
+
+    ref = _surface(spark)
+    q = ref.select(F.col("point_id").alias("q"), "x", "y", (F.col("z") + 0.1).alias("z"))
+    once = registration.plane_gap(q, "q", ref, "point_id")
+    assert "Join" not in once._jdf.queryExecution().executedPlan().toString()
+    twice = registration.plane_gap(q.unionByName(q), "q", ref.unionByName(ref), "point_id")
+    assert rows(twice) == rows(once) and once.count() == 900  # repeated rows count once
+
+
 def test_plane_icp_over_leaves(spark, small_leaves, monkeypatch):
     t = _motion(spark, monkeypatch, "plane_icp")
     assert np.allclose(t[:3], [[1, 0, 0, -0.04], [0, 1, 0, 0.03], [0, 0, 1, -0.05]], atol=1e-2)

@@ -229,11 +229,10 @@ def patch_shapes(labelled: DataFrame, point_id: str = "point_id", least: int = 1
 
 def plane_gap(queries: DataFrame, query_id: str, targets: DataFrame, target_id: str) -> DataFrame:
     """(query_id, gap): distance of every query to the plane of its nearest target (with normal), or to the target if that has none."""
-    near = knn(queries, targets, 1, query_id, target_id)
-    t = targets.select(target_id, *[F.col(a).alias(f"t{a}") for a in AXES], *[F.col(f"n{a}").alias(f"m{a}") for a in AXES])
-    p = near.join(queries.select(query_id, *AXES), query_id).join(t, target_id)
-    length = F.sqrt(sum(F.col(f"m{a}") * F.col(f"m{a}") for a in AXES))
-    along = F.when(usable(*[F.col(f"m{a}") for a in AXES]), F.abs(sum((F.col(a) - F.col(f"t{a}")) * F.col(f"m{a}") for a in AXES) / F.nullif(length, F.lit(0.0))))
+    normal = [f"n{a}" for a in AXES]
+    p = knn(queries, targets, 1, query_id, target_id, carry=[*AXES, *normal])
+    length = F.sqrt(sum(F.col(n) * F.col(n) for n in normal))
+    along = F.when(usable(*[F.col(n) for n in normal]), F.abs(sum((F.col(f"q_{a}") - F.col(a)) * F.col(f"n{a}") for a in AXES) / F.nullif(length, F.lit(0.0))))
     return p.select(query_id, F.coalesce(along, F.sqrt("d2")).alias("gap"), F.sqrt("d2").alias("distance"))
 
 
