@@ -82,6 +82,17 @@ def test_mutual_distances_over_leaves(spark, small_leaves):
     assert any(j >= 0 for *_, j in want)
 
 
+def test_mutual_distances_join_once(spark, small_leaves):
+    from tidemesh.operators import filters
+
+    q, p = _uneven()
+    got = filters.c2c(_table(spark, q, "source_id"), _table(spark, p, "target_id"), max_distance=60.0, both_ways=True, by=["g"])
+    assert got.columns == ["g", "source_id", "target_id", "distance"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert sum("Join" in line for line in plan.splitlines()) == 1  # forth and back, each once
+    assert rows(got.groupBy().agg(F.count("*"), F.sum((F.col("target_id").isNull() != F.col("distance").isNull()).cast("int")))) == [(150, 0)]
+
+
 def test_outliers_over_leaves(spark, small_leaves):
     from tidemesh.operators import filters
 

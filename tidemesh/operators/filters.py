@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.runtime import if_small, materialise, salted, usable
-from .spatial import AXES, clean, mean_distance, mutual, nearest
+from .spatial import AXES, clean, mean_distance, nearest
 
 
 def c2c(source: DataFrame, target: DataFrame, source_id: str = "source_id", target_id: str = "target_id", max_distance: float | None = None, both_ways: bool = False, by: Sequence[str] = ()) -> DataFrame:
@@ -20,8 +20,10 @@ def c2c(source: DataFrame, target: DataFrame, source_id: str = "source_id", targ
         return nearest(source, target, source_id, target_id, by, max_distance)
     source, target = materialise(clean(source, source_id, by)), materialise(clean(target, target_id, by))
     forward = nearest(source, target, source_id, target_id, by, max_distance, ready=True)
-    kept = mutual(forward, nearest(target, source, target_id, source_id, by, max_distance, ready=True), source_id, target_id, by)
-    return forward.select(*by, source_id).join(kept, [*by, source_id], "left")
+    back = nearest(target, source, target_id, source_id, by, max_distance, ready=True)  # every target once
+    back = back.filter(F.col(source_id).isNotNull()).select(*by, source_id, target_id, F.lit(True).alias("_both"))
+    pairs = forward.join(back, [*by, source_id, target_id], "left")
+    return pairs.select(*by, source_id, *[F.when(F.col("_both"), F.col(c)).alias(c) for c in (target_id, "distance")])
 
 
 def sor(points: DataFrame, k: int = 6, multiplier: float = 1.0, point_id: str = "point_id", by: Sequence[str] = ()) -> DataFrame:
